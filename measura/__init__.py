@@ -1 +1,8 @@
 """Measured-property tables on Spark: sources, operators, functions and plans."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -19,6 +19,7 @@ columns pass through ``flag_toxic`` untouched; ``score_toxicity`` reads id and t
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -160,13 +161,21 @@ def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, steps
     ridge = np.eye(x.shape[1]) * penalty
     ridge[-1, -1] = 1e-8
     w = np.zeros(x.shape[1])
+
+    def loss(v: np.ndarray) -> float:
+        return float(v @ ridge @ v + weight @ np.maximum(0, 1 - y * (x @ v)) ** 2)
+
+    now = loss(w)
     for _ in range(steps):
         inside = y * (x @ w) < 1
         a = x[inside] * weight[inside, None]
-        new = np.linalg.solve(ridge + a.T @ x[inside], a.T @ y[inside])
-        if np.allclose(new, w, atol=1e-6):
+        step = np.linalg.solve(ridge + a.T @ x[inside], a.T @ y[inside]) - w
+        size, new = 1.0, loss(w + step)
+        while new > now - 1e-4 * size * abs(now) and size > 1e-3:
+            size, new = size / 2, loss(w + size / 2 * step)
+        if now - new < 1e-6 * now:
             break
-        w = new
+        w, now = w + size * step, new
     return w[:-1], float(w[-1])
 
 
@@ -174,66 +183,63 @@ def _spread(names: list[str], most: int, decay: float, span: int) -> list[str]:
     """Names far from each other: each next one is the least similar to those taken."""
     if len(names) <= most:
         return names
-    k = kernel(names, names[:1], decay, span)[:, 0]
-    taken = [0]
+    k = np.hstack([kernel(names, names[a:a + 256], decay, span) for a in range(0, len(names), 256)])
+    taken, near = [0], k[0].copy()
     while len(taken) < most:
-        nxt = int(np.argmin(k))
-        taken.append(nxt)
-        k = np.maximum(k, kernel(names, [names[nxt]], decay, span)[:, 0])
+        taken.append(int(np.argmin(near)))
+        near = np.maximum(near, k[taken[-1]])
     return [names[i] for i in taken]
 
 
 def _padded(token: str) -> list[str]:
-    """The token with one letter put in, at two places."""
-    n = len(token)
-    return [token[:k] + c + token[k:] for k, c in ((n // 2, "x"), (max(1, n // 3), "e"))]
+    """The token with one letter put in, at each inner place, and with each inner letter doubled."""
+    inner = range(1, len(token))
+    return [token[:k] + "exiuh"[k % 5] + token[k:] for k in inner] + [token[:k] + token[k - 1] + token[k:] for k in inner]
 
 
-def train(sentences: list[tuple[int, list[str]]], decay: float = 0.8, span: int = 5, landmarks: int = 192, rounds: int = 3,
-          penalty: float = 0.02) -> Machine | None:
-    """sentences: (label, tokens) of labelled texts. None without both labels."""
+def train(sentences: list[tuple[int, list[str]]], decay: float = 0.8, span: int = 5, landmarks: int = 256, rounds: int = 3,
+          penalty: float = 0.003, odds: float = 1e5, variants: int = 150) -> Machine | None:
+    """sentences: (label, tokens) of labelled texts. None without both labels. A token that only toxic documents have is
+    a witness without further proof if chance explains that with less than one in ``odds``; near copies of a document count
+    once. The ``variants`` most frequent witnesses get virtual examples."""
     clean: Counter = Counter()
     toxic: Counter = Counter()
-    for label, tokens in sentences:
-        (toxic if label else clean).update({t for t in tokens if len(t) >= 3})
+    sentences = [(y, sorted({x for x in t if len(x) >= 3})) for y, t in sentences]
+    for label, tokens in _without_near_copies(sentences):
+        (toxic if label else clean).update(tokens)
+    clean.update({x for y, t in sentences if not y for x in t if x not in clean})
     positives = [t for y, t in sentences if y]
     if not positives or len(positives) == len(sentences) or not clean:
         return None
     only = {t: n for t, n in toxic.items() if t not in clean}
-    # First guess: of a document's tokens that clean texts never have, the one most documents share by its beginning.
-    stem: Counter = Counter()
-    for t, n in only.items():
-        stem[t[:4]] += n
-    against: Counter = Counter()
-    for t, n in clean.items():
-        against[t[:4]] += n
-    good = {t: np.log((stem[t[:4]] + .5) / (against[t[:4]] + .5)) for t in only}
-    own = [[t for t in set(tokens) if t in only] for tokens in positives]
+    least = np.log(odds) / np.log(len(sentences) / len(positives))
+    known = Counter({t: n for t, n in only.items() if n >= least}) or Counter(dict(Counter(only).most_common(20)))
+    own = [[t for t in set(tokens) if t in only] for tokens in positives if not any(t in known for t in tokens)]
     negatives = [t for t, _ in clean.most_common()]
     rng = np.random.default_rng(0)
-    if len(negatives) > 30_000:  # all frequent ones and an even choice of the rest
-        negatives = negatives[:15_000] + [negatives[i] for i in 15_000 + rng.choice(len(negatives) - 15_000, 15_000, replace=False)]
-    machine = None
+    if len(negatives) > 20_000:  # all frequent ones and an even choice of the rest
+        negatives = negatives[:10_000] + [negatives[i] for i in 10_000 + rng.choice(len(negatives) - 10_000, 10_000, replace=False)]
+    machine, before = None, None
     for _ in range(rounds):
-        if machine is None:
-            score = good
-            floor = np.log(5)
-        else:
-            names = list(only)
+        witness = Counter(known)
+        if machine is not None:
+            names = sorted({t for c in own for t in c})
             score = dict(zip(names, machine.margins(names))) if names else {}
-            floor = 0
-        witness = Counter(max(c, key=lambda t: (score[t], t)) for c in own if c)
-        witness = Counter({t: n for t, n in witness.items() if score[t] > floor}) or witness
-        found = [t for t, _ in witness.most_common(4_000)]
-        extra = [x for t in found for x in _padded(t) if x not in clean]
+            witness |= Counter(t for t in (max(c, key=lambda t: (score[t], t)) for c in own if c) if score[t] > 0)
+        if witness == before:
+            break
+        before = witness
+        found = [t for t, _ in witness.most_common(3_000)]
+        extra = [x for t in found[:variants] for x in _padded(t) if x not in clean]
         tokens = found + extra + negatives
         y = np.concatenate([np.ones(len(found) + len(extra)), -np.ones(len(negatives))])
         count = np.array([witness[t] for t in found] + [1] * len(extra) + [clean[t] for t in negatives], float)
         weight = np.sqrt(count)
         weight[y > 0] *= .5 * weight[y < 0].sum() / weight[y > 0].sum()
         weight *= len(y) / weight.sum() / 10
-        chosen = _spread(found, landmarks // 2, decay, span)
-        chosen = list(dict.fromkeys(chosen + negatives[:landmarks // 4] + _spread(negatives[:6_000], landmarks // 4, decay, span)))
+        quarter = landmarks // 4
+        chosen = found[:quarter] + _spread(found[:1_500], quarter, decay, span) + negatives[:quarter] + _spread(negatives[:1_500], quarter, decay, span)
+        chosen = list(dict.fromkeys(chosen))
         kmm = kernel(chosen, chosen, decay, span).astype(float)
         value, vector = np.linalg.eigh(kmm)
         root = vector / np.sqrt(np.maximum(value, 1e-4)) @ vector.T
@@ -242,15 +248,34 @@ def train(sentences: list[tuple[int, list[str]]], decay: float = 0.8, span: int
         weights = np.bincount(code, weights=amount * (root @ w)[row], minlength=SYMBOLS ** 3)
         machine = Machine(weights, bias, 4.0, 0.0, decay, span)
         # A clean document's best token must stay below a toxic one's: the cut lies between.
-        top = np.array([max(machine.margins(u), default=-2.) for u in ([t for t in set(s) if len(t) >= 3] for _, s in sentences)])
+        names = sorted({t for _, tokens in sentences for t in tokens})
+        margin = dict(zip(names, np.concatenate([machine.margins(names[a:a + 50_000]) for a in range(0, len(names), 50_000)]).tolist()))
+        top = np.array([max(map(margin.__getitem__, tokens), default=-2.) for _, tokens in sentences])
         label = np.array([y for y, _ in sentences])
         cut = _best_cut(top, label)
         machine.bias -= cut
     return machine
 
 
+def _without_near_copies(sentences: list[tuple[int, list[str]]]) -> list[tuple[int, list[str]]]:
+    """One of the documents that share two of their three smallest token hashes under some of four hash orders."""
+    seen: set = set()
+    out = []
+    for label, tokens in sentences:
+        h = np.array([zlib.crc32(t.encode("utf-8", "replace")) for t in tokens], np.uint64)
+        keys = set()
+        for k, m in enumerate((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)):
+            low = np.sort(h * np.uint64(m) % np.uint64(1 << 32))[:3].tolist()
+            keys |= {(label, k, *low[:2]), (label, k, *low[1:]), (label, k, *low[::2])} if len(low) == 3 else {(label, k, *low)}
+        if not keys & seen:
+            out.append((label, tokens))
+        seen |= keys
+    return out
+
+
 def _best_cut(top: np.ndarray, label: np.ndarray) -> float:
-    """The cut with the fewest errors, false alarms counting double; in the middle of the widest such gap."""
+    """The cut with the fewest errors, false alarms counting double; a quarter into the widest such gap, as insults in
+    disguise score lower than the plain ones of the sample."""
     order = np.argsort(top)
     s, y = top[order], label[order]
     below = np.concatenate([[0], np.cumsum(y)])  # toxic texts below
@@ -259,7 +284,7 @@ def _best_cut(top: np.ndarray, label: np.ndarray) -> float:
     edge = np.concatenate([[s[0] - .2], s, [s[-1] + .2]])
     gaps = [(edge[k + 1] - edge[k], k) for k in np.flatnonzero(cost == cost.min())]
     _, k = max(gaps)
-    return float((edge[k] + edge[k + 1]) / 2)
+    return float(edge[k] + (edge[k + 1] - edge[k]) / 4)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",

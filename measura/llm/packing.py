@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -148,36 +149,81 @@ def plan(count: Counter, capacity: int) -> Runs:
     return runs
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE writes bytes without a printable Latin-1 sign as the code points from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
+
+
 class _Tokens:
     """Ids of whole texts. Word ends and the normalizer's rules never reach across ASCII white space, so ids of a text
-    are the ids of its words in order; each distinct word of a batch is tokenized once."""
+    are the ids of its words in order. A run of ASCII punctuation after a Latin-1 letter or digit is a word of its own to the
+    tokenizer, so it is cut off first. Each distinct word is tokenized once a task; words of Latin-1 letters only, which the
+    normalizer does nothing but lower-case, go straight to the tokenizer's BPE model."""
+
+    KEPT = 400_000  # words remembered, at most
 
     def __init__(self, path: str):
-        self.path, self.tokenizer = path, None
+        self.path, self.tokenizer, self.known, self.letters = path, None, {}, _byte_letters()
+
+    def encode(self, word: str) -> list[int]:
+        if word.isalpha() and max(word) <= "\xff":
+            word = word.lower()
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(self.letters)
+            return [t.id for t in self.model.tokenize(word)]
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         if self.tokenizer is None:
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(self.path)
+            self.model = self.tokenizer.model
         rows, words = words_of(pc.fill_null(texts, ""))
         if not len(words):
             return [np.zeros(0, "<u4")] * len(texts)
         coded = words.dictionary_encode()
-        # One at a time: the batch call would start a pool of threads in every worker.
-        encode = self.tokenizer.encode
-        parts = [np.asarray(encode(w, add_special_tokens=False).ids, "<u4") for w in coded.dictionary.to_pylist()]
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.concatenate(parts) if parts else np.zeros(0, "<u4")
-        first = np.cumsum(size) - size
-        index = np.asarray(coded.indices)
-        each = size[index]
-        ends = np.cumsum(each)
-        ids = flat[np.arange(ends[-1]) + np.repeat(first[index] - (ends - each), each)]
+        core, tail = _cut(coded.dictionary)
+        units = pa.concat_arrays([core, tail]).dictionary_encode()
+        if len(self.known) > self.KEPT:
+            self.known.clear()
+        known, parts = self.known, []
+        for unit in units.dictionary.to_pylist():
+            ids = known.get(unit)
+            if ids is None:
+                ids = known[unit] = self.encode(unit) if unit else []
+            parts.append(ids)
+        size = np.fromiter(map(len, parts), np.int32, len(parts))
+        flat = np.fromiter(chain.from_iterable(parts), "<u4", int(size.sum()))
+        # core and tail of each distinct word, then the words of the texts
+        flat, size = _gather(flat, size, np.asarray(units.indices).reshape(2, -1).T.ravel())
+        word = np.asarray(coded.indices)
+        size = size.reshape(-1, 2).sum(axis=1, dtype=np.int32)
+        ids, each = _gather(flat, size, word)
         per_row = np.bincount(rows, weights=each, minlength=len(texts)).astype(np.int64)
         return np.split(ids, np.cumsum(per_row)[:-1])
 
 
+def _gather(flat: np.ndarray, size: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parts ``take`` of a concatenation of parts, and their sizes."""
+    first = np.cumsum(size, dtype=np.int32) - size
+    each = size[take]
+    ends = np.cumsum(each, dtype=np.int32)
+    at = np.repeat(first[take] - (ends - each), each)
+    at += np.arange(len(at), dtype=np.int32)
+    return flat[at], each
+
+
+def _cut(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Lower-cased (A-Z) words without their last run of ASCII punctuation, and those runs. Names in angle bars stay whole."""
+    lower = pc.ascii_lower(words)
+    parts = pc.extract_regex(lower, r"^(?P<core>.*[a-z0-9\x{DF}-\x{F6}\x{F8}-\x{FF}])(?P<tail>[!-/:-@\[-`{-~]+)$")
+    whole = pc.or_(pc.is_null(parts), pc.match_substring(lower, "<|"))
+    core = pc.if_else(whole, words, pc.struct_field(parts, "core"))
+    return core, pc.if_else(whole, "", pc.struct_field(parts, "tail"))
+
+
 def _pieces(path: str, capacity: int, separator: int):
     tokens = _Tokens(path)
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, toxicity
+from . import language, mixing, toxicity
 from .common import table
 from .exact_dedup import exact_dedup
+from .pii import find_personal_data
+from .html_text import extract_text
 from .packing import pack_documents
 from .simhash import simhash_components
 
@@ -22,6 +24,20 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+#: Shares of the mixture by domain, in words. The domains are the languages that labelled documents have.
+TARGETS = {"en": 0.52, "de": 0.17, "fr": 0.17, "es": 0.14}
+
+
+def domains_of(docs: DataFrame, labels: DataFrame) -> mixing.Domains:
+    known = docs.select("doc_id", "lang").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    return mixing.fit_domains(docs, known.withColumnRenamed("lang", "label"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, domains_of(docs, table(spark, sf_dir, "labels")), TARGETS)[0]
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -31,10 +47,18 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(docs, language.fit(docs))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents")).drop("first")
 

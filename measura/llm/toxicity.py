@@ -205,7 +205,8 @@ def train(sentences: list[tuple[int, list[str]]], decay: float = 0.8, span: int
     clean: Counter = Counter()
     toxic: Counter = Counter()
     sentences = [(y, sorted({x for x in t if len(x) >= 3})) for y, t in sentences]
-    for label, tokens in _without_near_copies(sentences):
+    unlike = _without_near_copies(sentences)
+    for label, tokens in unlike:
         (toxic if label else clean).update(tokens)
     clean.update({x for y, t in sentences if not y for x in t if x not in clean})
     positives = [t for y, t in sentences if y]
@@ -213,7 +214,10 @@ def train(sentences: list[tuple[int, list[str]]], decay: float = 0.8, span: int
         return None
     only = {t: n for t, n in toxic.items() if t not in clean}
     least = np.log(odds) / np.log(len(sentences) / len(positives))
-    known = Counter({t: n for t, n in only.items() if n >= least}) or Counter(dict(Counter(only).most_common(20)))
+    stem = Counter()  # the same by the first four letters, for insults that come in many endings
+    for y, tokens in unlike:
+        stem.update({(y, t[:4]) for t in tokens if len(t) > 5})
+    known = Counter({t: n for t, n in only.items() if n >= least or len(t) > 5 and stem[1, t[:4]] >= least and not stem[0, t[:4]]}) or Counter(dict(Counter(only).most_common(20)))
     own = [[t for t in set(tokens) if t in only] for tokens in positives if not any(t in known for t in tokens)]
     negatives = [t for t, _ in clean.most_common()]
     rng = np.random.default_rng(0)

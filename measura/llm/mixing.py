@@ -2,13 +2,13 @@
 
 1. A labelled table gives each domain's most telling words. How often a domain's words appear in texts of each domain makes
    a multinomial classifier over these word groups; it yields domain posteriors for every text.
-2. Document rates r >= 0 minimise sum_d (E_d(r) - T_d)^2 / (2 E_d(1)), E_d(r) = sum_i r_i p_id n_i with posterior p and n words,
-   by projected gradient from r = 1 in the metric of n: r <- max(0, r - sum_d p_d c_d), c_d = (E_d(r) - T_d) / E_d(1). In this
+2. Document rates r >= least (0 or 1) minimise sum_d (E_d(r) - T_d)^2 / (2 E_d(1)), E_d(r) = sum_i r_i p_id n_i with posterior p and n words,
+   by projected gradient from r = 1 in the metric of n: r <- max(least, r - sum_d p_d c_d), c_d = (E_d(r) - T_d) / E_d(1). In this
    metric the curvature is at most 1, so a step of 1 is safe. A rate depends on a text through p alone, so an iteration is one
    aggregate of a narrow table to as many sums as there are domains, and rates never need to be stored.
 
-Targets are shares of the mixture. By default its size is the smallest at which no domain has to shrink, so texts are
-repeated, not dropped; with ``total`` as a factor of the corpus, rates below 1 drop texts.
+Targets are shares of the mixture. By default its size is the smallest at which no domain has to shrink and rates stay at 1 or
+more, so texts are repeated, not dropped; with ``total`` as a factor of the corpus, rates below 1, down to 0, drop texts.
 
 Defined cases: null text counts as empty: no words, posterior equal to the prior, rate by that. Domains without any words and
 targets of 0 are allowed (rates go to 0 for the latter). Without labelled rows there is one domain, and all rates are equal.
@@ -96,11 +96,11 @@ def posteriors(docs: DataFrame, model: Domains, text_col: str = "text") -> DataF
     return df.select(*kept, "__n", F.array(*(F.col(x) / total for x in names)).alias("__p"))
 
 
-def rate(p: Column, steps: list[list[float]], start: float = 1.0) -> Column:
+def rate(p: Column, steps: list[list[float]], least: float = 0.0) -> Column:
     """The rate after the given gradient steps, as one expression."""
-    r = F.lit(start)
+    r = F.lit(1.0)
     for c in steps:
-        r = F.greatest(F.lit(0.0), r - sum((F.element_at(p, d + 1) * F.lit(x) for d, x in enumerate(c)), F.lit(0.0)))
+        r = F.greatest(F.lit(least), r - sum((F.element_at(p, d + 1) * F.lit(x) for d, x in enumerate(c)), F.lit(0.0)))
     return r
 
 
@@ -110,15 +110,17 @@ class Mixture:
     steps: list[list[float]]
     targets: list[float]  # words
     reached: list[float]
+    least: float
 
 
 def fit_rates(scored: DataFrame, model: Domains, targets: dict[str, float] | None = None, total: float | None = None,
               iterations: int = 24, tolerance: float = 1e-4) -> Mixture:
     """scored: __n and __p of every document. targets: shares by domain; domains not named share what the named ones leave."""
     size = range(len(model.names))
+    least = 1.0 if total is None else 0.0
 
     def sums(steps: list[list[float]]) -> list[float]:
-        r = rate(F.col("__p"), steps)
+        r = rate(F.col("__p"), steps, least)
         row = scored.agg(*(F.sum(r * F.col("__n") * F.element_at("__p", d + 1)).alias(f"s{d}") for d in size)).first()
         return [float(x or 0) for x in row]
 
@@ -141,7 +143,7 @@ def fit_rates(scored: DataFrame, model: Domains, targets: dict[str, float] | Non
             break
         steps.append([(a - b) / h if h else 0.0 for a, b, h in zip(now, goal, have)])
         now = sums(steps)
-    return Mixture(model, steps, goal, now)
+    return Mixture(model, steps, goal, now, least)
 
 
 def copies(of_rate: Column, id_col: str, seed: int = 11) -> Column:
@@ -155,7 +157,7 @@ def mix(docs: DataFrame, model: Domains, targets: dict[str, float] | None = None
     rows = docs.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__t"))
     scored = materialize(posteriors(rows, model, "__t").drop("__t"), "mix-scored")
     fitted = fit_rates(scored, model, targets, **how)
-    r = rate(F.col("__p"), fitted.steps)
+    r = rate(F.col("__p"), fitted.steps, fitted.least)
     domain = F.element_at(F.lit(model.names), F.array_position("__p", F.array_max("__p")).cast("int"))
     shares = [F.element_at("__p", d + 1).alias(f"p_{y}") for d, y in enumerate(model.names)]
     out = scored.select(F.col("__i").alias(id_col), F.col("__n").cast("long").alias("n_words"), domain.alias("domain"), *shares, r.alias("rate"))
@@ -166,5 +168,5 @@ def apply_rates(docs: DataFrame, model: Domains, targets: dict[str, float] | Non
     """``docs`` mixed to the targets: each row as many times as its rate says, with its own columns."""
     _, fitted = mix(docs, model, targets, id_col, text_col, **how)
     again = posteriors(docs, model, text_col)  # cheaper than moving whole texts to a join
-    n = copies(rate(F.col("__p"), fitted.steps), id_col)
+    n = copies(rate(F.col("__p"), fitted.steps, fitted.least), id_col)
     return again.withColumn("__k", F.explode(F.array_repeat(F.lit(1), n))).select(*docs.columns)

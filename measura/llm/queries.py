@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, toxicity
+from . import language, mixing, toxicity, warc
 from .common import table
 from .exact_dedup import exact_dedup
 from .pii import find_personal_data
 from .html_text import extract_text
 from .packing import pack_documents
+from .search import top_k
 from .simhash import simhash_components
 
 
@@ -47,6 +48,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(docs, language.fit(docs))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses_of(table(spark, sf_dir, "pages"))).withColumnRenamed("response_row", "page_id")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: the whole texts of documents whose id is divisible by 50."""
+    docs = table(spark, sf_dir, "documents")
+    return top_k(docs, docs.where("doc_id % 50 = 0"))
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
@@ -72,6 +83,18 @@ def oracle_sql() -> dict[str, str]:
 
 
 ORACLE = {
+    "op8_search": """
+        WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[ \t-\r]+')) AS t FROM documents),
+             p AS (SELECT doc_id, t, count(*) AS tf FROM w WHERE t <> '' GROUP BY ALL),
+             l AS (SELECT doc_id, sum(tf) AS dl FROM p GROUP BY doc_id),
+             g AS (SELECT count(*) AS n, (SELECT sum(dl) FROM l) / count(*) AS a FROM documents),
+             i AS (SELECT t, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, g GROUP BY t),
+             s AS (SELECT q.doc_id AS query_id, p.doc_id AS doc_id,
+                          round(sum(idf * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * dl / a))), 4) AS score
+                   FROM p AS q JOIN i USING (t) JOIN p USING (t) JOIN l ON l.doc_id = p.doc_id, g
+                   WHERE q.doc_id % 50 = 0 GROUP BY ALL)
+        SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank
+        FROM s QUALIFY rank <= 10""",
     "op7_exact_dedup": """
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \\t-\\r]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,

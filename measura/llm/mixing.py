@@ -98,10 +98,14 @@ def posteriors(docs: DataFrame, model: Domains, text_col: str = "text") -> DataF
 
 def rate(p: Column, steps: list[list[float]], least: float = 0.0) -> Column:
     """The rate after the given gradient steps, as one expression."""
-    r = F.lit(1.0)
-    for c in steps:
-        r = F.greatest(F.lit(least), r - sum((F.element_at(p, d + 1) * F.lit(x) for d, x in enumerate(c)), F.lit(0.0)))
-    return r
+    if not steps:
+        return F.lit(1.0)
+
+    def step(r: Column, c: Column) -> Column:
+        down = F.aggregate(F.zip_with(p, c, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        return F.greatest(F.lit(least), r - down)
+
+    return F.aggregate(F.array(*(F.lit(c) for c in steps)), F.lit(1.0), step)
 
 
 @dataclass
@@ -149,7 +153,7 @@ def fit_rates(scored: DataFrame, model: Domains, targets: dict[str, float] | Non
 def copies(of_rate: Column, id_col: str, seed: int = 11) -> Column:
     """Whole copies, plus one more for the fraction of ids that hash below the rest."""
     chance = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    return (F.floor(of_rate) + F.when(chance < of_rate - F.floor(of_rate), 1).otherwise(0)).cast("int")
+    return F.ceil(of_rate - chance).cast("int")
 
 
 def mix(docs: DataFrame, model: Domains, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", **how) -> tuple[DataFrame, Mixture]:
@@ -166,7 +170,9 @@ def mix(docs: DataFrame, model: Domains, targets: dict[str, float] | None = None
 
 def apply_rates(docs: DataFrame, model: Domains, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` mixed to the targets: each row as many times as its rate says, with its own columns."""
-    _, fitted = mix(docs, model, targets, id_col, text_col, **how)
+    scored = materialize(posteriors(docs.select(F.col(text_col).alias("__t")), model, "__t").drop("__t"), "mix-scored")
+    fitted = fit_rates(scored, model, targets, **how)
+    discard(scored)
     again = posteriors(docs, model, text_col)  # cheaper than moving whole texts to a join
     n = copies(rate(F.col("__p"), fitted.steps, fitted.least), id_col)
     return again.withColumn("__k", F.explode(F.array_repeat(F.lit(1), n))).select(*docs.columns)

@@ -97,8 +97,8 @@ def kernel(tokens: list[str], landmarks: list[str], decay: float, span: int) ->
     table[code, row] = weight
     out = np.zeros((len(tokens), len(landmarks)), np.float32)
     row, code, weight = subsequences(tokens, decay, span)
-    for a in range(0, len(row), 1 << 18):
-        part = slice(a, a + (1 << 18))
+    for a in range(0, len(row), 1 << 15):
+        part = slice(a, a + (1 << 15))
         edges = np.flatnonzero(np.diff(row[part], prepend=-1))
         out[row[part][edges]] += np.add.reduceat(table[code[part]] * weight[part, None].astype(np.float32), edges)
     return out
@@ -148,7 +148,7 @@ def document_margins(column: pa.Array, machine: Machine) -> np.ndarray:
         return best
     unique = coded.dictionary.dictionary_encode()  # several words can have one key
     names = unique.dictionary.to_pylist()
-    margin = np.concatenate([machine.margins(names[a:a + 50_000]) for a in range(0, len(names), 50_000)])
+    margin = np.concatenate([machine.margins(names[a:a + 8_192]) for a in range(0, len(names), 8_192)])
     margin[[k for k, x in enumerate(names) if len(x) < 3]] = -np.inf
     each = margin[np.asarray(unique.indices)][np.asarray(coded.indices)]
     np.maximum.at(best, rows, each)
@@ -253,7 +253,7 @@ def train(sentences: list[tuple[int, list[str]]], decay: float = 0.8, span: int
         machine = Machine(weights, bias, 4.0, 0.0, decay, span)
         # A clean document's best token must stay below a toxic one's: the cut lies between.
         names = sorted({t for _, tokens in sentences for t in tokens})
-        margin = dict(zip(names, np.concatenate([machine.margins(names[a:a + 50_000]) for a in range(0, len(names), 50_000)]).tolist()))
+        margin = dict(zip(names, np.concatenate([machine.margins(names[a:a + 8_192]) for a in range(0, len(names), 8_192)]).tolist()))
         top = np.array([max(map(margin.__getitem__, tokens), default=-2.) for _, tokens in sentences])
         label = np.array([y for y, _ in sentences])
         cut = _best_cut(top, label)
@@ -292,7 +292,7 @@ def _best_cut(top: np.ndarray, label: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        folds: int = 5, most_toxic: int = 2_000, most_clean: int = 5_000) -> Machine | None:
+        folds: int = 5, most_toxic: int = 1_500, most_clean: int = 4_000) -> Machine | None:
     """Train on a bounded sample: at most ``most_toxic`` and ``most_clean`` labelled texts outside fold 0, picked by id hash."""
     known = labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).where("i is not null and y in (0, 1)").where(fold_of("i", folds) != 0)
     n = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -300,7 +300,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     taken = [sample_share(known.where(F.col("y") == y), "i", most / max(1, n.get(y, 0)), most) for y, most in ((1, most_toxic), (0, most_clean))]
     chosen = F.broadcast(taken[0].unionByName(taken[1]).distinct())  # bounded by the two parameters
     rows = texts.join(chosen, "i").select("y", "t").mapInArrow(_distinct_tokens, "y int, tokens array<string>").toArrow()
-    return train(sorted(zip(rows["y"].to_pylist(), rows["tokens"].to_pylist())))
+    tokens = pc.list_flatten(rows["tokens"]).combine_chunks().dictionary_encode()
+    names = np.array(tokens.dictionary.to_pylist(), object)  # one string for all its occurrences
+    ends = np.cumsum(np.asarray(pc.list_value_length(rows["tokens"])))
+    parts = np.split(np.asarray(tokens.indices), ends[:-1]) if len(ends) else []
+    order = sorted(range(len(parts)), key=lambda k: (rows["y"][k].as_py(), names[parts[k]].tolist()))
+    return train([(rows["y"][k].as_py(), names[parts[k]].tolist()) for k in order])
 
 
 def _distinct_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,6 +51,17 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names made from ``names`` that ``df`` doesn't have."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def fold_of(id_col: str, k: int) -> Column:
     """crc32 of the id's text, modulo ``k``; rows without an id count as fold 0."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % k, F.lit(0)).cast("int")

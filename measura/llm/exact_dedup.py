@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, discard, materialize
+from .common import SPACE, discard, fresh, materialize
 
 LAST = (1 << 63) - 1
 
@@ -84,10 +84,10 @@ def _collided(base: DataFrame, ids: DataFrame, digests: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns; of rows with equal id and text one stays."""
     found = exact_dedup(docs, id_col, text_col, **how)
-    stay = materialize(found.where("kept").select(F.coalesce(F.col(id_col), F.lit(LAST)).alias("__i"), F.unhex("text_sha256").alias("__s")), "dedup-stay")
-    keyed = docs.withColumns({"__i": F.coalesce(F.col(id_col), F.lit(LAST)), "__s": F.unhex(F.sha2(normalized(F.col(text_col)).cast("binary"), 256))})
-    out = keyed.join(stay, ["__i", "__s"], "left_semi")
-    twice = found.where(F.col(id_col).eqNullSafe(F.col("keep_id")) & ~F.col("kept"))
-    if twice.head(1):
-        out = out.dropDuplicates(["__i", "__s"])
-    return out.select(*docs.columns)
+    i, t = fresh(docs, "__i", "__s")
+    stay = materialize(found.where("kept").select(F.coalesce(F.col(id_col), F.lit(LAST)).alias(i), F.unhex("text_sha256").alias(t)), "dedup-stay")
+    keyed = docs.withColumns({i: F.coalesce(F.col(id_col), F.lit(LAST)), t: F.unhex(F.sha2(normalized(F.col(text_col)).cast("binary"), 256))})
+    out = keyed.join(stay, [i, t], "left_semi")
+    if found.where(F.col(id_col).eqNullSafe(F.col("keep_id")) & ~F.col("kept")).head(1):  # rows given twice
+        out = out.dropDuplicates([i, t])
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

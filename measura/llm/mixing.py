@@ -170,9 +170,11 @@ def mix(docs: DataFrame, model: Domains, targets: dict[str, float] | None = None
 
 def apply_rates(docs: DataFrame, model: Domains, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` mixed to the targets: each row as many times as its rate says, with its own columns."""
-    scored = materialize(posteriors(docs.select(F.col(text_col).alias("__t")), model, "__t").drop("__t"), "mix-scored")
+    names = [f"c{k}" for k in range(len(docs.columns))]  # no clash with the names used here
+    own, i, t = docs.toDF(*names), names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    scored = materialize(posteriors(own.select(t), model, t).drop(t), "mix-scored")
     fitted = fit_rates(scored, model, targets, **how)
     discard(scored)
-    again = posteriors(docs, model, text_col)  # cheaper than moving whole texts to a join
-    n = copies(rate(F.col("__p"), fitted.steps, fitted.least), id_col)
-    return again.withColumn("__k", F.explode(F.array_repeat(F.lit(1), n))).select(*docs.columns)
+    again = posteriors(own, model, t)  # cheaper than moving whole texts to a join
+    n = copies(rate(F.col("__p"), fitted.steps, fitted.least), i)
+    return again.withColumn("__k", F.explode(F.array_repeat(F.lit(1), n))).select(*names).toDF(*docs.columns)

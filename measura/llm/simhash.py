@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, discard, materialize
+from .common import checked_broadcast, discard, fresh, materialize
 from .components import components
 
 LAST = (1 << 63) - 1
@@ -181,8 +181,9 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of ``docs``, with its own columns."""
     found = _components(docs, id_col, text_col)
-    stay = materialize(found.where("first").select(F.col("i").alias("__i"), F.col("h").alias("__h")), "simhash-stay")
-    out = docs.withColumns({"__i": F.coalesce(F.col(id_col), F.lit(LAST)), "__h": F.xxhash64(text_col)}).join(stay, ["__i", "__h"], "left_semi")
+    i, h = fresh(docs, "__i", "__h")
+    stay = materialize(found.where("first").select(F.col("i").alias(i), F.col("h").alias(h)), "simhash-stay")
+    out = docs.withColumns({i: F.coalesce(F.col(id_col), F.lit(LAST)), h: F.xxhash64(text_col)}).join(stay, [i, h], "left_semi")
     if found.groupBy("i", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1):  # rows given twice
-        out = out.dropDuplicates(["__i", "__h"])
-    return out.select(*docs.columns)
+        out = out.dropDuplicates([i, h])
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -18,8 +18,9 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def ridge_strength(train: DataFrame, label: str, alpha: float) -> float:
-    """The regParam that minimises |err|^2 / 2n + alpha |w|^2 / 2n: the solver divides its L2 term by the label's deviation."""
-    row = train.agg(F.count(label).alias("n"), F.stddev_samp(label).alias("s")).first()
+    """The regParam that minimises |err|^2 / 2n + alpha |w|^2 / 2n: the normal-equation solver
+    works on the label divided by its population deviation, which scales its L2 term."""
+    row = train.agg(F.count(label).alias("n"), F.stddev_pop(label).alias("s")).first()
     return alpha / max(1, row.n) * (row.s or 0.0)
 
 

@@ -34,13 +34,18 @@ def average_ranks(df: DataFrame, value: str, by: list[str], name: str = "rank")
     return df.join(ranks, [*by, value], "left")
 
 
+def _pearson(x: str, y: str):
+    """NULL where a side does not vary."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlations(df: DataFrame, key: str, label: str, features: list[str], least: int = 30) -> DataFrame:
     """Per feature: Pearson and Spearman against the label over complete pairs, valid rows and coverage; NULL below ``least`` rows."""
     long = df.select(key, F.col(label).alias("y"), *(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in features)).unpivot([key, "y"], features, "feature", "x")
     valid = long.where("x is not null and y is not null")
     ranked = average_ranks(average_ranks(valid, "x", ["feature"], "rx"), "y", ["feature"], "ry")
     total = long.groupBy("feature").agg(F.count(F.lit(1)).alias("rows"))
-    got = ranked.groupBy("feature").agg(F.count(F.lit(1)).alias("n_valid"), F.corr("x", "y").alias("p"), F.corr("rx", "ry").alias("s"))
+    got = ranked.groupBy("feature").agg(F.count(F.lit(1)).alias("n_valid"), _pearson("x", "y").alias("p"), _pearson("rx", "ry").alias("s"))
     n = F.coalesce("n_valid", F.lit(0))
     return total.join(got, "feature", "left").select("feature", n.alias("n_valid"), (n / F.col("rows")).alias("coverage"),
                                                      F.when(n >= least, F.col("p")).alias("pearson"), F.when(n >= least, F.col("s")).alias("spearman"))

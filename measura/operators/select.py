@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.functions import vector_to_array  # noqa: F401
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +40,10 @@ def mutual_information(df: DataFrame, features: list[str], label: str, bins: int
     columns = [*features, label]
     edges = df.agg(*(F.array_distinct(F.percentile(c, at)).alias(f"e{k}") for k, c in enumerate(columns)))
     joined = df.select(*columns).na.drop().join(F.broadcast(edges))
-    binned = joined.select(*(F.size(F.filter(f"e{k}", lambda e, c=c: e < F.col(c))).alias(c) for k, c in enumerate(columns)))
+    def below(edges: str, c: str):
+        return F.size(F.filter(edges, lambda e: e < F.col(c))).alias(c)
+
+    binned = joined.select(*(below(f"e{k}", c) for k, c in enumerate(columns)))
     cells = binned.unpivot([label], features, "feature", "x").groupBy("feature", "x", F.col(label).alias("y")).agg(F.count(F.lit(1)).alias("n"))
     rows = cells.collect()  # features x bins x bins cells at most
     out = {}

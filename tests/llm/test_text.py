@@ -350,7 +350,7 @@ def test_search_is_exact(spark, most):
     docs = frame(spark, rows)
     asked = docs.where("doc_id % 25 = 0 or doc_id > 499")
     got = defaultdict(list)
-    for x in search.top_k(docs, asked, 7, most=most, query_block=9).orderBy("query_id", "rank").collect():
+    for x in search.top_k(docs, asked, 7, most=most, block_terms=400, sample=3).orderBy("query_id", "rank").collect():
         got[x.query_id].append((x.doc_id, x.score))
     want = plain_top(rows, [(i, t) for i, t in rows if i is not None and (i % 25 == 0 or i > 499)], 7)
     assert {q: v for q, v in want.items() if v} == dict(got)

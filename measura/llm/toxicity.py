@@ -7,8 +7,8 @@ stand for letters read as those, other signs dropped, so ``i-d-i.o_t`` is one to
 ("i d i o t") are read as one token as well.
 
 Training sentences carry their document's label. A token seen in clean sentences is negative; the witness of a toxic
-document is its highest-scoring token that no clean document has, found in rounds (multiple-instance SVM). Witnesses with
-inserted letters are added as virtual examples. Landmarks are spread over witnesses and clean tokens; the SVM is linear in
+document is its highest-scoring token that no clean document has, found in rounds (multiple-instance SVM), in which the clean tokens
+that score highest become weighty negatives. Witnesses with inserted letters are added as virtual examples. Landmarks are spread over witnesses and clean tokens; the SVM is linear in
 the Nyström features K(x, L) K(L, L)^-1/2. As K(x, L) is linear in the subsequence weights of x, the trained machine is
 folded into one weight per subsequence, and scoring costs one table look-up each.
 
@@ -92,15 +92,18 @@ def subsequences(tokens: list[str], decay: float, span: int) -> tuple[np.ndarray
 
 def kernel(tokens: list[str], landmarks: list[str], decay: float, span: int) -> np.ndarray:
     """K(tokens, landmarks)."""
-    table = np.zeros((SYMBOLS ** 3, len(landmarks)), np.float32)
     row, code, weight = subsequences(landmarks, decay, span)
-    table[code, row] = weight
+    known, place = np.unique(code, return_inverse=True)
+    table = np.zeros((len(known) + 1, len(landmarks)), np.float32)  # the last row is for codes that no landmark has
+    table[place, row] = weight
+    at = np.full(SYMBOLS ** 3, len(known), np.int32)
+    at[known] = np.arange(len(known))
     out = np.zeros((len(tokens), len(landmarks)), np.float32)
     row, code, weight = subsequences(tokens, decay, span)
     for a in range(0, len(row), 1 << 15):
         part = slice(a, a + (1 << 15))
         edges = np.flatnonzero(np.diff(row[part], prepend=-1))
-        out[row[part][edges]] += np.add.reduceat(table[code[part]] * weight[part, None].astype(np.float32), edges)
+        out[row[part][edges]] += np.add.reduceat(table[at[code[part]]] * weight[part, None].astype(np.float32), edges)
     return out
 
 
@@ -157,7 +160,8 @@ def document_margins(column: pa.Array, machine: Machine) -> np.ndarray:
 
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, steps: int = 30) -> tuple[np.ndarray, float]:
     """Squared-hinge linear SVM by Newton steps on the rows inside the margin."""
-    x = np.hstack([z, np.ones((len(z), 1))])
+    x = np.empty((len(z), z.shape[1] + 1))
+    x[:, :-1], x[:, -1] = z, 1
     ridge = np.eye(x.shape[1]) * penalty
     ridge[-1, -1] = 1e-8
     w = np.zeros(x.shape[1])
@@ -168,8 +172,8 @@ def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, steps
     now = loss(w)
     for _ in range(steps):
         inside = y * (x @ w) < 1
-        a = x[inside] * weight[inside, None]
-        step = np.linalg.solve(ridge + a.T @ x[inside], a.T @ y[inside]) - w
+        a = x[inside] * np.sqrt(weight[inside])[:, None]
+        step = np.linalg.solve(ridge + a.T @ a, a.T @ (y[inside] * np.sqrt(weight[inside]))) - w
         size, new = 1.0, loss(w + step)
         while new > now - 1e-4 * size * abs(now) and size > 1e-3:
             size, new = size / 2, loss(w + size / 2 * step)
@@ -221,39 +225,40 @@ def train(sentences: list[tuple[int, list[str]]], decay: float = 0.8, span: int
     own = [[t for t in set(tokens) if t in only] for tokens in positives if not any(t in known for t in tokens)]
     negatives = [t for t, _ in clean.most_common()]
     rng = np.random.default_rng(0)
-    if len(negatives) > 20_000:  # all frequent ones and an even choice of the rest
-        negatives = negatives[:10_000] + [negatives[i] for i in 10_000 + rng.choice(len(negatives) - 10_000, 10_000, replace=False)]
-    machine, before = None, None
-    for _ in range(rounds):
+    if len(negatives) > 14_000:  # all frequent ones and an even choice of the rest
+        negatives = negatives[:8_000] + [negatives[i] for i in 8_000 + rng.choice(len(negatives) - 8_000, 6_000, replace=False)]
+    machine, before, hard = None, None, []
+    for turn in range(rounds):
         witness = Counter(known)
         if machine is not None:
             names = sorted({t for c in own for t in c})
             score = dict(zip(names, machine.margins(names))) if names else {}
             witness |= Counter(t for t in (max(c, key=lambda t: (score[t], t)) for c in own if c) if score[t] > 0)
-        if witness == before:
+        if turn > 1 and witness == before:
             break
         before = witness
         found = [t for t, _ in witness.most_common(3_000)]
         extra = [x for t in found[:variants] for x in _padded(t) if x not in clean]
-        tokens = found + extra + negatives
-        y = np.concatenate([np.ones(len(found) + len(extra)), -np.ones(len(negatives))])
-        count = np.array([witness[t] for t in found] + [1] * len(extra) + [clean[t] for t in negatives], float)
+        tokens = found + extra + negatives + hard
+        y = np.concatenate([np.ones(len(found) + len(extra)), -np.ones(len(negatives) + len(hard))])
+        count = np.array([witness[t] for t in found] + [1] * len(extra) + [clean[t] for t in negatives] + [100] * len(hard), float)
         weight = np.sqrt(count)
         weight[y > 0] *= .5 * weight[y < 0].sum() / weight[y > 0].sum()
         weight *= len(y) / weight.sum() / 10
         quarter = landmarks // 4
         chosen = found[:quarter] + _spread(found[:1_500], quarter, decay, span) + negatives[:quarter] + _spread(negatives[:1_500], quarter, decay, span)
-        chosen = list(dict.fromkeys(chosen))
+        chosen = list(dict.fromkeys(chosen + hard[:quarter // 2]))
         kmm = kernel(chosen, chosen, decay, span).astype(float)
         value, vector = np.linalg.eigh(kmm)
         root = vector / np.sqrt(np.maximum(value, 1e-4)) @ vector.T
-        w, bias = _svm(kernel(tokens, chosen, decay, span) @ root, y, weight, penalty)
+        w, bias = _svm(kernel(tokens, chosen, decay, span) @ root.astype(np.float32), y, weight, penalty)
         row, code, amount = subsequences(chosen, decay, span)
         weights = np.bincount(code, weights=amount * (root @ w)[row], minlength=SYMBOLS ** 3)
         machine = Machine(weights, bias, 4.0, 0.0, decay, span)
         # A clean document's best token must stay below a toxic one's: the cut lies between.
         names = sorted({t for _, tokens in sentences for t in tokens})
         margin = dict(zip(names, np.concatenate([machine.margins(names[a:a + 8_192]) for a in range(0, len(names), 8_192)]).tolist()))
+        hard = sorted((t for t in names if t in clean), key=margin.__getitem__, reverse=True)[:1_000]  # the next turn's hardest negatives
         top = np.array([max(map(margin.__getitem__, tokens), default=-2.) for _, tokens in sentences])
         label = np.array([y for y, _ in sentences])
         cut = _best_cut(top, label)
@@ -278,7 +283,7 @@ def _without_near_copies(sentences: list[tuple[int, list[str]]]) -> list[tuple[i
 
 
 def _best_cut(top: np.ndarray, label: np.ndarray) -> float:
-    """The cut with the fewest errors, false alarms counting double; a quarter into the widest such gap, as insults in
+    """The cut with the fewest errors, false alarms counting double; two fifths into the widest such gap, as insults in
     disguise score lower than the plain ones of the sample."""
     order = np.argsort(top)
     s, y = top[order], label[order]
@@ -288,7 +293,7 @@ def _best_cut(top: np.ndarray, label: np.ndarray) -> float:
     edge = np.concatenate([[s[0] - .2], s, [s[-1] + .2]])
     gaps = [(edge[k + 1] - edge[k], k) for k in np.flatnonzero(cost == cost.min())]
     _, k = max(gaps)
-    return float(edge[k] + (edge[k + 1] - edge[k]) / 4)
+    return float(edge[k] + 0.4 * (edge[k + 1] - edge[k]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",

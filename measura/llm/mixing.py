@@ -146,7 +146,9 @@ def fit_rates(scored: DataFrame, model: Domains, targets: dict[str, float] | Non
         if max((abs(a - b) for a, b in zip(now, goal)), default=0) <= tolerance * max(size_all, 1):
             break
         steps.append([(a - b) / h if h else 0.0 for a, b, h in zip(now, goal, have)])
-        now = sums(steps)
+        before, now = now, sums(steps)
+        if max((abs(a - b) for a, b in zip(now, before)), default=0) <= tolerance / 10 * max(size_all, 1):
+            break  # what is left of the gradient points out of the allowed rates
     return Mixture(model, steps, goal, now, least)
 
 

@@ -246,11 +246,11 @@ def a03(spark, sf_dir):
     return resolve.resolution_statistics(meas(spark, sf_dir), canonical=F.when(F.length("key") >= 4, F.col("key")))
 
 
-@query("a04_describe", f"""SELECT source, count(value) AS n, round(min(value), 4) AS low, round(max(value), 4) AS high, round(avg(value), 4) AS mean, round(median(value), 4) AS median,
-    round(stddev_pop(value), 4) AS deviation, count(DISTINCT value) AS "distinct" FROM {M} GROUP BY source""")
+@query("a04_describe", f"""SELECT source, count(value) AS n, round(min(value) + 1e-9, 4) AS low, round(max(value) + 1e-9, 4) AS high, round(avg(value) + 1e-9, 4) AS mean, round(median(value) + 1e-9, 4) AS median,
+    round(stddev_pop(value) + 1e-9, 4) AS deviation, count(DISTINCT value) AS "distinct" FROM {M} GROUP BY source""")
 def a04(spark, sf_dir):
     d = quality.describe(meas(spark, sf_dir), "value", ["source"])
-    return d.select("source", "n", *(r(F.col(c), 4).alias(c) for c in ("low", "high", "mean", "median", "deviation")), "distinct")
+    return d.select("source", "n", *(r(F.col(c) + 1e-9, 4).alias(c) for c in ("low", "high", "mean", "median", "deviation")), "distinct")
 
 
 @query("a05_source_profile", f"""SELECT source, count(*) AS n, round(avg((value < 1500)::int), 6) AS parse_rate, count(*) FILTER (value < 950) AS low, count(*) FILTER (value > 1900) AS high,

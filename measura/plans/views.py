@@ -17,7 +17,7 @@ DOCS = r"""SELECT doc_id, lower(trim(regexp_replace(text, '[ \t-\r]+', ' '@g)))
 
 FEAT = """SELECT p_partkey AS id, CAST(p_size AS double) AS x1, p_retailprice AS x2, q AS x3, d AS x4,
     300 + 2 * CAST(p_size AS double) + 5e-2 * p_retailprice + 3 * q + (p_partkey * 7919 % 101) / 1e1 AS y
-    FROM {part} LEFT JOIN (SELECT l_partkey, round(avg(l_quantity), 6) AS q, round(avg(l_discount + 0e0), 6) AS d FROM {lineitem} GROUP BY l_partkey)
+    FROM {part} LEFT JOIN (SELECT l_partkey, round(avg(l_quantity) + 1e-9, 6) AS q, round(avg(l_discount + 0e0) + 1e-9, 6) AS d FROM {lineitem} GROUP BY l_partkey)
     ON l_partkey = p_partkey"""
 FEATURES = ["x1", "x2", "x3", "x4"]
 

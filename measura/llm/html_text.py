@@ -41,6 +41,8 @@ WORDS = frozenset(
     " sidebar side aside rail widget widgets footer foot bottom masthead topbar toolbar header cookie cookies consent gdpr notice notices alert popup modal"
     " overlay newsletter subscribe subscription signup login comment comments disqus reply replies respond share sharing social related recommended"
     " recommendations pagination pager search tags tagcloud legal copyright contentinfo complementary".split())
+#: What a header with an article's title is named after.
+TITLED = frozenset("article post entry story content".split())
 #: Frequent function words of English, German, French and Spanish.
 STOP = frozenset(
     "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were her all she there would"
@@ -124,8 +126,10 @@ def _marked(attributes: str) -> bool:
         return True
     for m in ATTRIBUTE.finditer(attributes):
         value = m[1] or m[2] or m[3] or ""
-        if any(w in WORDS for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
-            return True
+        for name in value.split():
+            words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
+            if words & WORDS and not (words & WORDS <= {"header", "head"} and words & TITLED):
+                return True
     return False
 
 

@@ -26,11 +26,20 @@ def layer_columns(layers: dict[str, list[str]], components: dict[str, list[str]]
 
 
 def average_ranks(df: DataFrame, value: str, by: list[str], name: str = "rank") -> DataFrame:
-    """Ranks from 1, ties sharing their mean (W08). Values are counted first, so tied rows never sort, and a group's running
-    counts go over its distinct values."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)) if by else F.sum("__n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.select(*by, value, (F.coalesce(before, F.lit(0)) + (F.col("__n") + 1) / 2).alias(name))
+    """Ranks from 1, ties sharing their mean (W08); NULL for NULL.
+
+    Values are counted first, so tied rows never sort. Approximate quantiles cut a group's values into ranges; exact counts of the
+    ranges and a window inside each give exact ranks without gathering a group in one task."""
+    known = df.where(F.col(value).isNotNull())
+    edges = known.groupBy(*by).agg(F.percentile_approx(value, F.lit([k / 64 for k in range(1, 64)]), F.lit(1000)).alias("__e"))  # a row for each group
+    counts = known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    cut = (counts.join(edges, by) if by else counts.join(F.broadcast(edges))).withColumn("__b", F.size(F.filter("__e", lambda e: e < F.col(value)))).drop("__e")
+    sizes = cut.groupBy(*by, "__b").agg(F.sum("__n").alias("__m"))
+    over = (Window.partitionBy(*by) if by else Window).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*by, "__b", F.coalesce(F.sum("__m").over(over), F.lit(0)).alias("__s"))
+    before = F.sum("__n").over(Window.partitionBy(*by, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    ranks = cut.withColumn("__r", F.coalesce(before, F.lit(0))).join(starts, [*by, "__b"])
+    ranks = ranks.select(*by, value, (F.col("__s") + F.col("__r") + (F.col("__n") + 1) / 2).alias(name))
     return df.join(ranks, [*by, value], "left")
 
 

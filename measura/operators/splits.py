@@ -1,7 +1,7 @@
 """Bins, splits and folds with reproducible orders.
 
 Every random order is the order of ``md5(seed:key)``, the same on any engine. Positions in such an order over a whole table are
-counted in two steps, by a prefix of the digest first, so no single task sorts all rows."""
+counted in two steps, by a prefix of the digest first, so no single task sorts all rows of a table or of a stratum."""
 
 from __future__ import annotations
 
@@ -13,14 +13,20 @@ def digest(seed: int | str, *keys: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
 
 
-def position(df: DataFrame, order: Column, name: str = "position", prefix: int = 2) -> DataFrame:
-    """The place of each row, from 0, in the order of a hex digest column; equal digests sort arbitrarily."""
+def position(df: DataFrame, order: Column, name: str = "position", prefix: int = 2, by: list[str] | None = None, tie: str | None = None) -> DataFrame:
+    """The place of each row, from 0, in the order of a hex digest column, within groups ``by``. Rows are counted by the digest's first
+    letters; a window then orders the rows of one such part only. Equal digests sort by ``tie``."""
+    by = by or []
     cut = df.withColumn("__o", order).withColumn("__b", F.substring("__o", 1, prefix))
-    sizes = cut.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))  # 16 ** prefix rows at most
-    before = F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("__b", F.coalesce(before, F.lit(0)).alias("__s"))
-    own = F.row_number().over(Window.partitionBy("__b").orderBy("__o")) - 1
-    return cut.withColumn("__r", own).join(F.broadcast(starts), "__b").withColumn(name, F.col("__s") + F.col("__r")).drop("__o", "__b", "__s", "__r")
+    sizes = cut.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))  # 16 ** prefix rows for each group at most
+    over = (Window.partitionBy(*by) if by else Window).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*by, "__b", F.coalesce(F.sum("__n").over(over), F.lit(0)).alias("__s"))
+    own = F.row_number().over(Window.partitionBy(*by, "__b").orderBy("__o", *([tie] if tie else []))) - 1
+    placed = cut.withColumn("__r", own)
+    same = placed["__b"] == starts["__b"]
+    for c in by:  # groups may be NULL
+        same = same & placed[c].eqNullSafe(starts[c])
+    return placed.join(starts, same).select(*(placed[c] for c in df.columns), (F.col("__s") + F.col("__r")).alias(name))
 
 
 def quantile_edges(df: DataFrame, value: str, bins: int = 10) -> list[float]:
@@ -39,9 +45,10 @@ def quantile_bins(df: DataFrame, value: str, bins: int = 10, name: str = "bin")
 
 def stratified_split(df: DataFrame, key: str, stratum: str, test: float = 0.2, seed: int = 42, name: str = "split") -> DataFrame:
     """round(n * test) rows of each stratum are test rows."""
-    w = Window.partitionBy(stratum)
-    place = F.row_number().over(w.orderBy(digest(seed, key), key))
-    return df.withColumn(name, F.when(place <= F.round(F.count(F.lit(1)).over(w) * test), "test").otherwise("train"))
+    sizes = df.groupBy(F.col(stratum).alias("__t")).agg(F.count(F.lit(1)).alias("__n"))  # one row for each stratum
+    placed = position(df, digest(seed, key), "__p", by=[stratum], tie=key)
+    joined = placed.join(sizes, placed[stratum].eqNullSafe(sizes["__t"]))
+    return joined.withColumn(name, F.when(F.col("__p") < F.round(F.col("__n") * test), "test").otherwise("train")).select(*df.columns, name)
 
 
 def random_split(df: DataFrame, key: str, test: float = 0.2, seed: int = 42, name: str = "split") -> DataFrame:

@@ -135,6 +135,13 @@ def j10(spark, sf_dir):
     return got.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.round("distance", 5)), 3).alias("total"))
 
 
+@query("j10_knn_predict")
+def j10_predict(spark, sf_dir):
+    e = _vectors(table(spark, sf_dir, "embeddings"))
+    p = joins.knn_predict(e, e.where("vec_id % 50 = 0"), 5, "vec_id", "v", "label", "vec_id", "manhattan")
+    return p.select("query", r(F.col("yhat")).alias("yhat"), r(F.col("farthest"), 5).alias("farthest"))
+
+
 @query("j11_vector_blend", """SELECT a.vec_id AS k1, b.vec_id AS k2, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: 0.3 * p[1]::double + 0.7 * p[2]::double)), 5) AS total
     FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 def j11(spark, sf_dir):

@@ -140,3 +140,39 @@ def test_quality(spark):
     assert (o.a, o.b, o.shared, o.percent) == ("s", "t", 1, 100.0)
     assert quality.exclusive_keys(df).first().asDict() == {"source": "s", "exclusive": 1}
     assert quality.cross_source_conflicts(df).first().span == 49.0
+
+
+def test_nearest(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 4))
+    df = spark.createDataFrame([(i, x[i].tolist(), float(i)) for i in range(80)], "id long, v array<double>, y double")
+    asked = df.where("id % 10 = 0")
+    got = {}
+    for r in joins.nearest(df, asked, 3, "id", "v", "y", "id").orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append(r.neighbour)
+    for q, near in got.items():
+        assert near == np.argsort(np.linalg.norm(x - x[q], axis=1), kind="stable")[:3].tolist()
+    p = {r.query: r.yhat for r in joins.knn_predict(df, asked, 3, "id", "v", "y", "id").collect()}
+    assert all(abs(p[q] - np.mean(n)) < 1e-9 for q, n in got.items())
+    found = {(r.query, r.neighbour) for r in joins.nearest_lsh(df, asked, 3, "id", "v", "id", 4.0, 4.0, 12).collect()}
+    want = {(q, n) for q, near in got.items() for n in near}
+    assert len(found & want) >= 0.9 * len(want)
+
+
+def test_ranks_against_a_sort(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(int(g), float(v) if v < 9 else None) for g, v in zip(rng.integers(0, 3, 400), rng.integers(0, 10, 400))]
+    got = profiles.average_ranks(spark.createDataFrame(rows, "g int, v double"), "v", ["g"]).collect()
+    for g in range(3):
+        own = sorted(v for h, v in rows if h == g and v is not None)
+        for r in (r for r in got if r.g == g):
+            assert r.rank is None if r.v is None else r.rank == np.mean([k + 1 for k, v in enumerate(own) if v == r.v])
+
+
+def test_median_is_exact_with_one_hot_key(spark):
+    df = meas(spark, [("hot", float(i), "s", 0, i) for i in range(999)] + [("cold", 1.0, "s", 0, 1000)])
+    assert {r.key: r.value for r in resolve.resolve_conflicts(df, ["priority", "src_row"]).collect()} == {"hot": 499.0, "cold": 1.0}

@@ -173,6 +173,15 @@ def test_ranks_against_a_sort(spark):
             assert r.rank is None if r.v is None else r.rank == np.mean([k + 1 for k, v in enumerate(own) if v == r.v])
 
 
-def test_median_is_exact_with_one_hot_key(spark):
-    df = meas(spark, [("hot", float(i), "s", 0, i) for i in range(999)] + [("cold", 1.0, "s", 0, 1000)])
-    assert {r.key: r.value for r in resolve.resolve_conflicts(df, ["priority", "src_row"]).collect()} == {"hot": 499.0, "cold": 1.0}
+@pytest.mark.parametrize("policy", ["median", "exclude"])
+def test_hot_keys_have_the_same_medians(spark, policy):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    rows = [(f"hot{k % 2}", float(np.round(v, 1)), "st"[int(v * 10) % 2], 0, k) for k, v in enumerate(rng.normal(50, 20, 5001))]
+    rows += [("only", 1.0, "s", 0, k) for k in range(1500)] + [(f"cold{k % 400}", float(k), "st"[k % 3 > 0], 0, k) for k in range(900)] + [(None, 1.0, "s", 0, 0)]
+    df = meas(spark, rows)
+    hot = resolve.hot_keys(df, share=10)
+    assert {r.key for r in hot.collect()} == {"hot0", "hot1", "only"}
+    plain = resolve.resolve_conflicts(df, ["priority", "src_row"], policy, "s").orderBy("key").collect()
+    assert resolve.resolve_conflicts(df, ["priority", "src_row"], policy, "s", hot=hot).orderBy("key").collect() == plain

@@ -161,7 +161,7 @@ class _Tokens:
     tokenizer, so it is cut off first. Each distinct word is tokenized once a task; words of Latin-1 letters only, which the
     normalizer does nothing but lower-case, go straight to the tokenizer's BPE model."""
 
-    KEPT = 400_000  # words remembered, at most
+    KEPT = 200_000  # words remembered, at most
 
     def __init__(self, path: str):
         self.path, self.tokenizer, self.known, self.letters = path, None, {}, _byte_letters()
@@ -229,7 +229,7 @@ def _pieces(path: str, capacity: int, separator: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, n in by_bytes(batch.column(1), 8 << 20):
+            for a, n in by_bytes(batch.column(1), 4 << 20):
                 part = batch.slice(a, n)
                 row, piece, start, length, crc = [], [], [], [], []
                 for k, ids in enumerate(tokens(part.column(1))):

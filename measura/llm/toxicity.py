@@ -99,11 +99,12 @@ def kernel(tokens: list[str], landmarks: list[str], decay: float, span: int) ->
     at = np.full(SYMBOLS ** 3, len(known), np.int32)
     at[known] = np.arange(len(known))
     out = np.zeros((len(tokens), len(landmarks)), np.float32)
-    row, code, weight = subsequences(tokens, decay, span)
-    for a in range(0, len(row), 1 << 15):
-        part = slice(a, a + (1 << 15))
-        edges = np.flatnonzero(np.diff(row[part], prepend=-1))
-        out[row[part][edges]] += np.add.reduceat(table[at[code[part]]] * weight[part, None].astype(np.float32), edges)
+    for start in range(0, len(tokens), 2_048):  # the tokens' subsequences are never all in memory
+        row, code, weight = subsequences(tokens[start:start + 2_048], decay, span)
+        for a in range(0, len(row), 1 << 15):
+            part = slice(a, a + (1 << 15))
+            edges = np.flatnonzero(np.diff(row[part], prepend=-1))
+            out[start + row[part][edges]] += np.add.reduceat(table[at[code[part]]] * weight[part, None].astype(np.float32), edges)
     return out
 
 
@@ -160,20 +161,28 @@ def document_margins(column: pa.Array, machine: Machine) -> np.ndarray:
 
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, steps: int = 30) -> tuple[np.ndarray, float]:
     """Squared-hinge linear SVM by Newton steps on the rows inside the margin."""
-    x = np.empty((len(z), z.shape[1] + 1))
+    x = np.empty((len(z), z.shape[1] + 1), np.float32)  # summed in double precision, block by block
     x[:, :-1], x[:, -1] = z, 1
+    blocks = [slice(a, a + 2_048) for a in range(0, len(x), 2_048)]
     ridge = np.eye(x.shape[1]) * penalty
     ridge[-1, -1] = 1e-8
     w = np.zeros(x.shape[1])
 
+    def margins(v: np.ndarray) -> np.ndarray:
+        return np.concatenate([x[b].astype(float) @ v for b in blocks])
+
     def loss(v: np.ndarray) -> float:
-        return float(v @ ridge @ v + weight @ np.maximum(0, 1 - y * (x @ v)) ** 2)
+        return float(v @ ridge @ v + weight @ np.maximum(0, 1 - y * margins(v)) ** 2)
 
     now = loss(w)
     for _ in range(steps):
-        inside = y * (x @ w) < 1
-        a = x[inside] * np.sqrt(weight[inside])[:, None]
-        step = np.linalg.solve(ridge + a.T @ a, a.T @ (y[inside] * np.sqrt(weight[inside]))) - w
+        inside = np.where(y * margins(w) < 1, np.sqrt(weight), 0)
+        square, right = ridge.copy(), np.zeros(x.shape[1])
+        for b in blocks:
+            a = x[b] * inside[b, None]
+            square += a.T @ a
+            right += a.T @ (y[b] * inside[b])
+        step = np.linalg.solve(square, right) - w
         size, new = 1.0, loss(w + step)
         while new > now - 1e-4 * size * abs(now) and size > 1e-3:
             size, new = size / 2, loss(w + size / 2 * step)
@@ -202,10 +211,10 @@ def _padded(token: str) -> list[str]:
 
 
 def train(sentences: list[tuple[int, list[str]]], decay: float = 0.8, span: int = 5, landmarks: int = 256, rounds: int = 3,
-          penalty: float = 0.003, odds: float = 1e5, variants: int = 150) -> Machine | None:
+          penalty: float = 0.003, odds: float = 1e5, variants: int = 150, most_negative: int = 20_000) -> Machine | None:
     """sentences: (label, tokens) of labelled texts. None without both labels. A token that only toxic documents have is
     a witness without further proof if chance explains that with less than one in ``odds``; near copies of a document count
-    once. The ``variants`` most frequent witnesses get virtual examples."""
+    once. The ``variants`` most frequent witnesses get virtual examples; ``most_negative`` bounds the clean tokens that are negatives."""
     clean: Counter = Counter()
     toxic: Counter = Counter()
     sentences = [(y, sorted({x for x in t if len(x) >= 3})) for y, t in sentences]
@@ -225,8 +234,9 @@ def train(sentences: list[tuple[int, list[str]]], decay: float = 0.8, span: int
     own = [[t for t in set(tokens) if t in only] for tokens in positives if not any(t in known for t in tokens)]
     negatives = [t for t, _ in clean.most_common()]
     rng = np.random.default_rng(0)
-    if len(negatives) > 14_000:  # all frequent ones and an even choice of the rest
-        negatives = negatives[:8_000] + [negatives[i] for i in 8_000 + rng.choice(len(negatives) - 8_000, 6_000, replace=False)]
+    if len(negatives) > most_negative:  # all frequent ones and an even choice of the rest
+        half = most_negative // 2
+        negatives = negatives[:half] + [negatives[i] for i in half + rng.choice(len(negatives) - half, most_negative - half, replace=False)]
     machine, before, hard = None, None, []
     for turn in range(rounds):
         witness = Counter(known)
@@ -297,7 +307,7 @@ def _best_cut(top: np.ndarray, label: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        folds: int = 5, most_toxic: int = 1_500, most_clean: int = 4_000) -> Machine | None:
+        folds: int = 5, most_toxic: int = 2_000, most_clean: int = 5_000) -> Machine | None:
     """Train on a bounded sample: at most ``most_toxic`` and ``most_clean`` labelled texts outside fold 0, picked by id hash."""
     known = labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).where("i is not null and y in (0, 1)").where(fold_of("i", folds) != 0)
     n = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}

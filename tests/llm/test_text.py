@@ -159,6 +159,31 @@ def test_toxicity_held_out(spark, labelled):
     assert clean.columns == docs.columns and clean.count() == sum(not r.predicted for r in got)
 
 
+def test_toxicity_training_bounds(monkeypatch):
+    import inspect
+
+    assert [inspect.signature(toxicity.fit).parameters[k].default for k in ("most_toxic", "most_clean")] == [2_000, 5_000]
+    rows = []
+    monkeypatch.setattr(toxicity, "_svm", lambda z, y, *_: (rows.append(int((y < 0).sum())), (np.zeros(z.shape[1]), 0.))[1])
+    names = ["".join("abcdefghijklmnopqrstuvwxyz"[n // 26 ** k % 26] for k in range(4)) for n in range(25_000)]
+    for n, want in ((18_000, 18_000), (25_000, 20_000)):
+        rows.clear()
+        toxicity.train([(0, names[a:a + 100]) for a in range(0, n, 100)] + [(1, ["idiotic", "aaaa"])] * 40)
+        assert rows[0] == want  # clean tokens used as negatives
+
+
+def test_svm_blocks_equal_one_solve():
+    r = np.random.default_rng(0)
+    z, y = r.normal(size=(5_000, 8)), np.where(r.random(5_000) < .3, 1., -1.)
+    z[:, 0] += y
+    weight = r.random(5_000) + .1
+    w, b = toxicity._svm(z, y, weight, .003)
+    x = np.hstack([z, np.ones((5_000, 1))])
+    v = np.append(w, b)
+    gradient = v * np.append(np.full(8, .003), 1e-8) - x.T @ (weight * y * np.maximum(0, 1 - y * (x @ v)))
+    assert np.abs(gradient).max() < 1e-2 * np.abs(x.T @ (weight * y)).max()
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, [(1, "idiot"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, toxic int")

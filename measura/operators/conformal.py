@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import conformal_quantile
@@ -23,21 +26,61 @@ def split_conformal(train: DataFrame, calibration: DataFrame, test: DataFrame, s
 def cross_conformal(df: DataFrame, test: DataFrame, spec: Spec, features: list[str], label: str, key: str, k: int, coverage: float = 0.9, levels: int = 1_000) -> DataFrame:
     """Bounds are quantiles of (a fold model's prediction -+ a residual of that fold) over all folds and residuals.
 
-    Residuals of a fold are the same for all test rows, so they come as at most ``levels`` weighted quantile points of the fold, in one
-    broadcast row per fold: exact up to ``levels`` residuals a fold, and test rows never meet all training rows."""
-    parts, points = [], []
+    Exact. Each fold's residuals are counted by value and cut into about ``levels`` ranges, whose ends and counts (all that the driver
+    and the tasks hold) tell which few ranges can hold a test row's wanted ranks; it meets the residuals of those only."""
+    every, found, ranges = test, [], []
     for f in range(k):
         fitted = spec.fit(df.where(F.col("fold") != f), features, label)
-        r = fitted.predict(df.where(F.col("fold") == f)).select(F.abs(F.col(label) - F.col("yhat")).alias("r"))
-        n = r.count()
-        m = max(1, min(n, levels))
-        at = F.lit([i / max(1, m - 1) for i in range(m)])
-        points.append(r.agg(F.percentile("r", at).alias("points"), F.lit(n / m).alias("weight")).withColumn("fold", F.lit(f)))
-        parts.append(fitted.predict(test).select(key, F.col(label).alias("y"), "yhat", F.lit(f).alias("fold")))
-    every = reduce(DataFrame.unionByName, parts).join(F.broadcast(reduce(DataFrame.unionByName, points)), "fold")
-    long = every.select(key, "y", "yhat", F.explode("points").alias("r"))
-    got = long.groupBy(key, "y").agg(F.avg("yhat").alias("yhat"), F.percentile(F.col("yhat") - F.col("r"), 1 - coverage).alias("low"), F.percentile(F.col("yhat") + F.col("r"), coverage).alias("high"))
-    return got
+        r = fitted.predict(df.where(F.col("fold") == f)).select(F.abs(F.col(label) - F.col("yhat")).alias("r")).where("r is not null")
+        cuts = r.agg(F.percentile_approx("r", F.lit([i / levels for i in range(1, levels)] or [0.5]), 10 * levels).alias("c")).first().c
+        if cuts:
+            counts = r.groupBy("r").agg(F.count(F.lit(1)).alias("n"))
+            counts = Bucketizer(splits=[-np.inf, *sorted(set(cuts)), np.inf], inputCol="r", outputCol="range").transform(counts).withColumn("fold", F.lit(f))
+            ranges += counts.groupBy("fold", "range").agg(F.min("r").alias("low"), F.max("r").alias("high"), F.sum("n").alias("n")).collect()
+            found.append(counts)
+        every = fitted.predict(every).withColumnRenamed("yhat", f"__y{f}")
+    yhat = [F.col(f"__y{f}") for f in range(k)]
+    # Rows of one key and label have the same bounds and come once.
+    every = every.groupBy(key, F.col(label).alias("y")).agg(F.array(*(F.first(c) for c in yhat)).alias("__p"), F.avg(sum(yhat) / k).alias("yhat"))
+    if not ranges:
+        return every.select(key, "y", "yhat", *(F.lit(None).cast("double").alias(c) for c in ("low", "high")))
+    n = sum(x.n for x in ranges)
+    at = [(n - 1) * (1 - coverage), (n - 1) * coverage]
+    near = every.withColumn("__c", F.explode_outer(F.udf(_near(ranges, at), NEAR)("__p"))).select("*", "__c.*").drop("__c")
+    x = F.element_at("__p", F.col("fold") + 1) + F.when(F.col("side") == 0, -F.col("r")).otherwise(F.col("r"))
+    long = near.join(reduce(DataFrame.unionByName, found), ["fold", "range"], "left").withColumn("x", x)
+    place = F.col("below") + F.sum("n").over(Window.partitionBy(key, "y", "side").orderBy("x"))  # values up to x, equal ones included
+    got = long.withColumn("__n", place).groupBy(key, "y").agg(F.max("yhat").alias("yhat"), *(
+        F.min(F.when((F.col("side") == side) & (F.col("__n") > rank), F.col("x"))).alias(f"__{side}{end}")
+        for side, p in enumerate(at) for end, rank in enumerate((math.floor(p), math.ceil(p)))))
+    bounds = [F.col(f"__{side}0") + (p - math.floor(p)) * (F.col(f"__{side}1") - F.col(f"__{side}0")) for side, p in enumerate(at)]
+    return got.select(key, "y", "yhat", bounds[0].alias("low"), bounds[1].alias("high"))
+
+
+NEAR = "array<struct<side: int, below: long, fold: int, range: double>>"
+
+
+def _near(ranges: list, at: list[float]):
+    """For the fold predictions of a test row: by side (0 low, 1 high) the ranges that can hold the places ``at``, and how many values
+    lie below all of them."""
+    fold, part, n = (np.array([x[c] for x in ranges]) for c in ("fold", "range", "n"))
+    ends = np.array([[x.low, x.high] for x in ranges])
+
+    def near(predicted: list[float]) -> list[tuple]:
+        if any(p is None for p in predicted):
+            return []
+        out = []
+        for side, place in enumerate(at):
+            x = np.sort(np.array(predicted)[fold][:, None] + (ends if side else -ends), axis=1)
+            order = np.argsort(x[:, 0])
+            least = x[order[np.searchsorted(np.cumsum(n[order]), math.floor(place) + 1)], 0]
+            order = np.argsort(x[:, 1])
+            most = x[order[np.searchsorted(np.cumsum(n[order]), math.ceil(place) + 1)], 1]
+            below = int(n[x[:, 1] < least].sum())
+            out += [(side, below, int(fold[i]), float(part[i])) for i in np.flatnonzero((x[:, 1] >= least) & (x[:, 0] <= most))]
+        return out
+
+    return near
 
 
 def quantile_tree(train: DataFrame, features: list[str], label: str, quantiles: list[float], depth: int = 4, least: int = 20):

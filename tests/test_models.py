@@ -52,6 +52,23 @@ def test_intervals_cover(rows):
         assert got.agg(F.avg(F.col("y").between(F.col("low"), F.col("high")).cast("int"))).first()[0] >= 0.8
 
 
+def test_cross_conformal_uses_all_residuals(rows):
+    train, test = rows.where("fold <> 2").withColumn("fold", F.when(F.col("id") % 4 == 0, 0).otherwise(1)), rows.where("fold = 2")
+    values, heights = [], {}
+    for f in range(2):
+        fitted = Spec("ridge").fit(train.where(F.col("fold") != f), X, "y")
+        r = np.array([abs(x.y - x.yhat) for x in fitted.predict(train.where(F.col("fold") == f)).collect()])
+        values.append(r)
+        for x in fitted.predict(test).collect():
+            heights.setdefault(x.id, []).append(x.yhat)
+    assert len(values[0]) != len(values[1])
+    got = conformal.cross_conformal(train, test, Spec("ridge"), X, "y", "id", 2, levels=10).collect()
+    assert len(got) == test.count()
+    for x in got:
+        low, high = (np.concatenate([h + s * r for h, r in zip(heights[x.id], values)]) for s in (-1, 1))
+        assert np.allclose((x.yhat, x.low, x.high), (np.mean(heights[x.id]), np.quantile(low, 0.1), np.quantile(high, 0.9)), atol=1e-9)
+
+
 def test_selection(rows):
     assert select.mrmr(rows, X, "y", 2)[0] == "x1"
     assert select.importance_ranking(rows, X, "y", 1)[0][0] == "x1"

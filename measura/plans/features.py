@@ -262,8 +262,9 @@ def a22(spark, sf_dir):
 
 @query("f12_hashed_ngrams")
 def f12(spark, sf_dir):
-    h = sequences.hashed_ngrams(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "bits", 3, 256)
-    return h.select("o_orderkey", F.aggregate(vector_to_array("bits"), F.lit(0.0), lambda s, x: s + x).alias("ones"))
+    h = sequences.hashed_ngrams(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "bits")
+    bits = vector_to_array("bits", "float32")
+    return h.select("doc_id", F.filter(F.transform(bits, lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull()).alias("bits"))
 
 
 @query("u01_featurize")

@@ -71,8 +71,7 @@ def m08(spark, sf_dir):
 def _virtual(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     m = view(spark, sf_dir, MAT).withColumn("x", F.col("raw") / 1000)
     gold = m.select("k", "x", F.col("t").alias("y"), (F.col("k") % 3).cast("int").alias("fold"))
-    pairs = joins.material_pairs(m, "k", "t").where("k2 <= k1 + 3")
-    grid = joins.weight_grid(m, "k", "t", [0.3, 0.7], pairs=pairs)
+    grid = joins.weight_grid(m, "k", "t", [0.1, 0.3, 0.5, 0.7, 0.9])
     x = m.select(F.col("k"), F.col("x"))
     v = grid.join(x.withColumnsRenamed({"k": "k1", "x": "xa"}), "k1").join(x.withColumnsRenamed({"k": "k2", "x": "xb"}), "k2")
     return gold, v.select("k1", "k2", (F.col("w1") * F.col("xa") + (1 - F.col("w1")) * F.col("xb")).alias("x"), F.col("mixed").alias("y"))
@@ -128,9 +127,9 @@ def m16(spark, sf_dir):
 
 @query("m17_pca")
 def m17(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(16)))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)))
     e = e.withColumn("e3", F.when(F.col("vec_id") % 17 != 0, F.col("e3")))
-    return _rounded(prep.Components.fit(e.where("vec_id % 5 <> 0"), [f"e{i}" for i in range(16)], 3).transform(e).select("vec_id", *(F.abs(f"pc{i}").alias(f"pc{i}") for i in range(3))), 5)
+    return _rounded(prep.Components.fit(e.where("vec_id % 5 <> 0"), [f"e{i}" for i in range(64)], 3).transform(e).select("vec_id", *(F.abs(f"pc{i}").alias(f"pc{i}") for i in range(3))), 5)
 
 
 @query("m18_boruta")

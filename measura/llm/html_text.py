@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -70,6 +71,8 @@ class Block:
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, outside, article
+    opened: Counter = Counter()  # open elements by tag
+    outer = inner = 0  # open elements marked outside, and marked article
     pieces: list[str] = []
     linked = link = 0
     heading = False
@@ -78,7 +81,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal pieces, linked, heading
         text = " ".join(html.unescape("".join(pieces)).split())
         if text:
-            out.append(Block(text, linked, any(s[1] for s in stack), any(s[2] for s in stack), heading))
+            out.append(Block(text, linked, outer > 0, inner > 0, heading))
         pieces, linked, heading = [], 0, False
 
     at = 0
@@ -99,9 +102,12 @@ def blocks(page: str) -> list[Block]:
                 link = 0
             if tag == "a":
                 link = 0
-            if tag in NESTING and any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if opened[tag]:
+                last = ""
+                while last != tag:
+                    last, outside, article = stack.pop()
+                    opened[last] -= 1
+                    outer, inner = outer - outside, inner - article
             continue
         if tag in BLOCKS:
             close()
@@ -109,8 +115,9 @@ def blocks(page: str) -> list[Block]:
         if tag == "a":
             link = 1
         elif tag in NESTING:
-            if len(stack) < 400:
-                stack.append((tag, _outside(tag, m["attr"], stack), tag in ("article", "main")))
+            stack.append((tag, _outside(tag, m["attr"], inner > 0), tag in ("article", "main")))
+            opened[tag] += 1
+            outer, inner = outer + stack[-1][1], inner + stack[-1][2]
         elif tag in ("p", "li", "span", "h1", "h2", "h3", "h4", "td") and m["attr"] and _marked(m["attr"]):
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)  # a marked leaf: its own text only
             if end and not re.search(rf"<{tag}\b", page[at:end.start()], re.I):
@@ -133,11 +140,11 @@ def _marked(attributes: str) -> bool:
     return False
 
 
-def _outside(tag: str, attributes: str, stack: list) -> bool:
+def _outside(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in OUTSIDE:
         return True
     if tag == "header":  # an article's own header holds its title
-        return not any(s[2] for s in stack)
+        return not in_article
     if tag in ("article", "main", "body"):
         return "comment" in attributes.lower()
     return bool(attributes) and _marked(attributes)

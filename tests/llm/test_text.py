@@ -259,6 +259,14 @@ def test_plain_text_has_no_disguises():
         assert not any(pii.hidden(s, pii.find(s)).values())
 
 
+def test_html_beyond_four_hundred_open_elements():
+    body = "The cat and the dog were in the house and that is what they had to say about it to us all."
+    page = "<article>" + "<div>" * 500 + f"<p>{body}</p><nav>Home and away</nav><div>" + "<div></div>" * 20 + f"<p>{body}</p></article><p>Foot</p>"
+    found = {b.text: b for b in html_text.blocks(page)}
+    assert found["Home and away"].outside and found[body].article and not found["Foot"].article
+    assert [b.article for b in html_text.blocks(page)] == [True, True, True, False]
+
+
 def test_personal_data_rows(spark):
     t = "😀 a@b.co, 10.0.0.1 and 300.1.1.1; 4041894974608795 +1 (988) 555-2485 jo [at] b [dot] co"
     got = {r.doc_id: r for r in pii.find_personal_data(frame(spark, [(1, t), (2, None), (3, ""), (None, t)])).collect()}
@@ -366,6 +374,13 @@ def plain_top(rows, queries, k):
     return out
 
 
+def test_search_counts_beyond_16_bits(spark):
+    rows = [(1, "w1 " * 70_000), (2, "w1 " * 300_000), (3, "w1"), *((i, "w3 w4") for i in range(4, 40))]
+    docs = frame(spark, rows)
+    got = search.top_k(docs, docs.where("doc_id = 3"), 3).orderBy("rank").collect()
+    assert [(x.doc_id, x.score) for x in got] == plain_top(rows, [(3, "w1")], 3)[3]
+
+
 @pytest.mark.parametrize("most", [40, 12_288])
 def test_search_is_exact(spark, most):
     r = random.Random(4)

@@ -2,11 +2,11 @@
 
 Kernel: two letter strings are compared by their common subsequences of three letters; an occurrence that spans L letters
 weighs ``decay ** L``, spans over ``span`` letters weigh nothing, and the kernel is normalized. Gapped or padded insults
-keep most of their subsequences. A sentence is scored by its most insult-like token: letters only, digits and signs that
+keep most of their subsequences. A document is scored by its most insult-like token: letters only, digits and signs that
 stand for letters read as those, other signs dropped, so ``i-d-i.o_t`` is one token; three or more single letters in a row
-("i d i o t") are read as one token as well.
+("i d i o t") are read as one token as well. No other neighbours are joined and no sentences are formed.
 
-Training sentences carry their document's label. A token seen in clean sentences is negative; the witness of a toxic
+Training texts carry their document's label. A token seen in clean texts is negative; the witness of a toxic
 document is its highest-scoring token that no clean document has, found in rounds (multiple-instance SVM), in which the clean tokens
 that score highest become weighty negatives. Witnesses with inserted letters are added as virtual examples. Landmarks are spread over witnesses and clean tokens; the SVM is linear in
 the Nyström features K(x, L) K(L, L)^-1/2. As K(x, L) is linear in the subsequence weights of x, the trained machine is

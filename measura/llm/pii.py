@@ -53,14 +53,12 @@ AT = r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s*(?:&\#0*64;|&\#x0*40;|&commat;|%40)
 DOT = r"\s*[\[({<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>]\s*|[ \t]+dot[ \t]+|(?<=[a-z0-9])[_-]dot[_-](?=[a-z0-9])"
 RULES = re.compile(
     rf"(?P<at>{AT})|(?P<dot>{DOT})|(?P<plus>\bplus[ \t]+(?=[0-9]|(?:{_number})\b))"
-    rf"|(?P<digit>\b(?:{_number})\b(?:[ \t,]*[ \t-]+(?=(?:{_number})\b))?)|(?P<like>(?<=[0-9])[OolI](?=[0-9OolI \-.]))|(?P<odd>[{_ODD}])", re.I)
+    rf"|(?P<digit>\b(?:{_number})\b(?:[ \t,]*[ \t-]+(?=(?:{_number})\b))?)|(?P<like>(?<=[0-9])[OolI]+(?=[0-9OolI \-.]))|(?P<odd>[{_ODD}])", re.I)
 BRACKETS = re.compile(r"[\[({<]\s*(?:at|dot|@|\.|punkt|point|punto)\s*[\])}>]|&\#0*64;|&\#x0*40;|&commat;|%40|[_-](?:at|dot)[_-]", re.I)
 WORD_DOT = re.compile(r"[ \t](?:dot|at)[ \t]+[a-z0-9-]+(?:[ \t]+dot[ \t]|\.(?:" + TOP_LEVEL + r")\b)|[0-9][ \t]+dot[ \t]+[0-9]", re.I)
-WORD_DIGITS = re.compile(rf"\b(?:{_number})\b(?:[ \t,-]+(?:{_number})\b){{2,}}", re.I)
+#: Number words beside a digit, a plus sign or another number word.
+WORD_DIGITS = re.compile(rf"\b(?:{_number})\b(?=[ \t,().-]*(?:[0-9+]|\b(?:{_number})\b))|[0-9+][ \t,().-]*\b(?:{_number})\b|\bplus[ \t]+(?:[0-9]|(?:{_number})\b)", re.I)
 LIKE = re.compile(r"[0-9][OolI][0-9OolI \-.]")
-#: Digit words that are parts of ordinary words. No identifier has fewer than ten digits, so a text needs one of the others or ten of these.
-WEAK = ("oh", "one", "null", "uno", "dos", "tres", "sept", "acht", "six", "seis", "ten")
-STRONG = tuple(sorted(set(DIGIT_WORDS) - set(WEAK)))
 
 
 def luhn(digits: str) -> bool:
@@ -126,9 +124,14 @@ def rewrite(text: str, start: int, stop: int) -> tuple[str, list[int], list[int]
             put("+", a, b, True)
         elif kind == "digit":
             word = re.match(r"\w+", got).group()
-            put(DIGIT_WORDS[word.lower()], a, a + len(word), True)
+            if digit := DIGIT_WORDS.get(word.lower()):
+                put(digit, a, a + len(word), True)
+            else:  # letters like the long s, which only the pattern takes for one of ours
+                for k in range(a, b):
+                    put(text[k], k, k + 1, False)
         elif kind == "like":
-            put("0" if got in "Oo" else "1", a, b, True)
+            for k in range(a, b):
+                put("0" if text[k] in "Oo" else "1", k, k + 1, True)
         else:
             put(_plain(got), a, b, True)
     for k in range(at, stop):
@@ -160,8 +163,7 @@ def _signs(text: str) -> list[Span]:
     low = text.lower()
     if " dot " in low or "\tdot" in low or " at " in low:
         found += [m.span() for m in WORD_DOT.finditer(text)]
-    if any(w in low for w in STRONG) or sum(map(low.count, WEAK)) >= 10 or "plus " in low:
-        found += [m.span() for m in WORD_DIGITS.finditer(text)]
+    found += [m.span() for m in WORD_DIGITS.finditer(text)]
     found += [m.span() for m in LIKE.finditer(text)]
     return sorted(found)
 

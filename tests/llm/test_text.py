@@ -259,6 +259,28 @@ def test_plain_text_has_no_disguises():
         assert not any(pii.hidden(s, pii.find(s)).values())
 
 
+@pytest.mark.parametrize(("source", "kind", "part"), [
+    ("Call +49 one six one 5550123 now", "phone", "+49 one six one 5550123"),
+    ("or +1 555 one two 34567, ok", "phone", "+1 555 one two 34567"),
+    ("or +1 555 12 three 4567, ok", "phone", "+1 555 12 three 4567"),
+    ("ring plus 49 161 555 0123, ok", "phone", "plus 49 161 555 0123"),
+    ("card 4000 one one one one 0000 0014 x", "card", "4000 one one one one 0000 0014"),
+    ("card 4OO0000000000002 x", "card", "4OO0000000000002"),
+])
+def test_mixed_numerals_and_words(source, kind, part):
+    a = source.index(part)
+    new, first, last, made = pii.rewrite(source, 0, len(source))
+    whole = [(first[s], last[e]) for s, e in ((s, e - 1) for s, e in pii.find(new)[kind]) if any(made[s:e + 1])]
+    assert whole == [(a, a + len(part))]
+    for text in (source, source + " five", "x " * 300 + source):
+        shift = text.index(source)
+        assert pii.hidden(text, pii.find(text))[kind] == [(x + shift, y + shift) for x, y in whole]
+
+
+def test_letters_that_only_match_number_words():
+    assert not any(pii.hidden("+1 ſix one 2", pii.find("+1 ſix one 2")).values())
+
+
 def test_html_beyond_four_hundred_open_elements():
     body = "The cat and the dog were in the house and that is what they had to say about it to us all."
     page = "<article>" + "<div>" * 500 + f"<p>{body}</p><nav>Home and away</nav><div>" + "<div></div>" * 20 + f"<p>{body}</p></article><p>Foot</p>"

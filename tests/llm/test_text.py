@@ -318,6 +318,82 @@ def test_main_text(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+BODY = "The cat and the dog were in the house and that is what they had to say about it to us all."
+ARTICLE = f"<p>{BODY}</p>" * 3
+WHOLE = "\n".join([BODY] * 3)
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f'<body class="single comments-open"><article>{ARTICLE}</article>', WHOLE),
+    (f'<article data-comment-count="3">{ARTICLE}</article>', WHOLE),
+    (f'<article class="commentary">{ARTICLE}</article>', WHOLE),
+    (f'<div class="post-content has-sidebar">{ARTICLE}</div>', WHOLE),
+    (f'<article><div class="entry share-enabled">{ARTICLE}</div></article>', WHOLE),
+    (f'<div class="content-sidebar-wrap">{ARTICLE}<div class="sidebar">{ARTICLE}</div></div>', WHOLE),
+    (f"<form>{ARTICLE}</form>", WHOLE),
+    (f'<div class="overflow-hidden">{ARTICLE}</div>', WHOLE),
+    (f'<article>{ARTICLE}</article><article class="comment">{ARTICLE}</article>', WHOLE),
+    (f'<div>{ARTICLE}</div><section id="comments"><div class="sidebar">{ARTICLE * 9}</div></section>', WHOLE),
+    (f'<article>{ARTICLE}<figure><figcaption>Cap</figcaption></figure><p>a <math>x</math> b<object>c</object></article>', f"{WHOLE}\nCap\na x bc"),
+    (f'<article>{ARTICLE}<p>Text <span class="ad">Buy <span>it</span> now</span> more<li class="share">Share<li>Kept</article>', f"{WHOLE}\nText more\nKept"),
+    (f'<article><h1 class="header">Title</h1>{ARTICLE}</article>', f"Title\n{WHOLE}"),
+    (f'<article><p hidden>gone</p><p style="display: none">gone</p>{ARTICLE}</article>', WHOLE),
+])
+def test_articles_are_kept(page, want):
+    assert html_text.main_text(page) == want
+
+
+@pytest.mark.parametrize("page", ['<li class="share">x</li>' * 40_000, "<p>" + '<span class="ad">x' * 60_000, '<div class="sidebar">' * 50_000 + BODY, '<p class="ad">x<div>' * 50_000,
+                                  '<a "' * 250_000, "<a '\">\"" * 140_000, "<" * 1_000_000, "<div>" * 5_000 + BODY * 2_000])
+def test_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 5
+
+
+def plain_labels(rows):
+    """Both passes over (text, linked, outside, article, heading), block by block."""
+    first = []
+    for text, linked, outside, article, heading in rows:
+        words = re.findall(r"[a-z]+", text.lower())
+        rich = len(text) > 60 and sum(w in html_text.STOP for w in words) >= 0.18 * len(words)
+        if outside or linked > 0.35 * len(text) and not heading and not (article and rich):
+            first.append(0)
+        elif article or rich:
+            first.append(1)
+        else:
+            first.append(0 if len(text) > 60 and linked > 0.15 * len(text) else None)
+    use = [k for k, v in enumerate(first) if v is not None and not rows[k][2]] or [k for k, v in enumerate(first) if v is not None]
+    out = []
+    for k, v in enumerate(first):
+        up, down = max((j for j in use if j < k), default=None), min((j for j in use if j > k), default=None)
+        if v is not None:
+            out.append(v)
+        elif up is None or down is None:
+            out.append(1 if up is down else first[down if up is None else up])
+        elif first[up] == first[down] or rows[k][4]:
+            out.append(first[down])
+        else:
+            a, z = (sum(len(r[0]) for r in rows[x + 1:y]) for x, y in ((up, k), (k, down)))
+            out.append(first[up] if a < z else first[down] if z < a else int(any(w in html_text.STOP for w in rows[k][0].split())))
+    return out
+
+
+def test_labels_equal_brute_force():
+    r = random.Random(5)
+    texts = [BODY, "cat dog", "the one", "zebra " * 20, "alpha beta", "of all the things " * 5]
+    for _ in range(400):
+        rows = []
+        for _ in range(r.randint(1, 9)):
+            t = r.choice(texts).strip()
+            rows.append((t, r.choice([0, 0, len(t) // 4, len(t)]), r.random() < .2, r.random() < .2, r.random() < .2))
+        found = [html_text.Block(*x) for x in rows]
+        html_text.label_blocks(found)
+        assert [b.label for b in found] == plain_labels(rows), rows
+
+
 # WARC.
 
 def test_warc_round_trip(spark, tmp_path):

@@ -14,9 +14,10 @@ An empty table gives no rows. Other columns are not read. Rows without an id are
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, discard, materialize, words_of
 
+#: Words of Latin-1 letters.
+LATIN = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+$"
 #: A bin type: lengths in it, and how many such bins.
 Runs = list[tuple[int, int, int, int, int]]
 
@@ -37,9 +40,12 @@ def reduce_dominated(count: Counter, capacity: int) -> tuple[list[tuple[tuple[in
     For the longest item j let k be how many of the smallest other items fit beside it at once.
     k = 0: j goes alone. Let i be the largest item that fits beside j. If i fills the rest exactly, or k = 1, any other
     company of j can be exchanged for i, so {j, i} dominates. If k = 2 and i is at least as long as the longest pair
-    that fits, {j, i} dominates as well. Items that no rule covers are left for best fit.
+    that fits, {j, i} dominates as well. Taking items away only lowers k and the longest pair, and i stays the largest that fits
+    while one is left, so a set is fixed as often as both its items last: each step uses up a length, and the number of steps
+    depends on the number of lengths alone. Items that no rule covers are left for best fit.
     """
     left = Counter({k: v for k, v in count.items() if v > 0})
+    have = sorted(left)  # the lengths left
     fixed: dict[tuple[int, ...], int] = defaultdict(int)
 
     def fix(times: int, *lengths: int) -> None:
@@ -48,37 +54,32 @@ def reduce_dominated(count: Counter, capacity: int) -> tuple[list[tuple[tuple[in
             left[x] -= times
             if not left[x]:
                 del left[x]
+                have.pop(bisect_left(have, x))
 
     changed = True
     while changed and left:
         changed = False
-        for j in sorted(left, reverse=True):
+        for j in have[::-1]:
             while left[j]:
                 rest = capacity - j
-                small = sorted(left)
-                used, k = 0, 0
-                for x in small:  # the smallest others, three are enough to know
-                    for _ in range(min(left[x] - (x == j), 3)):
-                        if k < 3 and used + x <= rest:
-                            used, k = used + x, k + 1
-                    if k == 3 or used + x > rest:
-                        break
-                best = max((x for x in small if x <= rest and left[x] - (x == j) > 0), default=0)
+                others = [x for x in have[:4] for _ in range(min(left[x] - (x == j), 3))][:3]
+                k = sum(total <= rest for total in accumulate(others))  # the smallest others, three are enough to know
+                at = bisect_right(have, rest) - 1
+                at -= at >= 0 and have[at] == j and left[j] < 2
+                best = have[at] if at >= 0 else 0
                 if not k:
                     fix(left[j], j)
-                elif best == rest or k == 1 or k == 2 and best >= _longest_pair(left, j, rest):
-                    times = left[j] // 2 if best == j else min(left[j], left[best])
-                    # with fewer partners of this length left the premises change, so look again after each step
-                    fix(times if best == rest else 1, j, best)
+                elif best == rest or k == 1 or k == 2 and best >= _longest_pair(left, have, j, rest):
+                    fix(left[j] // 2 if best == j else min(left[j], left[best]), j, best)
                 else:
                     break
                 changed = True
     return list(fixed.items()), left
 
 
-def _longest_pair(left: Counter, j: int, rest: int) -> int:
+def _longest_pair(left: Counter, have: list[int], j: int, rest: int) -> int:
     """The largest sum of two items other than one j that is at most rest."""
-    have = sorted(x for x in left if x <= rest and left[x] - (x == j) > 0)
+    have = [x for x in have[:bisect_right(have, rest)] if x != j or left[j] > 1]
     best, a, b = 0, 0, len(have) - 1
     while a <= b:
         if have[a] + have[b] > rest:
@@ -164,15 +165,23 @@ class _Tokens:
     KEPT = 200_000  # words remembered, at most
 
     def __init__(self, path: str):
-        self.path, self.tokenizer, self.known, self.letters = path, None, {}, _byte_letters()
-
-    def encode(self, word: str) -> list[int]:
-        if word.isalpha() and max(word) <= "\xff":
-            word = word.lower()
-            if not word.isascii():
-                word = word.encode().decode("latin-1").translate(self.letters)
-            return [t.id for t in self.model.tokenize(word)]
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
+        self.path, self.tokenizer, self.known, self.letters = path, None, {}, {k: v for k, v in _byte_letters().items() if k != 10}
+
+    def encode(self, words: pa.Array) -> Iterator[tuple[str, bytes]]:
+        """(word, ids) of distinct words. Those of Latin-1 letters are lower-cased and spelled in the model's byte letters all at once."""
+        plain = pc.match_substring_regex(words, LATIN)
+        ascii_only = pc.equal(pc.utf8_length(words), pc.binary_length(words))
+        tokenize = self.model.tokenize
+        for some in (pc.and_(plain, ascii_only), pc.and_not(plain, ascii_only)):
+            own = words.filter(some)
+            if not len(own):
+                continue
+            spelled = "\n".join(_strings(pc.utf8_lower(own)))
+            if not spelled.isascii():
+                spelled = spelled.encode().decode("latin-1").translate(self.letters)
+            yield from _packed(_strings(own), [[t.id for t in tokenize(w)] for w in spelled.split("\n")])
+        own = _strings(words.filter(pc.invert(plain)))
+        yield from _packed(own, [self.tokenizer.encode(w, add_special_tokens=False).ids for w in own])
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         if self.tokenizer is None:
@@ -188,14 +197,13 @@ class _Tokens:
         units = pa.concat_arrays([core, tail]).dictionary_encode()
         if len(self.known) > self.KEPT:
             self.known.clear()
-        known, parts = self.known, []
-        for unit in units.dictionary.to_pylist():
-            ids = known.get(unit)
-            if ids is None:
-                ids = known[unit] = self.encode(unit) if unit else []
-            parts.append(ids)
-        size = np.fromiter(map(len, parts), np.int32, len(parts))
-        flat = np.fromiter(chain.from_iterable(parts), "<u4", int(size.sum()))
+        known, names = self.known, _strings(units.dictionary)
+        known[""] = b""
+        new = [k for k, unit in enumerate(names) if unit not in known]
+        known.update(self.encode(units.dictionary.take(pa.array(new, pa.int32()))))
+        parts = [known[unit] for unit in names]
+        size = np.fromiter(map(len, parts), np.int32, len(parts)) // 4
+        flat = np.frombuffer(b"".join(parts), "<u4")
         # core and tail of each distinct word, then the words of the texts
         flat, size = _gather(flat, size, np.asarray(units.indices).reshape(2, -1).T.ravel())
         word = np.asarray(coded.indices)
@@ -205,6 +213,16 @@ class _Tokens:
         return np.split(ids, np.cumsum(per_row)[:-1])
 
 
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _packed(words: list[str], ids: list[list[int]]) -> Iterator[tuple[str, bytes]]:
+    data = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+    ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) * 4).tolist()
+    return zip(words, (data[a:b] for a, b in zip([0, *ends], ends)))
+
+
 def _gather(flat: np.ndarray, size: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Parts ``take`` of a concatenation of parts, and their sizes."""
     first = np.cumsum(size, dtype=np.int32) - size
@@ -232,11 +250,12 @@ def _pieces(path: str, capacity: int, separator: int):
             for a, n in by_bytes(batch.column(1), 4 << 20):
                 part = batch.slice(a, n)
                 row, piece, start, length, crc = [], [], [], [], []
+                end = np.array([separator], "<u4").tobytes()
                 for k, ids in enumerate(tokens(part.column(1))):
-                    ids = np.append(ids, np.array([separator], "<u4"))
-                    for p, s in enumerate(range(0, len(ids), capacity)):
-                        cut = ids[s:s + capacity]
-                        row.append(k), piece.append(p), start.append(s), length.append(len(cut)), crc.append(zlib.crc32(cut.tobytes()))
+                    data = ids.tobytes() + end
+                    for p, s in enumerate(range(0, len(ids) + 1, capacity)):
+                        cut = data[4 * s:4 * (s + capacity)]
+                        row.append(k), piece.append(p), start.append(s), length.append(len(cut) // 4), crc.append(zlib.crc32(cut))
                 row = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(row), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],

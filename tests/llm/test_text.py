@@ -84,6 +84,17 @@ def test_fixed_sets_cost_no_sequence(seed):
     assert sum(t for _, t in fixed) + least_bins(rest, 20) == least_bins(items, 20)
 
 
+def test_reduction_depends_on_lengths_not_pieces():
+    import time
+
+    r = random.Random(1)
+    began = time.process_time()
+    for many in (Counter({k: r.randint(1, 20_000) for k in range(1024, 2049)}), Counter({k: r.randint(1, 10_000) for k in range(1, 2049)}), Counter({1500: 5_000_000, 500: 5_000_000})):
+        runs = packing.plan(many, 2048)
+        assert sum(n for _, _, n, _, _ in runs) == many.total() >= 10_000_000
+    assert time.process_time() - began < 10
+
+
 def test_tokens_equal_the_library():
     from tokenizers import Tokenizer
 

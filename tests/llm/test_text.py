@@ -504,3 +504,26 @@ def test_search_is_exact(spark, most):
     want = plain_top(rows, [(i, t) for i, t in rows if i is not None and (i % 25 == 0 or i > 499)], 7)
     assert {q: v for q, v in want.items() if v} == dict(got)
     assert search.top_k(docs.limit(0), docs.limit(0)).count() == 0
+
+
+def test_search_skips_most_postings():
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"])
+    rows, term = search.term_rows(t["text"].combine_chunks())
+    pair, tf = np.unique(np.stack([term, rows.astype(np.uint64)]), axis=1, return_counts=True)
+    terms, n = np.unique(pair[0], return_counts=True)
+    ids, lengths = np.asarray(t["doc_id"]), np.bincount(rows, minlength=len(t))
+    shard = search.Shard(ids, lengths, terms, np.cumsum(n), pair[1].astype(np.int64), tf, lengths.mean())
+    shard.counting = True
+    idf = np.log(1 + (len(t) - n + .5) / (n + .5))
+    value = idf[np.searchsorted(terms, pair[0])] * tf * 2.2 / (tf + 1.2 * (.25 + .75 * lengths[pair[1].astype(np.int64)] / lengths.mean()))
+    for q in range(0, len(t), 25):
+        mine = np.unique(term[rows == q])
+        found = shard.find(mine, idf[np.searchsorted(terms, mine)])
+        often, top = shard.frequent([found])
+        docs, scores = shard.best(*found, often[0], top[0], 10)
+        every = np.round(np.bincount(pair[1].astype(np.int64), weights=value * np.isin(pair[0], mine), minlength=len(t)), 4)
+        order = np.lexsort((ids, -every))[:10]
+        assert docs.tolist() == order[every[order] > 0].tolist() and np.allclose(scores, every[docs], atol=1.01e-4)
+    assert 0 < shard.read < 0.5 * shard.owned

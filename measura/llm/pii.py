@@ -24,14 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_bytes
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
-CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
-PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: As many digits as there are, never fewer on a second try: a run of digits is read once, from its first one or where a match ended.
+IP = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+DIGITS = re.compile(r"[0-9]++")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
+PHONE = re.compile(r"\+(?=[0-9])([\x20().0-9-]++)")
 
 #: Words for digits.
 DIGIT_WORDS = {
@@ -92,12 +96,35 @@ def _digits(text: str) -> str:
 
 def find(text: str) -> dict[str, list[Span]]:
     out: dict[str, list[Span]] = {"email": emails(text) if "@" in text else []}
-    out["ip"] = [m.span() for m in IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in m.group().split("."))]
+    out["ip"] = [(a, b) for a, b in _quads(text) if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in text[a:b].split("."))]
     out["card"] = [m.span() for m in CARD.finditer(text) if m.end() - m.start() >= 14 and 14 <= len(d := _digits(m.group())) <= 19 and luhn(d)]
-    out["phone"] = [m.span() for m in PHONE.finditer(text) if 10 <= len(_digits(m.group())) <= 15] if "+" in text else []
+    out["phone"] = [(a, b) for a, b in _plus(text) if b - a > 10 and 10 <= len(_digits(text[a:b])) <= 15] if "+" in text else []
     return out
 
 
+def _quads(text: str) -> Iterator[Span]:
+    """Leftmost matches of four numbers joined by dots. A number that starts no match is skipped whole: no match starts inside it, as the
+    dots that follow are the same."""
+    at = 0
+    while m := DIGITS.search(text, at):
+        if q := IP.match(text, m.start()):
+            yield q.span()
+            m = q
+        at = m.end()
+
+
+def _plus(text: str) -> Iterator[Span]:
+    """Leftmost matches of a plus sign, a digit, signs and digits, and a digit at the end."""
+    at = 0
+    while m := PHONE.search(text, at):
+        body = m[1]
+        last = len(body.rstrip("\x20().-"))
+        at = m.end()
+        if last >= 3:  # a digit at both ends and something between
+            yield m.start(), m.start(1) + last
+            at = m.start(1) + last
+
+
 def rewrite(text: str, start: int, stop: int) -> tuple[str, list[int], list[int], list[bool]]:
     """The rewritten part of the text; for each of its characters the source range and whether it was rewritten."""
     out: list[str] = []
@@ -199,7 +226,7 @@ def written(spans: dict[str, list[Span]]) -> str:
 
 
 def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(*part) for b in batches for part in by_bytes(b.column(1), 8 << 20)):
         rows: list[list] = [[] for _ in range(7)]
         for x in batch.column(1):
             text = x.as_py() or ""

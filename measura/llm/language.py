@@ -1,7 +1,7 @@
 """Language identification by string kernels.
 
 Kernel: the blended-spectrum presence kernel counts the distinct 1-, 2- and 3-grams (of UTF-8 bytes, A-Z lower-cased, all other
-ASCII signs read as a space) that two texts share, divided by the geometric mean of their own counts. Landmark texts, the
+ASCII signs read as a space; bytes from 128 on share 100 codes) that two texts share, divided by the geometric mean of their own counts. Landmark texts, the
 same number for each language, give Nyström features K(x, L) K(L, L)^-1/2; one ridge regression per language against the
 rest is solved on a bounded sample. Scoring multiplies a block's presence matrix with the landmarks' and the result with the
 regression weights.
@@ -124,16 +124,22 @@ def train(labelled: list[tuple[str, str]], per_language: int = 48, ridge: float
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2,
-        most: int = 500, languages: int = 64) -> Speaker | None:
-    """Train on at most ``most`` texts of each of the ``languages`` most frequent labels, picked by id hash outside the held-out fold."""
+        most: int = 500, languages: int = 1_000, longest: int = 1 << 18) -> Speaker | None:
+    """Train on at most ``most`` texts of each label, none above ``longest`` bytes where the label has shorter ones, picked by id hash outside
+    the held-out fold. More labels than ``languages`` are an error, as each has landmarks of its own in the model."""
     known = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("y"))
     known = known.where("t is not null and y is not null and i is not null").where(fold_of("i", folds) != held_out)
-    counts = known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(languages).collect()
+    short = F.octet_length("t") <= longest
+    counts = known.groupBy("y").agg(F.count_if(short).alias("short"), F.count(F.lit(1)).alias("n")).orderBy("y").limit(languages + 1).collect()
     if not counts:
         return None
+    if len(counts) > languages:
+        raise ValueError(f"more than {languages} languages")
+    only_long = [r.y for r in counts if not r.short]
+    known = known.where(short | F.col("y").isin(only_long) if only_long else short)
     share = F.lit(0.0)
     for r in counts:
-        share = F.when(F.col("y") == r.y, F.lit(min(1.0, most / r.n))).otherwise(share)
+        share = F.when(F.col("y") == r.y, F.lit(min(1.0, most / (r.short or r.n)))).otherwise(share)
     hit = F.pmod(F.xxhash64("i", F.lit(7)), F.lit(1 << 30)) < share * (1 << 30)
     rows = known.where(hit).select("y", "t").limit(most * len(counts) * 2).toArrow()
     return train(list(zip(rows["y"].to_pylist(), rows["t"].to_pylist())))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import language, mixing, toxicity, warc
 from .common import table
@@ -25,13 +26,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-#: Shares of the mixture by domain, in words. The domains are the languages that labelled documents have.
-TARGETS = {"en": 0.52, "de": 0.17, "fr": 0.17, "es": 0.14}
+#: Shares of the mixture by domain, in words. The domains are the languages of labelled documents by their quality; those not named
+#: share what is left.
+TARGETS = {"en-1": 0.54, "en-0": 0.035, "de-1": 0.15, "fr-1": 0.145, "es-1": 0.10}
 
 
 def domains_of(docs: DataFrame, labels: DataFrame) -> mixing.Domains:
-    known = docs.select("doc_id", "lang").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    return mixing.fit_domains(docs, known.withColumnRenamed("lang", "label"))
+    known = docs.select("doc_id", "lang").join(labels.select("doc_id", "quality").distinct(), "doc_id")
+    return mixing.fit_domains(docs, known.select("doc_id", F.concat_ws("-", "lang", "quality").alias("label")).where("label <> ''"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, discard, fresh, materialize
+from .common import by_bytes, checked_broadcast, discard, fresh, materialize
 from .components import components
 
 LAST = (1 << 63) - 1
@@ -52,7 +52,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(*part) for b in batches for part in by_bytes(b.column(1), 8 << 20)):
         prints = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, len(batch))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]], ["i", "fp", "row", "h"])
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import by_bytes
 from .html_text import blocks
 
 RECORD = ("response_row long, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string,"
@@ -87,8 +88,8 @@ def derive_one(record_id: str | None, target: str | None, date: str | None, head
 def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in RECORD.split(",")]
     for batch in batches:
-        for a in range(0, len(batch), 500):
-            rows = [(r["row"], *x) for r in batch.slice(a, 500).to_pylist()
+        for a, n in by_bytes(batch.column(5), 8 << 20):
+            rows = [(r["row"], *x) for r in batch.slice(a, n).to_pylist()
                     for x in derive_one(r["record_id"], r["target_uri"], r["warc_date"], r["http_headers"], r["payload"], r["payload_digest"])]
             columns = list(zip(*rows)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n in ("response_row", "content_length") else pa.string()) for n, c in zip(names, columns)], names)

@@ -30,10 +30,10 @@ def properties(text: Column) -> Column:
 
 
 def typed_properties(df: DataFrame, id_col: str, text_col: str, schema: DataFrame) -> DataFrame:
-    """(id, name, text, number) for each property (F05). schema: alias, name, type; a small table, broadcast. Of a
+    """(id, name, text, number) for each property (F05). schema: alias, name, type. Of a
     float property the leading number counts, its unit is ignored; unknown keys keep their name."""
     long = df.select(id_col, F.explode(properties(F.col(text_col))).alias("alias", "text"))
-    named = long.join(F.broadcast(schema), "alias", "left")
+    named = long.join(schema, "alias", "left")
     number = F.regexp_extract("text", r"^\s*([-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?)", 1).try_cast("double")
     return named.select(id_col, F.coalesce("name", "alias").alias("name"), "text", F.when(F.col("type") == "float", number).alias("number"))
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 
 def clean(sequence: Column) -> Column:
-    """Upper case, end tags and white space gone."""
-    return F.regexp_replace(F.upper(F.trim(sequence)), r"^5'-?|-?3'$|\s+", "")
+    """Upper case; an end tag in front and one behind, 3' or 5' with a hyphen or space, gone (F09). White space inside stays a bad symbol."""
+    bare = F.regexp_replace(F.upper(F.regexp_replace(sequence, r"^\s+|\s+$", "")), r"^[35]'[- ]?", "")
+    return F.regexp_replace(bare, r"[- ]?[35]'$", "")
 
 
 def first_bad(sequence: Column, alphabet: str) -> Column:
@@ -18,11 +19,11 @@ def first_bad(sequence: Column, alphabet: str) -> Column:
 
 
 def expand(df: DataFrame, id_col: str, sequence_col: str, units: DataFrame, reverse: bool = False) -> DataFrame:
-    """(id, position, symbol, unit), one row for each symbol (F10, U02). units: symbol, inner, last; a small table, broadcast."""
+    """(id, position, symbol, unit), one row for each symbol (F10, U02). units: symbol, inner, last."""
     text = F.reverse(F.col(sequence_col)) if reverse else F.col(sequence_col)
     long = df.select(id_col, F.length(sequence_col).alias("__n"), F.posexplode(F.split(text, "")).alias("position", "symbol")).where("symbol <> ''")
     end = F.col("position") == F.col("__n") - 1
-    return long.join(F.broadcast(units), "symbol").select(id_col, "position", "symbol", F.when(end, F.col("last")).otherwise(F.col("inner")).alias("unit"))
+    return long.join(units, "symbol").select(id_col, "position", "symbol", F.when(end, F.col("last")).otherwise(F.col("inner")).alias("unit"))
 
 
 def translate_sequence(sequence: Column, inner: dict[str, str], last: dict[str, str], reverse: bool = False) -> Column:

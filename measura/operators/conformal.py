@@ -101,8 +101,6 @@ def conformalized_quantiles(train: DataFrame, calibration: DataFrame, test: Data
     a = (1 - coverage) / 2
     predict = quantile_tree(train, features, label, [a, 0.5, 1 - a])
     out = predict(calibration).select(F.greatest(F.col("q0") - F.col(label), F.col(label) - F.col("q2")).alias("s"))
-    n = out.count()
-    level = min(-(-(n + 1) * coverage // 1) / max(1, n), 1.0)
-    q = out.agg(F.percentile("s", level).alias("__q"))
+    q = conformal_quantile(out.where("s is not null"), F.col("s"), coverage, name="__q", signed=True).select("__q")
     got = predict(test).join(F.broadcast(q))
     return got.select(*[c for c in got.columns if c not in ("q0", "q1", "q2", "__q")], F.col("q1").alias("yhat"), (F.col("q0") - F.col("__q")).alias("low"), (F.col("q2") + F.col("__q")).alias("high"))

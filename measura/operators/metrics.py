@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import join_quantiles, quantiles
+
 
 def regression_metrics(df: DataFrame, y: str, yhat: str, by: list[str] | None = None, percent: bool = True) -> DataFrame:
     """n, r2, mae, rmse, mape by group in one aggregate (A12). r2 is 0 where y does not vary; mape skips \\|y\\| <= 1e-10."""
@@ -27,26 +29,21 @@ def fold_summary(df: DataFrame, y: str, yhat: str, model: str = "model", fold: s
 
 def interval_quality(df: DataFrame, y: str, low: str, high: str, by: list[str] | None = None) -> DataFrame:
     """Coverage, mean and median width, relative width, n."""
+    by = by or []
     w = F.col(high) - F.col(low)
-    g = df.groupBy(*(by or [])).agg(F.avg(F.col(y).between(F.col(low), F.col(high)).cast("int")).alias("coverage"), F.avg(w).alias("mean_width"),
-                                    F.median(w).alias("median_width"), F.avg(F.abs(y)).alias("__y"), F.count(F.lit(1)).alias("n"))
-    return g.withColumn("relative_width", F.col("mean_width") / F.col("__y")).drop("__y")
-
+    g = df.groupBy(*by).agg(F.avg(F.col(y).between(F.col(low), F.col(high)).cast("int")).alias("coverage"), F.avg(w).alias("mean_width"),
+                            F.avg(F.abs(y)).alias("__y"), F.count(F.lit(1)).alias("n"))
+    g = join_quantiles(g, quantiles(df.select(*by, w.alias("__w")), "__w", [0.5], by), by)
+    return g.withColumns({"median_width": F.col("__q")[0], "relative_width": F.col("mean_width") / F.col("__y")}).drop("__y", "__q")
 
-def conformal_quantile(df: DataFrame, residual: Column, coverage: float, by: list[str] | None = None, name: str = "q") -> DataFrame:
-    """The interpolated quantile of |residual| at min(ceil((n + 1) c) / n, 1).
 
-    ``percentile`` takes constant levels only: the sizes of the calibration sets (few) are read first, all their levels are
-    evaluated in one aggregate, and each set picks its own."""
-    r = df.select(*(by or []), F.abs(residual).alias("__r")).where("__r is not null")
-    sizes = r.groupBy(*(by or [])).agg(F.count("__r").alias("n")).select("n").distinct().collect()
-    levels = {x.n: min(-(-(x.n + 1) * coverage // 1) / x.n, 1.0) for x in sizes if x.n} or {1: 1.0}
-    every = sorted(set(levels.values()))
-    pick = F.lit(None).cast("int")
-    for n, level in levels.items():
-        pick = F.when(F.col("n") == n, every.index(level) + 1).otherwise(pick)
-    g = r.groupBy(*(by or [])).agg(F.percentile("__r", F.lit(every)).alias("__l"), F.count("__r").alias("n"))
-    return g.select(*(by or []), F.element_at("__l", pick).alias(name), "n")
+def conformal_quantile(df: DataFrame, residual: Column, coverage: float, by: list[str] | None = None, name: str = "q", signed: bool = False) -> DataFrame:
+    """The interpolated quantile of |residual| at min(ceil((n + 1) c) / n, 1) (A15); of the residual itself if ``signed``."""
+    by = by or []
+    r = df.select(*by, (residual if signed else F.abs(residual)).alias("__r")).where("__r is not null")
+    g = r.groupBy(*by).agg(F.count("__r").alias("n"))
+    level = F.least(F.ceil((F.col("__t") + 1) * F.lit(float(coverage))) / F.col("__t"), F.lit(1.0))
+    return join_quantiles(g, quantiles(r, "__r", [level], by), by).select(*by, F.col("__q")[0].alias(name), "n")
 
 
 def ensemble(df: DataFrame, key: str, yhat: str) -> DataFrame:
@@ -56,7 +53,7 @@ def ensemble(df: DataFrame, key: str, yhat: str) -> DataFrame:
 
 def group_importance(importance: DataFrame, groups: DataFrame) -> DataFrame:
     """importance (feature, value) by feature group (feature, grp): sum, mean, count."""
-    return importance.join(F.broadcast(groups), "feature").groupBy("grp").agg(F.sum("value").alias("total"), F.avg("value").alias("mean"), F.count("value").alias("n"))
+    return importance.join(groups, "feature").groupBy("grp").agg(F.sum("value").alias("total"), F.avg("value").alias("mean"), F.count("value").alias("n"))
 
 
 def composition(df: DataFrame, sequence: str, member: str, yhat: str) -> DataFrame:
@@ -68,9 +65,13 @@ def composition(df: DataFrame, sequence: str, member: str, yhat: str) -> DataFra
 
 def constraint_summary(features: DataFrame, signs: DataFrame) -> DataFrame:
     """Features by sign of their constraint: positive, negative or unconstrained (A24). signs: feature, sign."""
+    return constraints(features, signs).groupBy("constraint").agg(F.count(F.lit(1)).alias("n"))
+
+
+def constraints(features: DataFrame, signs: DataFrame) -> DataFrame:
+    """(feature, constraint) for each feature, in rows, so that no list of them grows in one task."""
     sign = F.when(F.col("sign") > 0, "positive").when(F.col("sign") < 0, "negative").otherwise("unconstrained")
-    j = features.join(F.broadcast(signs), "feature", "left").select("feature", sign.alias("constraint"))
-    return j.groupBy("constraint").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("feature")), ",").alias("features"))
+    return features.join(signs, "feature", "left").select("feature", sign.alias("constraint"))
 
 
 def leaderboard(df: DataFrame, name: str = "model", score: str = "r2_mean", order: str = "config_order") -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 @dataclass
 class Scaler:
@@ -61,8 +63,9 @@ class PowerScaler:
 
 def medians(train: DataFrame, columns: list[str]) -> dict[str, float]:
     """Exact training medians, 0 for columns without values."""
-    row = train.agg(*(F.median(c).alias(f"m{k}") for k, c in enumerate(columns))).first()
-    return {c: float(row[f"m{k}"]) if row[f"m{k}"] is not None else 0.0 for k, c in enumerate(columns)}
+    long = train.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], columns, "feature", "x")
+    found = {r.feature: r["__q"][0] for r in quantiles(long, "x", [0.5], ["feature"]).collect()}  # a number for each column
+    return {c: float(found.get(c, 0.0)) for c in columns}
 
 
 def impute(df: DataFrame, values: dict[str, float]) -> DataFrame:

@@ -2,25 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import join_quantiles, meet, quantiles
+
 
 def describe(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """count, min, max, mean, median and population deviation."""
-    v = F.col(value)
-    return df.groupBy(*(by or [])).agg(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("mean"),
-                                       F.median(v).alias("median"), F.stddev_pop(v).alias("deviation"), F.count_distinct(v).alias("distinct"))
+    by, v = by or [], F.col(value)
+    # Values are counted by value first, so neither a group's median nor its distinct values meet in one task.
+    counts = df.groupBy(*by, v.alias("__v")).agg(F.count(v).alias("__n"))
+    distinct = counts.groupBy(*by).agg(F.count("__v").alias("distinct"))
+    g = df.groupBy(*by).agg(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("deviation"))
+    g = join_quantiles(g, quantiles(df, value, [0.5], by), by).withColumn("median", F.col("__q")[0]).drop("__q")
+    if not by:
+        return g.join(F.broadcast(distinct))
+    return meet(g, distinct, by)
 
 
 def source_profile(df: DataFrame, valid: Column, size: Column, key: str = "key", value: str = "value", source: str = "source",
                    low: float = 100, high: float = 900, examples: int = 5) -> DataFrame:
     """Per source: parse rate, outliers on both sides, short keys, small entities and the first invalid keys."""
-    bad = F.when(~valid, F.col(key))
-    return df.groupBy(source).agg(
+    # The first invalid keys come as a top-k of distinct ones: what a task keeps is ``examples`` keys for each source.
+    bad = df.where(~valid & F.col(key).isNotNull()).select(F.col(source).alias("__s"), F.col(key).alias("__k")).distinct()
+    first = bad.withColumn("__r", F.row_number().over(Window.partitionBy("__s").orderBy("__k"))).where(F.col("__r") <= examples)
+    first = first.groupBy("__s").agg(F.array_sort(F.collect_list("__k")).alias("__i"))
+    got = df.groupBy(source).agg(
         F.count(F.lit(1)).alias("n"), F.avg(valid.cast("int")).alias("parse_rate"), F.count_if(F.col(value) < low).alias("low"),
-        F.count_if(F.col(value) > high).alias("high"), F.count_if(F.length(key) < 5).alias("short_keys"), F.count_if(size < 3).alias("small"),
-        F.slice(F.array_sort(F.collect_set(bad)), 1, examples).alias("invalid_examples"))
+        F.count_if(F.col(value) > high).alias("high"), F.count_if(F.length(key) < 5).alias("short_keys"), F.count_if(size < 3).alias("small"))
+    none = F.array().cast("array<string>")
+    return got.join(first, F.col(source).eqNullSafe(F.col("__s")), "left").withColumn("invalid_examples", F.coalesce("__i", none)).drop("__s", "__i")
 
 
 def value_counts(df: DataFrame, *by: str) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def digest(seed: int | str, *keys: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
@@ -32,14 +34,14 @@ def position(df: DataFrame, order: Column, name: str = "position", prefix: int =
 def quantile_edges(df: DataFrame, value: str, bins: int = 10) -> list[float]:
     """Interpolated inner edges, repeated ones dropped."""
     at = [k / bins for k in range(1, bins)]
-    got = df.agg(F.percentile(value, F.lit(at)).alias("e")).first().e
-    return sorted(set(got)) if got else []
+    got = quantiles(df, value, at).first()
+    return sorted(set(got["__q"])) if got else []
 
 
 def quantile_bins(df: DataFrame, value: str, bins: int = 10, name: str = "bin") -> DataFrame:
     """Equal-frequency bins; ties stay together (W02). The edges come as a scalar aggregate, so the plan has no driver step."""
     at = [k / bins for k in range(1, bins)]
-    edges = df.agg(F.array_distinct(F.percentile(value, F.lit(at))).alias("__e"))
+    edges = quantiles(df, value, at).agg(F.array_distinct(F.first("__q")).alias("__e"))  # one row
     return df.join(F.broadcast(edges)).withColumn(name, F.size(F.filter("__e", lambda e: e < F.col(value)))).drop("__e")
 
 

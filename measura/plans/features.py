@@ -233,7 +233,8 @@ def f08(spark, sf_dir):
 
 @query("f09_clean_sequences", f"SELECT id, seq, strpos(seq, 'N')::int AS bad FROM {SQ}")
 def f09(spark, sf_dir):
-    raw = F.concat(F.lit(" 5'-"), F.lower("seq"), F.lit("-3' "))
+    there, back = (F.concat(F.lit(a), F.lower("seq"), F.lit(b)) for a, b in ((" 5'-", "-3' "), ("3' ", " 5'\t")))
+    raw = F.when(F.col("id") % 2 == 0, there).when(F.col("id") % 3 == 0, F.lower("seq")).otherwise(back)
     c = sequences.clean(raw)
     return view(spark, sf_dir, SEQS).select("id", c.alias("seq"), sequences.first_bad(c, "ACGT").alias("bad"))
 

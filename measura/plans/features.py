@@ -138,7 +138,7 @@ def j10(spark, sf_dir):
 @query("j10_knn_predict")
 def j10_predict(spark, sf_dir):
     e = _vectors(table(spark, sf_dir, "embeddings"))
-    p = joins.knn_predict(e, e.where("vec_id % 50 = 0"), 5, "vec_id", "v", "label", "vec_id", "manhattan")
+    p = joins.knn_predict(e, e.where("vec_id % 50 = 0"), 5, "vec_id", "v", "label", "vec_id", "manhattan", standardize=True)
     return p.select("query", r(F.col("yhat")).alias("yhat"), r(F.col("farthest"), 5).alias("farthest"))
 
 

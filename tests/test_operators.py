@@ -156,6 +156,10 @@ def test_nearest(spark):
         assert near == np.argsort(np.linalg.norm(x - x[q], axis=1), kind="stable")[:3].tolist()
     p = {r.query: r.yhat for r in joins.knn_predict(df, asked, 3, "id", "v", "y", "id").collect()}
     assert all(abs(p[q] - np.mean(n)) < 1e-9 for q, n in got.items())
+    wide = df.withColumn("v", F.transform("v", lambda a, i: F.when(i == 0, a * 1000 + 7).otherwise(a)))
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    for r in joins.knn_predict(wide, wide.where("id % 10 = 0"), 3, "id", "v", "y", "id", standardize=True).collect():
+        assert abs(r.yhat - np.argsort(np.linalg.norm(z - z[r.query], axis=1), kind="stable")[:3].mean()) < 1e-9
     found = {(r.query, r.neighbour) for r in joins.nearest_lsh(df, asked, 3, "id", "v", "id", 4.0, 4.0, 12).collect()}
     want = {(q, n) for q, near in got.items() for n in near}
     assert len(found & want) >= 0.9 * len(want)

@@ -605,7 +605,12 @@ def test_search_skips_most_postings():
         mine = np.unique(term[rows == q])
         found = shard.find(mine, idf[np.searchsorted(terms, mine)])
         often, top = shard.frequent([found])
-        docs, scores = shard.best(*found, often[0], top[0], 10)
+        shard.counting = False
+        first = shard.best(*found, often[0], top[0], 10)
+        owned, shard.counting = shard.owned, True
+        docs, scores = shard.best(*found, often[0], top[0], 10, first[1].min() if len(first[1]) == 10 else 0.)  # as other shards' thresholds
+        shard.owned = owned
+        assert sorted(docs.tolist()) == sorted(first[0].tolist())
         every = np.round(np.bincount(pair[1].astype(np.int64), weights=value * np.isin(pair[0], mine), minlength=len(t)), 4)
         order = np.lexsort((ids, -every))[:10]
         assert sorted(docs.tolist()) == sorted(order[every[order] > 0].tolist()) and np.allclose(scores, every[docs], atol=1.01e-4)

@@ -1,17 +1,39 @@
-"""Cross-validation and comparison."""
+"""Cross-validation and comparison.
+
+A validation gives the predictions for each test fold, (model, fold, key, y, yhat); ``repeated`` runs one over several foldings."""
 
 from __future__ import annotations
 
 import itertools
 import random
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import written
 from .joins import without_test_parents
 from .metrics import fold_summary, leaderboard, regression_metrics
-from .models import Spec
+from .models import Spec, hierarchical, stack, two_stage
+from .prep import Components, PowerScaler, impute, medians
+from .splits import k_folds
+
+
+def _tested(got: DataFrame, name: str, fold: int, key: str, label: str) -> DataFrame:
+    return got.select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), key, F.col(label).alias("y"), "yhat")
+
+
+def repeated(df: DataFrame, key: str, k: int, repeats: int, run: Callable[[DataFrame], DataFrame], seed: int = 42) -> DataFrame:
+    """``run``, a validation of a table with folds, over ``repeats`` foldings that each have an order of their own.
+
+    Folds are numbered on, repeat * k + fold, so a summary by fold is one over all folds of all repeats. Each folded table is written
+    once, as every fit reads it."""
+    parts = []
+    for r in range(repeats):
+        folded = written(k_folds(df.drop("fold"), key, k, seed + r, True), "folds")
+        parts.append(run(folded).withColumn("fold", F.col("fold") + r * k))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def cross_validate(df: DataFrame, spec: Spec, features: list[str], label: str, k: int, key: str, fold: str = "fold", name: str = "model") -> DataFrame:
@@ -19,7 +41,7 @@ def cross_validate(df: DataFrame, spec: Spec, features: list[str], label: str, k
     parts = []
     for f in range(k):
         got = spec.fit(df.where(F.col(fold) != f), features, label).predict(df.where(F.col(fold) == f))
-        parts.append(got.select(F.lit(name).alias("model"), F.lit(f).alias("fold"), key, F.col(label).alias("y"), "yhat"))
+        parts.append(_tested(got, name, f, key, label))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -30,7 +52,9 @@ def search_space(grid: dict[str, list], tries: int, seed: int = 0) -> list[dict]
 
 
 def nested_cv(df: DataFrame, kind: str, grid: dict[str, list], features: list[str], label: str, key: str, k: int, tries: int = 3, inner: int = 2, seed: int = 0) -> tuple[DataFrame, list[dict]]:
-    """Outer folds in column ``fold``; inside each a random search by inner folds (column ``inner``), a refit, and the test."""
+    """Outer folds in column ``fold``; inside each a random search by inner folds (column ``inner``), a refit, and the test.
+
+    For repeated outer folds: ``repeated(df, key, k, repeats, lambda folded: nested_cv(folded, ...)[0])``."""
     parts, chosen = [], []
     for f in range(k):
         train = df.where(F.col("fold") != f).cache()
@@ -42,7 +66,7 @@ def nested_cv(df: DataFrame, kind: str, grid: dict[str, list], features: list[st
                 best = (score, point)
         chosen.append(best[1])
         got = Spec(kind, best[1]).fit(train, features, label).predict(df.where(F.col("fold") == f))
-        parts.append(got.select(F.lit(kind).alias("model"), F.lit(f).alias("fold"), key, F.col(label).alias("y"), "yhat"))
+        parts.append(_tested(got, kind, f, key, label))
         train.unpersist()
     return reduce(DataFrame.unionByName, parts), chosen
 
@@ -62,26 +86,94 @@ def compare(df: DataFrame, entries: list[tuple[str, Spec, list[str]]], label: st
     return leaderboard(fold_summary(got, "y", "yhat").withColumn("config_order", order))
 
 
-def weight_scan(gold: DataFrame, others: dict[str, DataFrame], weights: list[float], features: list[str], label: str, k: int, key: str, kind: str = "ridge") -> DataFrame:
-    """Gold rows in folds, other sources always in training with each weight; tested on gold only."""
+def hierarchical_cv(df: DataFrame, groups: list[list[str]], label: str, k: int, key: str, last: Spec | None = None, name: str = "hierarchical") -> DataFrame:
+    """Validation of the hierarchical model: all its stages are fitted in each fold."""
+    return reduce(DataFrame.unionByName, (
+        _tested(hierarchical(df.where(F.col("fold") != f), df.where(F.col("fold") == f), groups, label, last), name, f, key, label) for f in range(k)))
+
+
+def committee_cv(df: DataFrame, experts: dict[str, tuple[Spec, list[str]]], label: str, k: int, key: str, raw: list[str] | None = None, components: dict[str, tuple[list[str], int]] | None = None,
+                 inner: int = 2, meta: Spec | None = None, name: str = "committee") -> DataFrame:
+    """Validation of an expert committee (M11). In each fold, on its training rows alone: principal components, ``components`` by prefix as
+    (columns, number) that experts may name as prefix0, prefix1, ...; medians for what is missing; power scaling; experts by inner folds
+    (column ``inner``) for the meta-model, and once more on all training rows for the test."""
     parts = []
-    for w in weights:
-        for f in range(k):
-            train = gold.where(F.col("fold") != f).select(*features, label).withColumn("weight", F.lit(1.0))
-            for df in others.values():
+    for f in range(k):
+        train, test = df.where(F.col("fold") != f), df.where(F.col("fold") == f)
+        made: set[str] = set()
+        for prefix, (columns, n) in (components or {}).items():
+            fitted = Components.fit(train, columns, n)
+            train, test = fitted.transform(train, prefix), fitted.transform(test, prefix)
+            made |= {f"{prefix}{i}" for i in range(len(fitted.explained))}
+        # Fewer rows than components leave fewer columns.
+        own = {e: (spec, [c for c in columns if c in made or c in df.columns]) for e, (spec, columns) in experts.items()}
+        used = sorted({c for _, columns in own.values() for c in columns} | set(raw or []))
+        fill = medians(train, used)
+        train, test = impute(train, fill), impute(test, fill)
+        scaler = PowerScaler.fit(train, used)
+        train, test = written(scaler.transform(train), "committee"), scaler.transform(test)
+        _, judge = stack(train, own, label, inner, raw, meta or Spec("elastic", {"alpha": 0.1, "mix": 0.5}), "inner")
+        for e, (spec, columns) in own.items():
+            test = spec.fit(train, columns, label).predict(test, f"oof_{e}")
+        parts.append(_tested(judge.predict(test), name, f, key, label))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def weighted_cv(gold: DataFrame, others: list[tuple[DataFrame, float]], spec: Spec, features: list[str], label: str, k: int, key: str, scale: bool = True, name: str = "weighted") -> DataFrame:
+    """Gold rows in folds with weight 1, other sources always in training with their weight; tested on gold only.
+
+    The power scaler is fitted on all rows that the fold trains on. Sources of weight 0 are left out."""
+    parts = []
+    for f in range(k):
+        train, test = gold.where(F.col("fold") != f).select(*features, label).withColumn("weight", F.lit(1.0)), gold.where(F.col("fold") == f)
+        for df, w in others:
+            if w > 0:
                 train = train.unionByName(df.select(*features, label).withColumn("weight", F.lit(float(w))))
-            got = Spec(kind, weight="weight").fit(train, features, label).predict(gold.where(F.col("fold") == f))
-            parts.append(got.select(F.lit(f"w={w}").alias("model"), F.lit(f).alias("fold"), key, F.col(label).alias("y"), "yhat"))
-    return fold_summary(reduce(DataFrame.unionByName, parts), "y", "yhat")
+        if scale:
+            scaler = PowerScaler.fit(train, features)
+            train, test = scaler.transform(train), scaler.transform(test)
+        parts.append(_tested(Spec(spec.kind, spec.params, "weight", spec.validation).fit(train, features, label).predict(test), name, f, key, label))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def weight_scan(gold: DataFrame, others: dict[str, DataFrame], weights: list[float], features: list[str], label: str, k: int, key: str, kind: str = "ridge", scale: bool = True) -> DataFrame:
+    """The summary of ``weighted_cv`` for each weight (M07). ``best`` marks the highest mean r2 above 0, the earlier weight of equal ones."""
+    got = [weighted_cv(gold, [(df, w) for df in others.values()], Spec(kind), features, label, k, key, scale, f"w={w}") for w in weights]
+    place = F.lit(None).cast("int")
+    for i, w in enumerate(weights):
+        place = F.when(F.col("model") == f"w={w}", i).otherwise(place)
+    table = fold_summary(reduce(DataFrame.unionByName, got), "y", "yhat").withColumn("__i", place)
+    top = table.where("r2_mean > 0").agg(F.max_by("__i", F.struct("r2_mean", -F.col("__i"))).alias("__b"))  # one row
+    return table.join(F.broadcast(top)).withColumn("best", F.col("__i").eqNullSafe(F.col("__b"))).drop("__i", "__b")
+
 
+def leak_free_cv(gold: DataFrame, virtual: DataFrame, spec: Spec, features: list[str], label: str, k: int, key: str, weight: float | None = None,
+                 trees: tuple[int, int] | None = None, scale: bool = False) -> DataFrame:
+    """Cross-validation with virtual rows whose parents are not in the fold's test set, and without any.
 
-def leak_free_cv(gold: DataFrame, virtual: DataFrame, spec: Spec, features: list[str], label: str, k: int, key: str) -> DataFrame:
-    """Cross-validation with virtual rows whose parents are not in the fold's test set, and without any."""
+    ``virtual`` rows train like gold ones; a further model ``weighted`` gives them ``weight`` (M07), and one ``two_stage`` grows the first
+    of its (first, total) ``trees`` on them (M08). With ``scale``, the power scaler is fitted on all rows that a model trains on."""
     free = without_test_parents(virtual, gold.select(F.col(key).alias("key"), "fold"), k)
     parts = []
     for f in range(k):
         own, test = gold.where(F.col("fold") != f).select(*features, label), gold.where(F.col("fold") == f)
-        for name, train in (("baseline", own), ("virtual", own.unionByName(free.where(F.col("fold") == f).select(*features, label)))):
-            got = spec.fit(train, features, label).predict(test)
-            parts.append(got.select(F.lit(name).alias("model"), F.lit(f).alias("fold"), key, F.col(label).alias("y"), "yhat"))
+        more = free.where(F.col("fold") == f).select(*features, label)
+
+        def ready(train: DataFrame, *also: DataFrame) -> list[DataFrame]:
+            if not scale:
+                return list(also)
+            scaler = PowerScaler.fit(train, features)
+            return [scaler.transform(df) for df in also]
+
+        both = own.unionByName(more)
+        train, at = ready(own, own, test)
+        parts.append(_tested(spec.fit(train, features, label).predict(at), "baseline", f, key, label))
+        train, at = ready(both, both, test)
+        parts.append(_tested(spec.fit(train, features, label).predict(at), "virtual", f, key, label))
+        if weight is not None:
+            train, at = ready(both, own.withColumn("weight", F.lit(1.0)).unionByName(more.withColumn("weight", F.lit(float(weight)))), test)
+            parts.append(_tested(Spec(spec.kind, spec.params, "weight").fit(train, features, label).predict(at), "weighted", f, key, label))
+        if trees is not None:
+            first, then, at = ready(both, more, own, test)
+            parts.append(_tested(two_stage(first, then, at, features, label, *trees), "two_stage", f, key, label))
     return reduce(DataFrame.unionByName, parts)

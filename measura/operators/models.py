@@ -99,9 +99,9 @@ def out_of_fold(df: DataFrame, specs: dict[str, tuple[Spec, list[str]]], label:
     return parts
 
 
-def stack(df: DataFrame, specs: dict[str, tuple[Spec, list[str]]], label: str, k: int, raw: list[str] | None = None, meta: Spec | None = None) -> tuple[DataFrame, Fitted]:
+def stack(df: DataFrame, specs: dict[str, tuple[Spec, list[str]]], label: str, k: int, raw: list[str] | None = None, meta: Spec | None = None, fold: str = "fold") -> tuple[DataFrame, Fitted]:
     """Out-of-fold predictions, some raw features beside them, and the meta-model fitted on both."""
-    oof = out_of_fold(df, specs, label, k)
+    oof = out_of_fold(df, specs, label, k, fold)
     columns = [f"oof_{n}" for n in specs] + list(raw or [])
     return oof, (meta or Spec("ridge", {"alpha": 1.0})).fit(oof, columns, label)
 

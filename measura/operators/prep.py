@@ -29,9 +29,9 @@ class Scaler:
         return df.withColumns({c: (F.col(c) - self.mean[c]) / self.std[c] for c in self.mean})
 
 
-def yeo_johnson(x: Column, power: float) -> Column:
-    up = F.log1p(x) if abs(power) < 1e-9 else (F.pow(x + 1, F.lit(power)) - 1) / power
-    down = -F.log1p(-x) if abs(power - 2) < 1e-9 else -(F.pow(1 - x, F.lit(2 - power)) - 1) / (2 - power)
+def yeo_johnson(x: Column, power: Column) -> Column:
+    up = F.when(F.abs(power) < 1e-9, F.log1p(x)).otherwise((F.pow(x + 1, power) - 1) / power)
+    down = F.when(F.abs(power - 2) < 1e-9, -F.log1p(-x)).otherwise(-(F.pow(1 - x, 2 - power) - 1) / (2 - power))
     return F.when(x >= 0, up).otherwise(down)
 
 
@@ -45,20 +45,25 @@ class PowerScaler:
 
     @staticmethod
     def fit(train: DataFrame, columns: list[str]) -> PowerScaler:
-        """One aggregate evaluates a grid of powers for all columns; a second one a finer grid around each best."""
+        """One aggregate by column and power evaluates a grid of powers; a second one a finer grid around each column's best.
+        Columns without values keep power 1."""
+        long = train.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], columns, "c", "x").where("x is not null")
+        p, x = F.col("p"), F.col("x")
+        best = dict.fromkeys(columns, 1.0)
         grids = {c: np.arange(-2, 4.01, 0.5) for c in columns}
         for width in (0.5, 0.1):
-            likelihood = [
-                (F.lit(float(p - 1)) * F.sum(F.signum(c) * F.log1p(F.abs(c))) - F.count(c) / 2 * F.log(F.greatest(F.var_pop(yeo_johnson(F.col(c), float(p))), F.lit(1e-300)))).alias(f"l{k}_{i}")
-                for k, c in enumerate(columns) for i, p in enumerate(grids[c])]
-            row = train.agg(*likelihood).first()
-            best = {c: float(grids[c][int(np.argmax([row[f"l{k}_{i}"] if row[f"l{k}_{i}"] is not None else -np.inf for i in range(len(grids[c]))]))]) for k, c in enumerate(columns)}
+            powers = F.create_map(*(v for c in columns for v in (F.lit(c), F.lit([float(g) for g in grids[c]]))))
+            tried = long.withColumn("p", F.explode(powers[F.col("c")])).groupBy("c", "p").agg(
+                F.first(p - 1).alias("q"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("s"), F.count(x).alias("n"), F.var_pop(yeo_johnson(x, p)).alias("v"))
+            likelihood = F.col("q") * F.col("s") - F.col("n") / 2 * F.log(F.greatest("v", F.lit(1e-300)))
+            # a row for each column; the smaller power of equally likely ones
+            best |= {r.c: r.p for r in tried.groupBy("c").agg(F.max_by("p", F.struct(likelihood, -p)).alias("p")).collect()}
             grids = {c: np.arange(best[c] - width, best[c] + width + 1e-9, width / 5) for c in columns}
-        ends = train.agg(*(f(yeo_johnson(F.col(c), best[c])).alias(f"{n}{k}") for k, c in enumerate(columns) for n, f in (("a", F.min), ("b", F.max)))).first()
+        ends = train.agg(*(f(yeo_johnson(F.col(c), F.lit(best[c]))).alias(f"{n}{k}") for k, c in enumerate(columns) for n, f in (("a", F.min), ("b", F.max)))).first()
         return PowerScaler(best, {c: ends[f"a{k}"] or 0.0 for k, c in enumerate(columns)}, {c: ends[f"b{k}"] or 0.0 for k, c in enumerate(columns)})
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({c: (yeo_johnson(F.col(c), p) - self.low[c]) / max(self.high[c] - self.low[c], 1e-10) for c, p in self.power.items()})
+        return df.withColumns({c: (yeo_johnson(F.col(c), F.lit(p)) - self.low[c]) / max(self.high[c] - self.low[c], 1e-10) for c, p in self.power.items()})
 
 
 def medians(train: DataFrame, columns: list[str]) -> dict[str, float]:

@@ -88,14 +88,20 @@ def completeness(df: DataFrame, families: dict[str, list[str]]) -> DataFrame:
     return df.agg(*rates, F.avg((sum((missing(c) for c in every), F.lit(0)) == 0).cast("int")).alias("complete_rows"))
 
 
-def profile_table(df: DataFrame, value: str, key_token: str = "key", value_token: str = "value") -> DataFrame:
-    """Row count, columns, candidate key and value columns, and rows whose value parses by its first part."""
-    first = F.split(F.split(F.col(value).cast("string"), " ")[0], "-")[0]
+def profile_table(df: DataFrame, value: str, key_token: str = "key", value_token: str = "value", first: int = 0, order: list[str] | None = None) -> DataFrame:
+    """Row count, columns, candidate key and value columns, and rows whose value parses by its first part (S10). With ``first`` also that
+    many rows as JSON, the first ones by ``order``."""
+    part = F.split(F.split(F.col(value).cast("string"), " ")[0], "-")[0]
     def named(token: str) -> Column:
         return F.lit([c for c in df.columns if token in c.lower()] or [""])
 
-    return df.agg(F.count(F.lit(1)).alias("n"), F.count_if(first.try_cast("double").isNotNull()).alias("parsed")).select(
+    out = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(part.try_cast("double").isNotNull()).alias("parsed")).select(
         "n", "parsed", F.lit(",".join(df.columns)).alias("columns"), F.array_join(named(key_token), ",").alias("key_columns"), F.array_join(named(value_token), ",").alias("value_columns"))
+    if not first:
+        return out
+    order = order or df.columns
+    rows = head(df, first, *order).agg(F.array_sort(F.collect_list(F.struct(*order, F.to_json(F.struct(*df.columns)).alias("__j")))).alias("__r"))  # ``first`` rows
+    return out.join(F.broadcast(rows.select(F.col("__r.__j").alias("first_rows"))))
 
 
 def head(df: DataFrame, n: int, *order: str) -> DataFrame:

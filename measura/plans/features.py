@@ -170,9 +170,9 @@ def j13(spark, sf_dir):
     return joins.greedy_matches(m)
 
 
-@query("f03_virtual_values", f"""SELECT k1, k2, round((0.4 * v1 + kk * 0.6 * v2) / (0.4 + kk * 0.6), 2) AS f1, round(1 / (0.4 / v1 + 0.6 / v2), 2) AS f0, round(kk, 6) AS k FROM (SELECT *, CASE WHEN v2 > 0 THEN least(greatest(v1 / v2, 0.3), 3) ELSE 1 END AS kk FROM ({PAIRS})) WHERE k2 <= k1 + 20""")
+@query("f03_virtual_values", f"""SELECT k1, k2, round((0.4 * v1 + kk * 0.6 * v2) / (0.4 + kk * 0.6), 2) AS f1, round(1 / (0.4 / v1 + 0.6 / v2), 2) AS f0, round(kk, 6) AS k FROM (SELECT *, CASE WHEN v2 > 0 THEN least(greatest(v1 / v2, 0.3), 3) ELSE 1 END AS kk FROM ({PAIRS}))""")
 def f03(spark, sf_dir):
-    p = joins.material_pairs(view(spark, sf_dir, MAT), "k", "t").where("k2 <= k1 + 20")
+    p = joins.material_pairs(view(spark, sf_dir, MAT), "k", "t")
     w, a, b = F.lit(0.4), F.col("v1"), F.col("v2")
     return p.select("k1", "k2", rules.virtual_value(w, a, b, "F1").alias("f1"), rules.virtual_value(w, a, b, "F0").alias("f0"), r(rules.softness(a, b)).alias("k"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import keys
-from ..operators import featurize, quality, resolve, splits
+from ..operators import featurize, joins, quality, resolve, splits
 from ..sources import Column_, SourceSpec, load_all, materialize_once, read_delimited, read_unified, resolve_column, scratch, write_report, write_unified
 from ..sources.delimited import read_with_order
 from ..sources.specs import conform
@@ -141,14 +141,31 @@ def s11(spark, sf_dir):
     return j.select(F.concat("r_name", F.lit("-"), "n_name").alias("name"), F.greatest(F.lit(320), 420 - 10 * n).alias("t"), F.concat(F.expr("repeat('C', n_nationkey)"), F.lit("O")).alias("unit"))
 
 
+@query("s11_family_rows", """SELECT n_nationkey AS n, segment, segment || '-' || n_name AS name, greatest(320, 420 - 10 * n_nationkey) AS t,
+    (n_nationkey + length(segment)) // 2 + 10 AS middle, repeat('C', n_nationkey::int) || 'O' AS unit FROM nation, (SELECT DISTINCT c_mktsegment AS segment FROM customer)""")
+def s11_family(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"), "n_name")
+    segments = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment")).distinct()
+    n = F.col("n")
+    return joins.generate_series([nations, segments], {
+        "name": F.concat("segment", F.lit("-"), "n_name"), "t": F.greatest(F.lit(320), 420 - 10 * n), "middle": F.expr("(n + length(segment)) div 2 + 10"),
+        "unit": F.concat(F.expr("repeat('C', cast(n as int))"), F.lit("O"))}).drop("n_name")
+
+
+@query("s10_first_rows", """SELECT count(*) AS n, (SELECT string_agg('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}', ';' ORDER BY c_custkey) FROM
+    (SELECT * FROM customer ORDER BY c_custkey LIMIT 5)) AS first_rows FROM customer""")
+def s10_first(spark, sf_dir):
+    got = quality.profile_table(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_name", first=5, order=["c_custkey"])
+    return got.select("n", F.array_join("first_rows", ";").alias("first_rows"))
+
+
 # Keys and predicates.
 
-STAR = "CASE WHEN doc_id % 3 = 0 THEN '*' || substr(key, 1, 40) || '[*]' ELSE substr(key, 1, 40) END"
+STAR = "CASE WHEN doc_id % 3 = 0 THEN '*' || key || '[*]' ELSE key END"
 
 
 def starred(spark, sf_dir) -> DataFrame:
-    k = F.substring("key", 1, 40)
-    return view(spark, sf_dir, DOCS).withColumn("raw", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("*"), k, F.lit("[*]"))).otherwise(k))
+    return view(spark, sf_dir, DOCS).withColumn("raw", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("*"), "key", F.lit("[*]"))).otherwise(F.col("key")))
 
 
 @query("p01_normalize_key", f"SELECT doc_id, replace(replace(trim({STAR}), '[*]', '*'), '*', '[*]') AS norm, replace(trim({STAR}), '[*]', '*') AS plain FROM {D}")

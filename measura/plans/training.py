@@ -22,6 +22,11 @@ def ready(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
                            "split": F.when(F.col("id") % 5 == 0, "test").otherwise("train")})
 
 
+# Complete rows in SQL, and the closed form of a ridge on x1 over a group of rows.
+READY = f"(SELECT *, id % 3 AS fold, CASE WHEN id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM {FT} WHERE x1 + x2 + x3 + x4 + y IS NOT NULL)"
+LINE = "avg(x1) AS mx, avg(y) AS my, covar_pop(x1, y) / (var_pop(x1) + 1.0 / count(*)) AS slope"
+
+
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(r(F.col(c), digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
 
@@ -80,7 +85,8 @@ def _virtual(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 @query("m09_leak_free_cv")
 def m09(spark, sf_dir):
     gold, virtual = _virtual(spark, sf_dir)
-    return _rounded(metrics.fold_summary(evaluate.leak_free_cv(gold, virtual, RIDGE, ["x"], "y", 3, "k"), "y", "yhat"))
+    got = evaluate.leak_free_cv(gold, virtual, RIDGE, ["x"], "y", 3, "k", weight=0.1, trees=(3, 8), scale=True)
+    return _rounded(metrics.fold_summary(got, "y", "yhat"))
 
 
 @query("m10_stacking")
@@ -96,6 +102,20 @@ def m11(spark, sf_dir):
     return _rounded(meta.predict(oof).select("id", "oof_size", "oof_use", "yhat"))
 
 
+@query("m11_committee_cv")
+def m11_cv(spark, sf_dir):
+    experts = {"size": (RIDGE, ["x1", "x2"]), "use": (Spec("tree", {"maxDepth": 3}), ["x3", "x4"]), "parts": (RIDGE, ["c0", "c1"])}
+    got = evaluate.committee_cv(ready(spark, sf_dir, 2), experts, "y", 2, "id", ["x1"], {"c": (["x2", "x3", "x4"], 2)}, meta=Spec("elastic", {"alpha": 0.01, "mix": 0.5}))
+    return _rounded(metrics.fold_summary(got, "y", "yhat"))
+
+
+@query("m12_hierarchical_cv")
+def m12_cv(spark, sf_dir):
+    f = ready(spark, sf_dir, 2)
+    got = evaluate.repeated(f, "id", 2, 2, lambda df: evaluate.hierarchical_cv(df, [["x1"], ["x2"], ["x3", "x4"]], "y", 2, "id", Spec("boosting", {"maxIter": 2})))
+    return _rounded(metrics.fold_summary(got, "y", "yhat"))
+
+
 @query("m12_hierarchical")
 def m12(spark, sf_dir):
     f = ready(spark, sf_dir)
@@ -109,11 +129,35 @@ def m13(spark, sf_dir):
     return _rounded(metrics.fold_summary(got, "y", "yhat"))
 
 
+@query("m13_repeated_nested_cv")
+def m13_repeated(spark, sf_dir):
+    grid = {"alpha": [0.1, 10.0, 1000.0]}
+    got = evaluate.repeated(ready(spark, sf_dir, 2), "id", 2, 2, lambda df: evaluate.nested_cv(df, "ridge", grid, FEATURES, "y", "id", 2, 2)[0])
+    return _rounded(metrics.fold_summary(got, "y", "yhat"))
+
+
+@query("m14_repeated_cv")
+def m14_repeated(spark, sf_dir):
+    return _rounded(evaluate.repeated(ready(spark, sf_dir), "id", 3, 2, lambda df: evaluate.cross_validate(df, RIDGE, FEATURES, "y", 3, "id")))
+
+
 @query("m14_cross_validate")
 def m14(spark, sf_dir):
     return _rounded(evaluate.cross_validate(ready(spark, sf_dir), RIDGE, FEATURES, "y", 3, "id"))
 
 
+@query("m14_ridge_one_feature", f"""SELECT 'model' AS model, fold::int AS fold, id, round(my + slope * (x1 - mx), 4) AS yhat FROM {READY} JOIN
+    (SELECT f, {LINE} FROM {READY}, (SELECT unnest([0, 1, 2]) AS f) WHERE fold <> f GROUP BY f) ON f = fold""")
+def m14_one(spark, sf_dir):
+    return _rounded(evaluate.cross_validate(ready(spark, sf_dir), RIDGE, ["x1"], "y", 3, "id").drop("y"), 4)
+
+
+@query("m15_ridge_one_feature", f"""SELECT split, count(*) AS n, round(1 - avg((yhat - y) ** 2) / var_pop(y), 5) AS r2, round(avg(abs(yhat - y)), 5) AS mae, round(sqrt(avg((yhat - y) ** 2)), 5) AS rmse,
+    round(100 * avg(abs((yhat - y) / y)), 5) AS mape FROM (SELECT split, y, my + slope * (x1 - mx) AS yhat FROM {READY}, (SELECT {LINE} FROM {READY} WHERE split = 'train')) GROUP BY split""")
+def m15_one(spark, sf_dir):
+    return _rounded(evaluate.holdout(ready(spark, sf_dir), RIDGE, ["x1"], "y"), 5)
+
+
 @query("m15_holdout")
 def m15(spark, sf_dir):
     return _rounded(evaluate.holdout(ready(spark, sf_dir), RIDGE, FEATURES, "y"))
@@ -158,6 +202,16 @@ def m21(spark, sf_dir):
     return spark.createDataFrame([(i, *x) for i, x in enumerate(log)], "place int, stage string, before int, after int")
 
 
+@query("m22_ridge_one_feature", f"""WITH p AS (SELECT *, my + slope * (x1 - mx) AS p FROM {READY}, (SELECT {LINE} FROM {READY} WHERE fold = 0)),
+    e AS (SELECT list_sort(list(abs(y - p))) AS e, (count(*) - 1) * least(ceil((count(*) + 1) * 0.9::double) / count(*), 1) AS h FROM p WHERE fold = 1),
+    q AS (SELECT e[floor(h)::int + 1] * (1 - h + floor(h)) + e[ceil(h)::int + 1] * (h - floor(h)) AS q FROM e)
+    SELECT id, round(p, 4) AS yhat, round(p - q, 4) AS low, round(p + q, 4) AS high FROM p, q WHERE fold = 2""")
+def m22_one(spark, sf_dir):
+    f = ready(spark, sf_dir)
+    got = conformal.split_conformal(f.where("fold = 0"), f.where("fold = 1"), f.where("fold = 2"), RIDGE, ["x1"], "y", 0.9)
+    return _rounded(got.select("id", "yhat", "low", "high"), 4)
+
+
 @query("m22_split_conformal")
 def m22(spark, sf_dir):
     f = ready(spark, sf_dir)

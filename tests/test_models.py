@@ -95,3 +95,73 @@ def test_stacking_and_scan(rows):
     assert oof.count() == 240 and meta.features == ["oof_r", "oof_t"]
     best = evaluate.compare(rows, [("one", Spec("ridge"), ["x3"]), ("all", Spec("ridge"), X)], "y", 3, "id").orderBy("rank").first()
     assert best.model == "all" and best.delta > 0
+
+
+def test_repeated_folds_test_every_row_once_a_repeat(rows):
+    got = evaluate.repeated(rows, "id", 3, 2, lambda df: evaluate.cross_validate(df, Spec("ridge"), X, "y", 3, "id"))
+    assert got.count() == 480 and {x["count"] for x in got.groupBy("id").count().collect()} == {2}
+    assert {x.fold: x["count"] for x in got.groupBy("fold").count().collect()} == dict.fromkeys(range(6), 80)
+    first, second = ({frozenset(x.i) for x in got.where(f"fold div 3 = {r}").groupBy("fold").agg(F.collect_list("id").alias("i")).collect()} for r in (0, 1))
+    assert not first & second  # another order for each repeat
+    nested = evaluate.repeated(rows, "id", 2, 2, lambda df: evaluate.nested_cv(df, "ridge", {"alpha": [0.1, 1.0]}, X, "y", "id", 2)[0])
+    assert nested.count() == 480 and nested.select("fold").distinct().count() == 4
+
+
+def test_validation_of_the_hierarchy_is_that_of_its_folds(rows):
+    groups, last = [["x1"], ["x2"], ["x3"]], Spec("boosting", {"maxIter": 2})
+    got = {x.id: x.yhat for x in evaluate.hierarchical_cv(rows, groups, "y", 3, "id", last).collect()}
+    assert len(got) == 240
+    for x in models.hierarchical(rows.where("fold <> 1"), rows.where("fold = 1"), groups, "y", last).collect():
+        assert abs(got[x.id] - x.yhat) < 1e-9
+
+
+def test_weights_with_a_scaler_of_all_training_rows(rows):
+    gold, other = rows.where("id % 2 = 0"), rows.where("id % 2 = 1").withColumns({"x1": F.col("x1") * 3 + 9, "y": F.col("y") + 60})
+    got = {x.id: x.yhat for x in evaluate.weighted_cv(gold, [(other, 0.3)], Spec("ridge", {"alpha": 0.0}), X, "y", 3, "id").collect()}
+    assert len(got) == 120
+    train, test = gold.where("fold <> 0").select(*X, "y").unionByName(other.select(*X, "y")), gold.where("fold = 0")
+    scaler = prep.PowerScaler.fit(train, X)
+    w = np.r_[np.ones(gold.where("fold <> 0").count()), np.full(other.count(), 0.3)]
+    parts = [scaler.transform(df).select(*X, "y").collect() for df in (gold.where("fold <> 0"), other)]
+    a = np.array([[x.x1, x.x2, x.x3, 1] for p in parts for x in p])
+    y = np.array([x.y for p in parts for x in p])
+    want = np.linalg.solve(a.T * w @ a, a.T * w @ y)
+    for x in scaler.transform(test).collect():
+        assert abs(got[x.id] - np.array([x.x1, x.x2, x.x3, 1]) @ want) < 1e-4
+
+
+def test_the_best_weight(rows):
+    gold, other = rows.where("id % 2 = 0"), rows.where("id % 2 = 1").withColumn("y", F.col("y") + 60)
+    got = evaluate.weight_scan(gold, {"o": other}, [0.0, 0.5, 1.0], X, "y", 3, "id").collect()
+    assert [x.model for x in got if x.best] == [max(got, key=lambda x: x.r2_mean).model] == ["w=0.0"]
+    flat = evaluate.weight_scan(gold.withColumn("y", F.rand(3)), {"o": other}, [0.5], X, "y", 3, "id").collect()
+    assert flat[0].r2_mean < 0 and not flat[0].best
+
+
+def test_committee_learns_from_training_rows_alone(rows):
+    experts = {"a": (Spec("ridge"), ["x1"]), "b": (Spec("ridge"), ["p0", "p1", "p2"])}
+    shape = {"p": (["x2", "x3"], 3)}  # two columns give two components
+    got = evaluate.committee_cv(rows, experts, "y", 3, "id", ["x2"], shape, meta=Spec("ridge", {"alpha": 1e-6}))
+    assert got.count() == 240 and regression(got) > 0.9
+    # Test rows' labels must not matter, nor must the features of other test rows.
+    other = rows.withColumns({"y": F.when(F.col("fold") == 0, F.col("y") * 7).otherwise(F.col("y")), "x3": F.when((F.col("fold") == 0) & (F.col("id") > 9), F.col("x3") * 50).otherwise(F.col("x3"))})
+    both = [{x.id: x.yhat for x in evaluate.committee_cv(df, experts, "y", 1, "id", ["x2"], shape, meta=Spec("ridge", {"alpha": 1e-6})).where("id < 10").collect()} for df in (rows, other)]
+    assert both[0] and both[0].keys() == both[1].keys() and all(abs(both[0][i] - both[1][i]) < 1e-9 for i in both[0])
+    gaps = rows.withColumn("x2", F.when(F.col("id") % 5 > 0, F.col("x2")))
+    assert evaluate.committee_cv(gaps, experts, "y", 3, "id", ["x2"], shape).count() == 240
+
+
+def regression(got):
+    from measura.operators.metrics import regression_metrics
+
+    return regression_metrics(got, "y", "yhat").first().r2
+
+
+def test_leak_free_models(spark):
+    gold = spark.createDataFrame([(i, float(i), 3.0 * i, i % 3) for i in range(30)], "k long, x double, y double, fold int")
+    # Virtual rows of parent 0 are far off: they may not touch the fold that tests it.
+    virtual = spark.createDataFrame([(a, b, float(a + b) / 2, 1e6 if a == 0 else 1.5 * (a + b)) for a in range(30) for b in range(a + 1, 30)], "k1 long, k2 long, x double, y double")
+    got = evaluate.leak_free_cv(gold, virtual, Spec("ridge", {"alpha": 0.0}), ["x"], "y", 3, "k", weight=0.1, trees=(2, 5), scale=True)
+    assert {x.model: x["count"] for x in got.groupBy("model").count().collect()} == dict.fromkeys(("baseline", "virtual", "weighted", "two_stage"), 30)
+    worst = {(x.model, x.fold): x.e for x in got.groupBy("model", "fold").agg(F.max(F.abs(F.col("y") - F.col("yhat"))).alias("e")).collect()}
+    assert all(worst[m, 0] < 30 for m in ("baseline", "virtual", "weighted", "two_stage")) and worst["virtual", 1] > 1000 and worst["weighted", 1] > 100

@@ -189,3 +189,16 @@ def test_hot_keys_have_the_same_medians(spark, policy):
     assert {r.key for r in hot.collect()} == {"hot0", "hot1", "only"}
     plain = resolve.resolve_conflicts(df, ["priority", "src_row"], policy, "s").orderBy("key").collect()
     assert resolve.resolve_conflicts(df, ["priority", "src_row"], policy, "s", hot=hot).orderBy("key").collect() == plain
+
+
+def test_families_of_rows(spark):
+    a, b = spark.createDataFrame([(1, "x"), (2, "y"), (20, "z")], "n int, u string"), spark.createDataFrame([(5, "p"), (9, "q")], "m int, v string")
+    got = joins.generate_series([a, b], {"name": F.concat("u", "v"), "t": F.greatest(F.lit(320), 420 - 10 * F.col("n")), "half": F.expr("(n + m) div 2 + 10")})
+    assert sorted((x.name, x.t, x.half) for x in got.collect()) == [("xp", 410, 13), ("xq", 410, 15), ("yp", 400, 13), ("yq", 400, 15), ("zp", 320, 22), ("zq", 320, 24)]
+    assert joins.generate_series([a, b.limit(0)], {}).count() == 0
+
+
+def test_profile_shows_first_rows(spark):
+    df = spark.createDataFrame([(3, "7 K"), (1, "x"), (2, None)], "key int, value string")
+    got = quality.profile_table(df, "value", first=2, order=["key"]).first()
+    assert (got.n, got.parsed, list(got.first_rows)) == (3, 1, ['{"key":1,"value":"x"}', '{"key":2}'])

@@ -12,7 +12,7 @@ from measura.plans import training
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     root, r = str(tmp_path_factory.mktemp("whole")), random.Random(1)
-    spark.createDataFrame([(1, "abc" * 500 + "xyz"), (2, "abc"), (3, None)], "doc_id long, text string").write.parquet(f"{root}/documents.parquet")
+    spark.createDataFrame([(1, "abc" * 500 + "xyz"), (2, "abc"), (3, None)], "doc_id long, text string").selectExpr("*", "'s' AS source", "'en' AS lang").write.parquet(f"{root}/documents.parquet")
     # Dimensions from 16 on vary most, so that the first component is made of them.
     spark.createDataFrame([(i, [r.gauss(0, 1) * (10 if d == 40 else 1) for d in range(64)]) for i in range(200)], "vec_id long, embedding array<double>").write.parquet(f"{root}/embeddings.parquet")
     spark.createDataFrame([(i, 10.0 * i) for i in range(30)], "s_suppkey long, s_acctbal double").write.parquet(f"{root}/supplier.parquet")
@@ -35,3 +35,12 @@ def test_components_of_all_dimensions(spark, folder):
 def test_leak_free_validation_has_all_pairs(spark, folder):
     _, virtual = training._virtual(spark, folder)
     assert virtual.count() == 5 * 30 * 29 // 2 and virtual.select("k1", "k2").distinct().count() == 30 * 29 // 2
+
+
+def test_keys_of_whole_texts(spark, folder):
+    got = {x.doc_id: x.norm for x in QUERIES["p01_normalize_key"](spark, folder).collect()}
+    assert got[1] == "abc" * 500 + "xyz" and got[3] is None
+
+
+def test_virtual_values_of_all_pairs(spark, folder):
+    assert QUERIES["f03_virtual_values"](spark, folder).count() == 30 * 29 // 2

@@ -11,8 +11,11 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import written
+from .boosting import quantile_boosting
 from .metrics import conformal_quantile
 from .models import VECTOR, Spec, assemble
+from .quantiles import quantiles as quantiles_of
 
 
 def split_conformal(train: DataFrame, calibration: DataFrame, test: DataFrame, spec: Spec, features: list[str], label: str, coverage: float = 0.9) -> DataFrame:
@@ -46,7 +49,7 @@ def cross_conformal(df: DataFrame, test: DataFrame, spec: Spec, features: list[s
         return every.select(key, "y", "yhat", *(F.lit(None).cast("double").alias(c) for c in ("low", "high")))
     n = sum(x.n for x in ranges)
     at = [(n - 1) * (1 - coverage), (n - 1) * coverage]
-    near = every.withColumn("__c", F.explode_outer(F.udf(_near(ranges, at), NEAR)("__p"))).select("*", "__c.*").drop("__c")
+    near = every.withColumn("__c", F.explode_outer(_near(ranges, at)("__p"))).select("*", "__c.*").drop("__c")
     x = F.element_at("__p", F.col("fold") + 1) + F.when(F.col("side") == 0, -F.col("r")).otherwise(F.col("r"))
     long = near.join(reduce(DataFrame.unionByName, found), ["fold", "range"], "left").withColumn("x", x)
     place = F.col("below") + F.sum("n").over(Window.partitionBy(key, "y", "side").orderBy("x"))  # values up to x, equal ones included
@@ -61,24 +64,32 @@ NEAR = "array<struct<side: int, below: long, fold: int, range: double>>"
 
 
 def _near(ranges: list, at: list[float]):
-    """For the fold predictions of a test row: by side (0 low, 1 high) the ranges that can hold the places ``at``, and how many values
-    lie below all of them."""
+    """A function over batches of test rows: from the fold predictions, by side (0 low, 1 high) the ranges that can hold the places
+    ``at``, and how many values lie below all of them."""
     fold, part, n = (np.array([x[c] for x in ranges]) for c in ("fold", "range", "n"))
     ends = np.array([[x.low, x.high] for x in ranges])
 
-    def near(predicted: list[float]) -> list[tuple]:
-        if any(p is None for p in predicted):
-            return []
-        out = []
-        for side, place in enumerate(at):
-            x = np.sort(np.array(predicted)[fold][:, None] + (ends if side else -ends), axis=1)
-            order = np.argsort(x[:, 0])
-            least = x[order[np.searchsorted(np.cumsum(n[order]), math.floor(place) + 1)], 0]
-            order = np.argsort(x[:, 1])
-            most = x[order[np.searchsorted(np.cumsum(n[order]), math.ceil(place) + 1)], 1]
-            below = int(n[x[:, 1] < least].sum())
-            out += [(side, below, int(fold[i]), float(part[i])) for i in np.flatnonzero((x[:, 1] >= least) & (x[:, 0] <= most))]
-        return out
+    def chosen(values: np.ndarray, place: int) -> np.ndarray:
+        """For each row the value at a place, where each of its values comes as often as its range has residuals."""
+        order = np.argsort(values, axis=1)
+        return values[np.arange(len(values)), order[np.arange(len(values)), (np.cumsum(n[order], axis=1) < place + 1).sum(axis=1)]]
+
+    @F.pandas_udf(NEAR)
+    def near(predicted):
+        import pandas as pd
+
+        known = [k for k, p in enumerate(predicted) if p is not None and not any(x is None or x != x for x in p)]
+        out: list[list[dict]] = [[] for _ in range(len(predicted))]
+        for a in range(0, len(known), 256):
+            rows = known[a:a + 256]
+            base = np.stack([np.asarray(predicted.iloc[k], float) for k in rows])[:, fold]
+            for side, place in enumerate(at):
+                x = np.sort(base[:, :, None] + (ends if side else -ends), axis=2)
+                least, most = chosen(x[:, :, 0], math.floor(place))[:, None], chosen(x[:, :, 1], math.ceil(place))[:, None]
+                below = ((x[:, :, 1] < least) * n).sum(axis=1)
+                for r, i in zip(*np.nonzero((x[:, :, 1] >= least) & (x[:, :, 0] <= most))):
+                    out[rows[r]].append({"side": side, "below": int(below[r]), "fold": int(fold[i]), "range": float(part[i])})
+        return pd.Series(out, dtype=object)
 
     return near
 
@@ -87,7 +98,7 @@ def quantile_tree(train: DataFrame, features: list[str], label: str, quantiles:
     """A regression tree whose leaves hold label quantiles (MLlib has no quantile loss). Returns a function that adds q0, q1, ... to rows."""
     rows = assemble(train, features)
     model = DecisionTreeRegressor(featuresCol=VECTOR, labelCol=label, predictionCol="__y", leafCol="__leaf", maxDepth=depth, minInstancesPerNode=least, seed=1).fit(rows)
-    leaves = model.transform(rows).groupBy("__leaf").agg(F.percentile(label, F.lit(quantiles)).alias("__q"))  # 2 ** depth rows at most
+    leaves = quantiles_of(model.transform(rows).select("__leaf", label), label, quantiles, ["__leaf"])  # 2 ** depth rows at most
 
     def predict(df: DataFrame) -> DataFrame:
         got = model.transform(assemble(df, features)).join(F.broadcast(leaves), "__leaf", "left")
@@ -96,11 +107,17 @@ def quantile_tree(train: DataFrame, features: list[str], label: str, quantiles:
     return predict
 
 
-def conformalized_quantiles(train: DataFrame, calibration: DataFrame, test: DataFrame, features: list[str], label: str, coverage: float = 0.9) -> DataFrame:
-    """Quantile bounds, widened by the calibration set's quantile of how far labels lie outside."""
+def conformalized_quantiles(train: DataFrame, calibration: DataFrame, test: DataFrame, features: list[str], label: str, coverage: float = 0.9, **boosting) -> DataFrame:
+    """Quantile bounds, widened by the calibration set's quantile of how far labels lie outside.
+
+    The lower, the middle and the upper bound are models boosted with pinball loss; ``boosting`` goes to ``quantile_boosting``."""
     a = (1 - coverage) / 2
-    predict = quantile_tree(train, features, label, [a, 0.5, 1 - a])
-    out = predict(calibration).select(F.greatest(F.col("q0") - F.col(label), F.col(label) - F.col("q2")).alias("s"))
+    models = quantile_boosting(train, features, label, [a, 0.5, 1 - a], **boosting)
+
+    def predict(df: DataFrame) -> DataFrame:
+        return df.na.drop(subset=features).withColumns({f"__q{k}": m.column() for k, m in enumerate(models)})
+
+    out = written(predict(calibration).select(F.greatest(F.col("__q0") - F.col(label), F.col(label) - F.col("__q2")).alias("s")), "scores")
     q = conformal_quantile(out.where("s is not null"), F.col("s"), coverage, name="__q", signed=True).select("__q")
-    got = predict(test).join(F.broadcast(q))
-    return got.select(*[c for c in got.columns if c not in ("q0", "q1", "q2", "__q")], F.col("q1").alias("yhat"), (F.col("q0") - F.col("__q")).alias("low"), (F.col("q2") + F.col("__q")).alias("high"))
+    got = predict(test).join(F.broadcast(q))  # one row
+    return got.select(*test.columns, F.col("__q1").alias("yhat"), (F.col("__q0") - F.col("__q")).alias("low"), (F.col("__q2") + F.col("__q")).alias("high"))

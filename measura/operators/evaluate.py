@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import written
+from . import linear
 from .joins import without_test_parents
 from .metrics import fold_summary, leaderboard, regression_metrics
-from .models import Spec, hierarchical, stack, two_stage
+from .models import LINEAR, Spec, hierarchical, stack, two_stage
 from .prep import Components, PowerScaler, impute, medians
 from .splits import k_folds
 
@@ -38,13 +39,28 @@ def repeated(df: DataFrame, key: str, k: int, repeats: int, run: Callable[[DataF
 
 def cross_validate(df: DataFrame, spec: Spec, features: list[str], label: str, k: int, key: str, fold: str = "fold", name: str = "model") -> DataFrame:
     """(model, fold, key, y, yhat): predictions for each test fold (M14). Everything else is an aggregate of this table."""
+    if spec.kind in LINEAR and features:
+        found = linear.sums(df, features, label, [fold], spec.weight)
+        return _by_fold(df, [spec.solve(_others(found, f), len(features)) for f in range(k)], features, label, key, fold, name)
+    rows = written(df, "folds") if k > 1 else df  # every fit reads them
     parts = []
     for f in range(k):
-        got = spec.fit(df.where(F.col(fold) != f), features, label).predict(df.where(F.col(fold) == f))
+        got = spec.fit(rows.where(F.col(fold) != f), features, label).predict(rows.where(F.col(fold) == f))
         parts.append(_tested(got, name, f, key, label))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _others(found: dict[tuple, linear.Sums], fold: int) -> linear.Sums | None:
+    """The sums of all folds but one."""
+    return linear.total([s for g, s in found.items() if g[0] != fold])
+
+
+def _by_fold(df: DataFrame, models: list[linear.Linear], features: list[str], label: str, key: str, fold: str, name: str) -> DataFrame:
+    """Each row's prediction by its fold's model, in one pass."""
+    rows = df.na.drop(subset=features).where(F.col(fold).between(0, len(models) - 1))
+    return rows.select(F.lit(name).alias("model"), F.col(fold).cast("int").alias("fold"), key, F.col(label).alias("y"), linear.fold_column(models, features, fold).alias("yhat"))
+
+
 def search_space(grid: dict[str, list], tries: int, seed: int = 0) -> list[dict]:
     """Random points of a grid, each at most once."""
     points = [dict(zip(grid, v)) for v in itertools.product(*grid.values())]
@@ -55,6 +71,8 @@ def nested_cv(df: DataFrame, kind: str, grid: dict[str, list], features: list[st
     """Outer folds in column ``fold``; inside each a random search by inner folds (column ``inner``), a refit, and the test.
 
     For repeated outer folds: ``repeated(df, key, k, repeats, lambda folded: nested_cv(folded, ...)[0])``."""
+    if kind in LINEAR:
+        return _nested_from_sums(df, kind, grid, features, label, key, k, tries, inner, seed)
     parts, chosen = [], []
     for f in range(k):
         train = df.where(F.col("fold") != f).cache()
@@ -71,6 +89,30 @@ def nested_cv(df: DataFrame, kind: str, grid: dict[str, list], features: list[st
     return reduce(DataFrame.unionByName, parts), chosen
 
 
+def _nested_from_sums(df: DataFrame, kind: str, grid: dict[str, list], features: list[str], label: str, key: str, k: int, tries: int, inner: int, seed: int) -> tuple[DataFrame, list[dict]]:
+    """Nested validation of a linear model: the sums by fold and inner fold give every fit and every inner score."""
+    found = linear.sums(df, features, label, ["fold", "inner"])
+    models, chosen = [], []
+    for f in range(k):
+        own = {g: s for g, s in found.items() if g[0] != f}
+        scores = []
+        for point in search_space(grid, tries, seed + f):
+            spec, tested, error = Spec(kind, point), [], 0.0
+            for i in range(inner):
+                held = linear.total([s for g, s in own.items() if g[1] == i])
+                if held is not None:
+                    m = spec.solve(linear.total([s for g, s in own.items() if g[1] != i]), len(features))
+                    error += held.squared_error(m.weights, m.intercept)
+                    tested.append(held)
+            every = linear.total(tested)
+            spread = every.label_variation()[1] if every is not None else 0.0
+            scores.append((1 - error / spread if spread > 0 else 0.0, point))
+        best = max(scores, key=lambda x: x[0])[1]  # the first of equal ones
+        chosen.append(best)
+        models.append(Spec(kind, best).solve(linear.total(list(own.values())), len(features)))
+    return _by_fold(df, models, features, label, key, "fold", kind), chosen
+
+
 def holdout(df: DataFrame, spec: Spec, features: list[str], label: str, split: str = "split") -> DataFrame:
     """Train and test metrics of one split."""
     fitted = spec.fit(df.where(F.col(split) == "train"), features, label)
@@ -79,7 +121,9 @@ def holdout(df: DataFrame, spec: Spec, features: list[str], label: str, split: s
 
 def compare(df: DataFrame, entries: list[tuple[str, Spec, list[str]]], label: str, k: int, key: str) -> DataFrame:
     """Ranked cross-validated entries (M16): models, feature subsets, parameter sweeps and layers all are lists of entries."""
-    got = reduce(DataFrame.unionByName, (cross_validate(df, spec, features, label, k, key, name=name) for name, spec, features in entries))
+    used = sorted({c for _, spec, features in entries for c in [*features, *([spec.weight] if spec.weight else []), *([spec.validation] if spec.validation else [])]} | {label, key, "fold"})
+    rows = written(df.select(*used), "compared")  # every entry reads them
+    got = reduce(DataFrame.unionByName, (cross_validate(rows, spec, features, label, k, key, name=name) for name, spec, features in entries))
     order = F.lit(None).cast("int")
     for i, (name, _, _) in enumerate(entries):
         order = F.when(F.col("model") == name, i).otherwise(order)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import join_quantiles, quantiles
+from .quantiles import join_quantiles, quantiles, quantiles_of_counts, value_counts
 
 
 def regression_metrics(df: DataFrame, y: str, yhat: str, by: list[str] | None = None, percent: bool = True) -> DataFrame:
@@ -41,9 +41,10 @@ def conformal_quantile(df: DataFrame, residual: Column, coverage: float, by: lis
     """The interpolated quantile of |residual| at min(ceil((n + 1) c) / n, 1) (A15); of the residual itself if ``signed``."""
     by = by or []
     r = df.select(*by, (residual if signed else F.abs(residual)).alias("__r")).where("__r is not null")
-    g = r.groupBy(*by).agg(F.count("__r").alias("n"))
+    counts = value_counts(r, "__r", by)
+    g = counts.groupBy(*by).agg(F.sum("__n").alias("n")) if by else counts.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n"))
     level = F.least(F.ceil((F.col("__t") + 1) * F.lit(float(coverage))) / F.col("__t"), F.lit(1.0))
-    return join_quantiles(g, quantiles(r, "__r", [level], by), by).select(*by, F.col("__q")[0].alias(name), "n")
+    return join_quantiles(g, quantiles_of_counts(counts, [level], by), by).select(*by, F.col("__q")[0].alias(name), "n")
 
 
 def ensemble(df: DataFrame, key: str, yhat: str) -> DataFrame:

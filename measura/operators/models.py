@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import linear
+from .boosting import boosted_trees
+from .trees import Ensemble, random_trees
+
 VECTOR = "__features"
+LINEAR = ("ridge", "lasso", "elastic")
 
 
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
@@ -17,16 +23,11 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol=VECTOR, handleInvalid="skip").transform(df.drop(VECTOR))
 
 
-def ridge_strength(train: DataFrame, label: str, alpha: float) -> float:
-    """The regParam that minimises |err|^2 / 2n + alpha |w|^2 / 2n: the normal-equation solver
-    works on the label divided by its population deviation, which scales its L2 term."""
-    row = train.agg(F.count(label).alias("n"), F.stddev_pop(label).alias("s")).first()
-    return alpha / max(1, row.n) * (row.s or 0.0)
-
-
 @dataclass
 class Spec:
-    """A model by kind and parameters; ``weight`` names a weight column, ``validation`` a boolean column for early stopping."""
+    """A model by kind and parameters; ``weight`` names a weight column, ``validation`` a boolean column for early stopping.
+
+    ``ridge``, ``lasso`` and ``elastic`` are solved from sums (see ``linear.solve`` for their objectives)."""
 
     kind: str = "ridge"
     params: dict = field(default_factory=dict)
@@ -35,13 +36,15 @@ class Spec:
 
     def fit(self, train: DataFrame, features: list[str], label: str, prediction: str = "yhat"):
         p = dict(self.params)
+        if self.kind in ("random_trees", "signed_boosting"):  # M06, A24: trees grown by aggregates
+            grow = random_trees if self.kind == "random_trees" else boosted_trees
+            return Fitted(grow(train, features, label, weight=self.weight, **p), features, prediction)
+        if self.kind in LINEAR:
+            found = linear.sums(train, features, label, weight=self.weight)
+            return Fitted(self.solve(found.get((), None), len(features)), features, prediction)
         common = {"featuresCol": VECTOR, "labelCol": label, "predictionCol": prediction} | ({"weightCol": self.weight} if self.weight else {})
         rows = assemble(train.where(F.col(label).isNotNull()), features)
-        if self.kind in ("ridge", "lasso", "elastic"):
-            mix = {"ridge": 0.0, "lasso": 1.0}.get(self.kind, p.get("mix", 0.5))
-            reg = ridge_strength(rows, label, p.get("alpha", 1.0)) if self.kind == "ridge" else p.get("alpha", 0.01)
-            est = LinearRegression(regParam=reg, elasticNetParam=mix, standardization=False, solver="normal" if self.kind == "ridge" else "auto", **common)
-        elif self.kind == "tree":
+        if self.kind == "tree":
             est = DecisionTreeRegressor(**({"maxDepth": 5, "seed": 1} | p), **common)
         elif self.kind == "forest":
             est = RandomForestRegressor(**({"numTrees": 20, "maxDepth": 5, "seed": 1} | p), **common)
@@ -54,6 +57,14 @@ class Spec:
             raise ValueError(f"unknown model {self.kind}")
         return Fitted(est.fit(rows), features, prediction)
 
+    def solve(self, found: linear.Sums | None, n: int) -> linear.Linear:
+        """A linear model from the sums of its training rows."""
+        if found is None:
+            return linear.Linear(np.zeros(n), 0.0)
+        p = self.params
+        alpha = p.get("alpha", 1.0 if self.kind == "ridge" else 0.01)
+        return linear.solve(found, self.kind, alpha, p.get("mix", 0.5), p.get("per_row", False))
+
 
 @dataclass
 class Fitted:
@@ -62,11 +73,17 @@ class Fitted:
     prediction: str = "yhat"
 
     def predict(self, df: DataFrame, name: str | None = None) -> DataFrame:
+        if isinstance(self.model, Ensemble):
+            return self.model.predict(df, name or self.prediction)
+        if isinstance(self.model, linear.Linear):
+            return df.na.drop(subset=self.features).withColumn(name or self.prediction, self.model.column(self.features))
         out = self.model.transform(assemble(df, self.features)).drop(VECTOR)
         return out.withColumnRenamed(self.prediction, name) if name and name != self.prediction else out
 
     def importance(self) -> dict[str, float]:
         """Tree importances, or absolute coefficients."""
+        if isinstance(self.model, Ensemble):
+            return self.model.importance()
         values = self.model.featureImportances if hasattr(self.model, "featureImportances") else self.model.coefficients
         return {c: abs(float(values[k])) for k, c in enumerate(self.features)}
 

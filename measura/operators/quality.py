@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import join_quantiles, meet, quantiles
+from .quantiles import join_quantiles, meet, quantiles_of_counts
+from .quantiles import value_counts as value_counts_of
 
 
 def describe(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """count, min, max, mean, median and population deviation."""
     by, v = by or [], F.col(value)
     # Values are counted by value first, so neither a group's median nor its distinct values meet in one task.
-    counts = df.groupBy(*by, v.alias("__v")).agg(F.count(v).alias("__n"))
+    counts = value_counts_of(df, value, by)
     distinct = counts.groupBy(*by).agg(F.count("__v").alias("distinct"))
     g = df.groupBy(*by).agg(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("deviation"))
-    g = join_quantiles(g, quantiles(df, value, [0.5], by), by).withColumn("median", F.col("__q")[0]).drop("__q")
+    g = join_quantiles(g, quantiles_of_counts(counts, [0.5], by), by).withColumn("median", F.col("__q")[0]).drop("__q")
     if not by:
         return g.join(F.broadcast(distinct))
-    return meet(g, distinct, by)
+    return meet(g, distinct, by, "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
 
 
 def source_profile(df: DataFrame, valid: Column, size: Column, key: str = "key", value: str = "value", source: str = "source",

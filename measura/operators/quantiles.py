@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import written
+
 RANGES = 256
 
 
@@ -23,12 +25,21 @@ def quantiles(df: DataFrame, value: str, levels: list[float | Column], by: list[
     A level is a number from 0 to 1 or an expression of ``__t``, the group's number of values. Values are counted; approximate
     quantiles cut a group's distinct values into ranges, whose exact counts tell in which ranges the wanted places lie; only these few
     ranges are sorted. Without ``by`` the whole table is one group."""
+    return quantiles_of_counts(value_counts(df, value, by), levels, by)
+
+
+def value_counts(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """(by..., __v, __n): how often each value comes in each group. Written, so ``df`` is read once."""
+    known = df.where(F.col(value).isNotNull()).select(*(by or []), F.col(value).cast("double").alias("__v"))
+    return written(known.groupBy(*(by or []), "__v").agg(F.count(F.lit(1)).alias("__n")), "counts")
+
+
+def quantiles_of_counts(counts: DataFrame, levels: list[float | Column], by: list[str] | None = None) -> DataFrame:
+    """``quantiles`` from ``value_counts``."""
     by = by or []
     if not by:
-        return quantiles(df.withColumn("__g", F.lit(1)), value, levels, ["__g"]).drop("__g")
-    known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
-    counts = known.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    edges = known.groupBy(*by).agg(F.percentile_approx("__v", F.lit([k / RANGES for k in range(1, RANGES)]), F.lit(8 * RANGES)).alias("__e"), F.count("__v").alias("__t"))
+        return quantiles_of_counts(counts.withColumn("__g", F.lit(1)), levels, ["__g"]).drop("__g")
+    edges = counts.groupBy(*by).agg(F.percentile_approx("__v", F.lit([k / RANGES for k in range(1, RANGES)]), F.lit(8 * RANGES)).alias("__e"), F.sum("__n").alias("__t"))
     cut = meet(counts, edges, by).select(*by, "__v", "__n", "__t", F.size(F.filter("__e", lambda e: e < F.col("__v"))).alias("__b"))
     sizes = cut.groupBy(*by, "__b").agg(F.sum("__n").alias("__m"), F.first("__t").alias("__t"))  # RANGES rows for each group at most
     start = F.coalesce(F.sum("__m").over(Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import written
+
 
 def in_range(df: DataFrame, low: float, high: float, value: str = "value") -> DataFrame:
     """Both bounds belong to the range (P07). It goes before any resolution: values outside must not enter a median."""
@@ -12,21 +14,27 @@ def in_range(df: DataFrame, low: float, high: float, value: str = "value") -> Da
 
 
 def resolve_conflicts(df: DataFrame, order: list[str], policy: str = "median", exclude: str | None = None, key: str = "key",
-                      value: str = "value", source: str = "source", meta: list[str] | None = None, hot: DataFrame | None = None) -> DataFrame:
+                      value: str = "value", source: str = "source", meta: list[str] | None = None, hot: DataFrame | str | None = "find") -> DataFrame:
     """One row for each key.
 
     policy: ``median`` of all values; ``first`` by ``order``; ``exclude`` takes the median without source ``exclude`` and falls
     back to all values where nothing is left. The other columns are those of the first row by ``order``, which must sort rows
     completely. Of several sources the name is the sorted distinct ones joined by ``+``. One shuffle on the key, what a task holds
-    combined before it. An exact median keeps a key's distinct values together; for keys in ``hot`` (see ``hot_keys``; few rows,
-    broadcast) it is found by ``spread_median`` instead.
+    combined before it. An exact median keeps a key's distinct values together; for hot keys it is found by ``spread_median``
+    instead. They are found by a count of the keys first (``hot_keys``; few rows, broadcast); ``hot`` may name them, or None say that
+    there are none.
     """
     rest = meta if meta is not None else [c for c in df.columns if c not in (key, value, source)]
     first = F.min_by(F.struct(value, source, *rest), F.struct(*order))
     if policy not in ("median", "first", "exclude"):
         raise ValueError(f"unknown policy {policy}")
     counted, spread = F.col(value), None
-    if hot is not None and policy != "first":
+    if policy == "first":
+        hot = None
+    elif isinstance(hot, str):
+        hot = written(hot_keys(df, key), "hot")
+        hot = hot if hot.head(1) else None
+    if hot is not None:
         hot = hot.where(F.col(key).isNotNull()).select(F.col(key).alias("__hot"))
         df = df.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
         few = df.where("__hot is not null")

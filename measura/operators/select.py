@@ -3,83 +3,183 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+from statistics import median
 
-from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .models import Spec, assemble
+from . import linear
+from ..sources.store import written
+from .evaluate import compare
+from .joins import Cells
+from .models import Spec
 from .profiles import varying
+from .quantiles import quantiles
+from .ranks import counts_upto, digamma, placed
+from .shapley import model_trees, shapley_ranking
 from .splits import digest, position
 
 
 def with_shadows(df: DataFrame, key: str, features: list[str], seed: int) -> DataFrame:
-    """Each row with another row's features beside its own: rows in one digest order meet those in another."""
-    a = position(df, digest(seed, key), "__p")
-    b = position(df.select(key, *features), digest(seed + 1, key), "__p").select("__p", *(F.col(c).alias(f"shadow_{c}") for c in features))
-    return a.join(b, "__p").drop("__p")
+    """Each row with shadows of its features: for each feature another row's value, in an order of the feature's own.
 
+    Values are placed by (feature, digest); a row gets those at its own place. The shadows of one row come from different rows."""
+    at = position(df, digest(seed, key), "__p", tie=key)
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(c).cast("double").alias("v")) for k, c in enumerate(features))))
+    long = df.select(key, each.alias("__x")).select(key, "__x.k", "__x.v").withColumn("__d", digest(f"{seed}:shadow", "k", key))
+    shadows = placed(long, ["__d", key], "__p", ["k"]).groupBy("__p").agg(*(F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"shadow_{c}") for k, c in enumerate(features)))
+    return at.join(shadows, "__p").drop("__p")
 
-def boruta(df: DataFrame, key: str, features: list[str], label: str, rounds: int = 5, alpha: float = 0.05, trees: int = 20) -> list[str]:
-    """Features that beat the best shadow significantly often, and those not yet decided (M18). All if none is left."""
-    hits = dict.fromkeys(features, 0)
+
+@dataclass
+class Boruta:
+    """Decisions by feature (confirmed, tentative, weak, rejected), hits, rounds in which each took part, and median importances."""
+
+    decision: dict[str, str]
+    hits: dict[str, int]
+    rounds: dict[str, int]
+    importance: dict[str, float]
+
+    @property
+    def kept(self) -> list[str]:
+        """Confirmed and tentative features; all if there are none."""
+        return [c for c, d in self.decision.items() if d in ("confirmed", "tentative")] or list(self.decision)
+
+
+def binomial_tail(hits: int, n: int) -> float:
+    """The chance of so many hits or more in n fair draws."""
+    return sum(math.comb(n, i) for i in range(hits, n + 1)) / 2 ** n
+
+
+def discoveries(p: list[float], alpha: float) -> list[bool]:
+    """Which of several tests stand at a false discovery rate of ``alpha`` (Benjamini and Hochberg)."""
+    ranked = sorted(range(len(p)), key=lambda i: p[i])
+    last = max((r for r, i in enumerate(ranked) if p[i] <= alpha * (r + 1) / len(p)), default=-1)
+    return [ranked.index(i) <= last for i in range(len(p))]
+
+
+def boruta(df: DataFrame, key: str, features: list[str], label: str, rounds: int = 100, alpha: float = 0.05, trees: int = 20, seed: int = 100) -> Boruta:
+    """All-relevant selection (M18). In each round a feature hits if its forest importance exceeds the best shadow's.
+
+    After each round the undecided features are tested both ways, with a correction for the number of features (false discovery rate) and
+    for the number of rounds (Bonferroni). Rejected features leave the forest. Features still open at the end are tentative if their
+    median importance exceeds the median of the best shadows, else weak."""
+    rows = written(df.select(key, *features, label).na.drop(), "boruta")
+    decision, hits, took, history, best = dict.fromkeys(features, ""), dict.fromkeys(features, 0), dict.fromkeys(features, 0), {c: [] for c in features}, []
     for r in range(rounds):
-        rows = with_shadows(df, key, features, 100 + 2 * r)
-        shadows = [f"shadow_{c}" for c in features]
-        got = Spec("forest", {"numTrees": trees, "seed": r}).fit(rows, features + shadows, label).importance()
-        best = max(got[s] for s in shadows)
-        for c in features:
-            hits[c] += got[c] > best
-    keep = [c for c in features if sum(math.comb(rounds, i) for i in range(hits[c] + 1)) / 2 ** rounds > alpha]
-    return keep or list(features)
-
-
-def mutual_information(df: DataFrame, features: list[str], label: str, bins: int = 10) -> dict[str, float]:
-    """Binned mutual information with the label: one contingency aggregate for all features."""
-    at = F.lit([k / bins for k in range(1, bins)])
+        now = [c for c in features if decision[c] != "rejected"]
+        open_ = [c for c in now if not decision[c]]
+        if not open_:
+            break
+        mixed = written(with_shadows(rows, key, now, seed + r), "shadows")
+        got = Spec("forest", {"numTrees": trees, "seed": r}).fit(mixed, now + [f"shadow_{c}" for c in now], label).importance()
+        best.append(max(got[f"shadow_{c}"] for c in now))
+        for c in now:
+            hits[c], took[c] = hits[c] + (got[c] > best[-1]), took[c] + 1
+            history[c].append(got[c])
+        n = r + 1
+        for word, p in (("confirmed", [binomial_tail(hits[c], n) for c in open_]), ("rejected", [binomial_tail(n - hits[c], n) for c in open_])):
+            for c, stands, q in zip(open_, discoveries(p, alpha), p):
+                if stands and q <= alpha / n:
+                    decision[c] = word
+    middle = {c: median(h) if h else 0.0 for c, h in history.items()}
+    for c in features:
+        decision[c] = decision[c] or ("tentative" if best and middle[c] > median(best) else "weak")
+    return Boruta(decision, hits, took, middle)
+
+
+def neighbour_information(df: DataFrame, features: list[str], label: str, k: int = 3) -> DataFrame:
+    """(feature, information): mutual information with the label from nearest neighbours (M19; Kraskov's first estimator).
+
+    Columns are scaled by their deviation. Each row's distance to its k-th neighbour in the plane of feature and label (the larger of both
+    differences) is found by pivots; how many values lie nearer than that in each column alone, by ranges."""
     columns = [*features, label]
-    edges = df.agg(*(F.array_distinct(F.percentile(c, at)).alias(f"e{k}") for k, c in enumerate(columns)))
-    joined = df.select(*columns).na.drop().join(F.broadcast(edges))
-    def below(edges: str, c: str):
-        return F.size(F.filter(edges, lambda e: e < F.col(c))).alias(c)
-
-    binned = joined.select(*(below(f"e{k}", c) for k, c in enumerate(columns)))
-    cells = binned.unpivot([label], features, "feature", "x").groupBy("feature", "x", F.col(label).alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    rows = cells.collect()  # features x bins x bins cells at most
-    out = {}
-    for f in features:
-        own = [r for r in rows if r.feature == f]
-        n = sum(r.n for r in own)
-        px, py = {}, {}
-        for r in own:
-            px[r.x], py[r.y] = px.get(r.x, 0) + r.n, py.get(r.y, 0) + r.n
-        out[f] = sum(r.n / n * math.log(r.n * n / (px[r.x] * py[r.y])) for r in own) if n else 0.0
-    return out
+    known = df.select(*(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns))).na.drop()
+    spread = known.agg(F.count(F.lit(1)).alias("n"), *(F.stddev_pop(f"c{i}").alias(f"c{i}") for i in range(len(columns)))).first()
+    scaled = known.select(F.monotonically_increasing_id().alias("id"), *((F.col(f"c{i}") / (spread[f"c{i}"] or 1.0)).alias(f"c{i}") for i in range(len(columns))))
+    rows, last, parts = written(scaled, "information"), f"c{len(features)}", []
+    for i in range(len(features)):
+        plane = rows.select("id", F.array(f"c{i}", last).alias("v"), F.lit(0.0).alias("y"))
+        near = Cells.fit(plane, k + 1, "id", "v", "y", "chebyshev", digits=None).nearest(plane, "v", "id")  # a row is its own neighbour
+        reach = near.groupBy(F.col("query").alias("id")).agg(F.max("distance").alias("reach"))
+        # Values at the very distance do not count.
+        parts.append(rows.join(reach, "id").select(F.lit(i).alias("f"), "id", F.col(f"c{i}").alias("x"), F.col(last).alias("y"), (F.col("reach") * (1 - 1e-10)).alias("reach")))
+    found = written(reduce(DataFrame.unionByName, parts), "reaches")
+    ends = F.explode(F.array(*(F.struct(F.lit(side).alias("side"), (F.col("side_value") - sign * F.col("reach")).alias("v"), F.lit(sign > 0).alias("strict")) for side, sign in ((0, 1), (1, -1)))))
+
+    def inside(value: str, data: DataFrame, by: list[str]) -> DataFrame:
+        asked = found.withColumn("side_value", F.col(value)).select("f", "id", ends.alias("e")).select("f", "id", "e.*")
+        got = counts_upto(data, asked, by, "v", "strict", "below")
+        return got.groupBy("f", "id").agg((F.sum(F.when(F.col("side") == 1, F.col("below")).otherwise(-F.col("below")))).alias("n"))
+
+    own = inside("x", found.select("f", F.col("x").alias("v")), ["f"]).groupBy("f").agg(F.avg(digamma(F.col("n"))).alias("a"))
+    labels = inside("y", rows.select(F.col(last).alias("v")), []).groupBy("f").agg(F.avg(digamma(F.col("n"))).alias("b"))
+    information = digamma(F.lit(float(max(spread.n, 1)))) + digamma(F.lit(float(k))) - F.col("a") - F.col("b")
+    got = own.join(labels, "f").select(F.element_at(F.lit(features), F.col("f") + 1).alias("feature"), F.greatest(information, F.lit(0.0)).alias("information"))
+    return got
+
+
+def binned_information(df: DataFrame, features: list[str], label: str, bins: int = 10) -> DataFrame:
+    """(feature, information): mutual information of equal-frequency bins, from one contingency aggregate for all features."""
+    columns = [*features, label]
+    rows = written(df.select(*(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns))).na.drop(), "binned")
+    long = rows.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"c{i}").alias("v")) for i in range(len(columns))))).alias("x")).select("x.*")
+    edges = {r.i: sorted(set(r["__q"])) for r in quantiles(long, "v", [k / bins for k in range(1, bins)], ["i"]).collect()}  # bins for each column
 
+    def below(i: int):
+        return F.size(F.filter(F.lit([float(e) for e in edges.get(i, [])]).cast("array<double>"), lambda e: e < F.col(f"c{i}")))
 
-def mrmr(df: DataFrame, features: list[str], label: str, k: int) -> list[str]:
-    """Greedy choice by relevance minus mean absolute correlation with what is chosen (M19), over one correlation matrix."""
-    relevance = mutual_information(df, features, label)
-    rows = assemble(df, features)
-    matrix = Correlation.corr(rows, "__features").first()[0].toArray()
+    y = below(len(features)).alias("y")
+    cells = rows.select(y, F.posexplode(F.array(*(below(i) for i in range(len(features))))).alias("f", "x")).groupBy("f", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    sums = cells.withColumns({"px": F.sum("n").over(Window.partitionBy("f", "x")), "py": F.sum("n").over(Window.partitionBy("f", "y")), "all": F.sum("n").over(Window.partitionBy("f"))})
+    got = sums.groupBy("f").agg(F.sum(F.col("n") / F.col("all") * F.log(F.col("n") * F.col("all") / (F.col("px") * F.col("py")))).alias("information"))
+    return got.select(F.element_at(F.lit(features), F.col("f") + 1).alias("feature"), "information")
+
+
+def mrmr(df: DataFrame, features: list[str], label: str, k: int, information: Callable = neighbour_information) -> list[str]:
+    """Greedy choice by relevance less mean absolute correlation with what is chosen."""
+    return [c for c, _, _ in mrmr_steps(df, features, label, k, information)]
+
+
+def mrmr_steps(df: DataFrame, features: list[str], label: str, k: int, information: Callable = neighbour_information) -> list[tuple[str, float, float]]:
+    """The choices of ``mrmr`` in order: (feature, relevance, score when chosen).
+
+    Correlations come from the sums of products, one aggregate; the walk is over numbers by feature."""
+    relevance = {r.feature: r.information for r in information(df, features, label).collect()}
+    found = linear.sums(df, features, label).get(())
+    second = found.centred()[1][:-1, :-1] if found else np.zeros((len(features), len(features)))
+    deviation = np.sqrt(np.diag(second))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        near = np.nan_to_num(np.abs(second / np.outer(deviation, deviation)))
     chosen: list[int] = []
+    out = []
     while len(chosen) < min(k, len(features)):
-        def score(i: int) -> float:
-            near = [abs(matrix[i][j]) for j in chosen if matrix[i][j] == matrix[i][j]]
-            return relevance[features[i]] - (sum(near) / len(near) if near else 0.0)
-
-        chosen.append(max((i for i in range(len(features)) if i not in chosen), key=lambda i: (score(i), -i)))
-    return [features[i] for i in chosen]
+        scores = {i: relevance.get(c, 0.0) - (near[i, chosen].mean() if chosen else 0.0) for i, c in enumerate(features) if i not in chosen}
+        best = max(scores, key=lambda i: (scores[i], -i))
+        chosen.append(best)
+        out.append((features[best], float(relevance.get(features[best], 0.0)), float(scores[best])))
+    return out
 
 
 def importance_ranking(df: DataFrame, features: list[str], label: str, k: int, spec: Spec | None = None) -> list[tuple[str, float]]:
-    """The k most important features of a tree model."""
-    got = (spec or Spec("forest")).fit(df, features, label).importance()
-    return sorted(got.items(), key=lambda x: (-x[1], x[0]))[:k]
+    """The k features with the largest mean absolute Shapley values under a tree model (M20): the head of ``shapley_ranking``."""
+    fitted = (spec or Spec("random_trees")).fit(df, features, label)
+    ranking = shapley_ranking(model_trees(fitted.model, features, df), df)
+    return [(r.feature, r.importance) for r in ranking.orderBy("place").limit(k).collect()]
+
+
+def top_k_curve(df: DataFrame, features: list[str], label: str, ks: list[int], key: str, folds: int, judge: Spec, ranker: Spec | None = None) -> DataFrame:
+    """Ranked validations of the k most important features, for each k."""
+    ranked = [c for c, _ in importance_ranking(df, features, label, max(ks), ranker)]
+    return compare(df, [(f"top_{k}", judge, ranked[:k]) for k in ks if k <= len(ranked)], label, folds, key)
 
 
-def selection_pipeline(df: DataFrame, key: str, features: list[str], label: str, target: int, many: int = 100) -> tuple[list[str], list[tuple[str, int, int]]]:
-    """Variance, Boruta (only above ``many``), mRMR (only above twice the target), importance; with a log of (stage, before, after)."""
+def selection_pipeline(df: DataFrame, key: str, features: list[str], label: str, target: int, many: int = 100, rounds: int = 100) -> tuple[list[str], list[tuple[str, int, int]]]:
+    """Variance, Boruta (only above ``many``), mRMR (only above twice the target), Shapley importance; with a log of (stage, before, after)."""
     log = []
 
     def stage(name: str, now: list[str], after: list[str]) -> list[str]:
@@ -88,9 +188,15 @@ def selection_pipeline(df: DataFrame, key: str, features: list[str], label: str,
 
     now = stage("variance", features, varying(df, features))
     if len(now) > many:
-        now = stage("boruta", now, boruta(df, key, now, label))
+        now = stage("boruta", now, boruta(df, key, now, label, rounds).kept)
     if len(now) > 2 * target:
         now = stage("mrmr", now, mrmr(df, now, label, 2 * target))
     if len(now) > target:
         now = stage("importance", now, [c for c, _ in importance_ranking(df, now, label, target)])
     return now, log
+
+
+def selected_rows(df: DataFrame, key: str, chosen: list[str]) -> DataFrame:
+    """(key, place, feature, value): the rows' values of the chosen features, in the order of choice."""
+    each = F.array(*(F.struct(F.lit(k).alias("place"), F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for k, c in enumerate(chosen)))
+    return df.select(key, F.explode(each).alias("__x")).select(key, "__x.*")

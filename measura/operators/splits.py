@@ -1,7 +1,7 @@
 """Bins, splits and folds with reproducible orders.
 
-Every random order is the order of ``md5(seed:key)``, the same on any engine. Positions in such an order over a whole table are
-counted in two steps, by a prefix of the digest first, so no single task sorts all rows of a table or of a stratum."""
+Every random order is the order of ``md5(seed:key)``, the same on any engine. Places in such an order are counted by ranges (``ranks``), so
+no single task sorts all rows of a table or of a stratum, and tasks grow with the rows."""
 
 from __future__ import annotations
 
@@ -9,26 +9,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quantiles import quantiles
+from .ranks import placed
 
 
 def digest(seed: int | str, *keys: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
 
 
-def position(df: DataFrame, order: Column, name: str = "position", prefix: int = 2, by: list[str] | None = None, tie: str | None = None) -> DataFrame:
-    """The place of each row, from 0, in the order of a hex digest column, within groups ``by``. Rows are counted by the digest's first
-    letters; a window then orders the rows of one such part only. Equal digests sort by ``tie``."""
-    by = by or []
-    cut = df.withColumn("__o", order).withColumn("__b", F.substring("__o", 1, prefix))
-    sizes = cut.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))  # 16 ** prefix rows for each group at most
-    over = (Window.partitionBy(*by) if by else Window).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*by, "__b", F.coalesce(F.sum("__n").over(over), F.lit(0)).alias("__s"))
-    own = F.row_number().over(Window.partitionBy(*by, "__b").orderBy("__o", *([tie] if tie else []))) - 1
-    placed = cut.withColumn("__r", own)
-    same = placed["__b"] == starts["__b"]
-    for c in by:  # groups may be NULL
-        same = same & placed[c].eqNullSafe(starts[c])
-    return placed.join(starts, same).select(*(placed[c] for c in df.columns), (F.col("__s") + F.col("__r")).alias(name))
+def position(df: DataFrame, order: Column, name: str = "position", by: list[str] | None = None, tie: str | None = None) -> DataFrame:
+    """The place of each row, from 0, in the order of a digest column, within groups ``by``; equal digests sort by ``tie``."""
+    return placed(df.withColumn("__o", order), ["__o", *([tie] if tie else [])], name, by).drop("__o")
 
 
 def quantile_edges(df: DataFrame, value: str, bins: int = 10) -> list[float]:

@@ -125,17 +125,18 @@ def _vectors(df: DataFrame) -> DataFrame:
     return df.withColumn("v", F.transform("embedding", lambda x: x.cast("double")))
 
 
-@query("j10_nearest", """WITH d AS (SELECT q.vec_id AS query, t.vec_id AS neighbour, round(sqrt(list_sum(list_transform(list_zip(q.embedding, t.embedding), lambda p: (p[1]::double - p[2]::double) ** 2))), 5) AS distance
-    FROM embeddings q JOIN embeddings t ON q.vec_id <> t.vec_id WHERE q.vec_id % 50 = 0) SELECT query, count(*) AS n, round(sum(distance), 3) AS total FROM (
-    SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, neighbour) <= 5) GROUP BY query""")
+@query("j10_nearest", """WITH d AS (SELECT q.vec_id AS query, t.vec_id AS neighbour, round(sqrt(list_sum(list_transform(list_zip(q.embedding, t.embedding), lambda p: (p[1]::double - p[2]::double) ** 2))), 9) AS d
+    FROM embeddings q JOIN embeddings t ON q.vec_id <> t.vec_id WHERE q.vec_id % 50 = 0) SELECT query, neighbour, round(d, 5) AS distance, (row_number() OVER (PARTITION BY query ORDER BY d, neighbour))::int AS rank FROM d QUALIFY rank <= 5""")
 def j10(spark, sf_dir):
     e = _vectors(table(spark, sf_dir, "embeddings"))
     got = joins.nearest(e, e.where("vec_id % 50 = 0"), 6, "vec_id", "v", "label", "vec_id").where("query <> neighbour")
-    got = got.withColumn("k", F.row_number().over(splits.Window.partitionBy("query").orderBy("distance", "neighbour"))).where("k <= 5")
-    return got.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.round("distance", 5)), 3).alias("total"))
+    got = got.withColumn("rank", F.row_number().over(splits.Window.partitionBy("query").orderBy("distance", "neighbour"))).where("rank <= 5")
+    return got.select("query", "neighbour", F.round("distance", 5).alias("distance"), "rank")
 
 
-@query("j10_knn_predict")
+@query("j10_knn_predict", """WITH x AS (SELECT unnest(embedding)::double AS x, unnest(range(len(embedding))) AS k FROM embeddings), m AS (SELECT list(greatest(s, 1e-10) ORDER BY k) AS s FROM (SELECT k, stddev_pop(x) AS s FROM x GROUP BY k)),
+    d AS (SELECT q.vec_id AS query, t.vec_id AS neighbour, t.label::double AS y, round(list_sum(list_transform(list_zip(q.embedding, t.embedding, s), lambda p: abs(p[1]::double - p[2]::double) / p[3])), 9) AS d
+    FROM embeddings q, embeddings t, m WHERE q.vec_id % 50 = 0) SELECT query, round(avg(y), 6) AS yhat, round(max(d), 5) AS farthest FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query ORDER BY d, neighbour) <= 5) GROUP BY query""")
 def j10_predict(spark, sf_dir):
     e = _vectors(table(spark, sf_dir, "embeddings"))
     p = joins.knn_predict(e, e.where("vec_id % 50 = 0"), 5, "vec_id", "v", "label", "vec_id", "manhattan", standardize=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import conformal, evaluate, joins, metrics, models, prep, select, splits
+from ..operators import boosting, conformal, evaluate, joins, linear, metrics, models, prep, select, shapley, splits
 from ..operators.models import Spec
 from .registry import query
 from .tables import r
@@ -44,6 +44,22 @@ def m04(spark, sf_dir):
     return Spec("ridge", {"alpha": 5.0}).fit(f, ["x1"], "y").predict(f).select("id", r(F.col("yhat"), 4).alias("yhat"))
 
 
+@query("m04_elastic_one_feature", f"""SELECT id, round(my + sign(c) * greatest(abs(c) - 20, 0) / (v + 20) * (x1 - mx), 4) AS yhat FROM (SELECT id, x1 FROM {FT} WHERE y IS NOT NULL),
+    (SELECT avg(x1) AS mx, avg(y) AS my, covar_pop(x1, y) AS c, var_pop(x1) AS v FROM {FT} WHERE y IS NOT NULL AND x1 IS NOT NULL)""")
+def m04_elastic(spark, sf_dir):
+    f = view(spark, sf_dir, FEAT).where("y is not null")
+    return Spec("elastic", {"alpha": 40.0, "mix": 0.5}).fit(f, ["x1"], "y").predict(f).select("id", r(F.col("yhat"), 4).alias("yhat"))
+
+
+@query("m04_penalty_path")
+def m04_path(spark, sf_dir):
+    """Coefficients along a path of penalties, one scan for all of them."""
+    found = linear.sums(ready(spark, sf_dir), FEATURES, "y", ["fold"])
+    alphas = [100.0, 10.0, 1.0, 0.1]
+    got = [(f, a, c, float(w)) for f in range(3) for a, m in zip(alphas, linear.path(linear.total([s for g, s in found.items() if g[0] != f]), alphas, 0.5)) for c, w in zip(FEATURES, m.weights)]
+    return _rounded(spark.createDataFrame(got, "fold int, alpha double, feature string, weight double"), 5)
+
+
 @query("m04_lasso")
 def m04_lasso(spark, sf_dir):
     return _rounded(evaluate.holdout(ready(spark, sf_dir), Spec("lasso", {"alpha": 0.05}), FEATURES, "y"))
@@ -57,7 +73,31 @@ def m05(spark, sf_dir):
 
 @query("m06_random_features")
 def m06(spark, sf_dir):
-    return _rounded(evaluate.holdout(ready(spark, sf_dir), Spec("random_features", {"numTrees": 5}), FEATURES, "y"))
+    return _rounded(evaluate.holdout(ready(spark, sf_dir), Spec("random_trees", {"trees": 5, "depth": 4}), FEATURES, "y"))
+
+
+# One-level trees with random thresholds on all features: the best cut of each tree, and the means of its sides.
+LONG = f"(SELECT id, y, unnest([x1, x2, x3, x4]) AS x, unnest([0, 1, 2, 3]) AS f FROM {READY})"
+STUMPS = f"""c AS (SELECT t, f, lo + ('0x' || substr(md5(concat('42:', t, ':1:x', f + 1)), 1, 8))::bigint / 4294967296.0::double * (hi - lo) AS c
+        FROM (SELECT f, min(x) AS lo, max(x) AS hi FROM {LONG} GROUP BY f), (SELECT unnest([0, 1, 2]) AS t)),
+    g AS (SELECT t, f, c, count(*) FILTER (x <= c) AS nl, sum(y) FILTER (x <= c) AS sl, count(*) AS n, sum(y) AS s FROM {LONG} JOIN c USING (f) GROUP BY t, f, c),
+    b AS (SELECT t, f, c, sl / nl AS low, (s - sl) / (n - nl) AS high, s / n AS mean FROM g WHERE nl BETWEEN 1 AND n - 1
+        QUALIFY row_number() OVER (PARTITION BY t ORDER BY sl * sl / nl + (s - sl) ** 2 / (n - nl) DESC) = 1)"""
+
+
+@query("m06_one_level", f"""WITH {STUMPS} SELECT id, round(avg(CASE WHEN x <= c THEN low ELSE high END), 4) AS yhat FROM {LONG} JOIN b USING (f) GROUP BY id""")
+def m06_one(spark, sf_dir):
+    f = ready(spark, sf_dir)
+    return Spec("random_trees", {"trees": 3, "depth": 1, "subset": None, "seed": 42}).fit(f, FEATURES, "y").predict(f).select("id", r(F.col("yhat"), 4).alias("yhat"))
+
+
+@query("a24_signed_boosting")
+def a24_boosting(spark, sf_dir):
+    """Held-out metrics of boosting whose predictions may only rise in x1 and only fall in x4, beside the free model."""
+    f = ready(spark, sf_dir)
+    free = {"stages": 4, "depth": 2, "rate": 0.3}
+    entries = [("free", Spec("signed_boosting", free), FEATURES), ("signed", Spec("signed_boosting", free | {"signs": {"x1": 1, "x4": -1}}), FEATURES)]
+    return _rounded(evaluate.compare(f, entries, "y", 2, "id"))
 
 
 @query("m07_weight_scan")
@@ -129,6 +169,17 @@ def m13(spark, sf_dir):
     return _rounded(metrics.fold_summary(got, "y", "yhat"))
 
 
+@query("m13_one_feature", f"""WITH r AS (SELECT id, x1, y, id % 2 AS fold, id // 2 % 2 AS inr FROM {FT} WHERE x1 + x2 + x3 + x4 + y IS NOT NULL), a AS (SELECT unnest([0.1::double, 1000, 100000]) AS alpha), g AS (SELECT unnest([0, 1]) AS f),
+    i AS (SELECT f, alpha, h, avg(x1) AS mx, avg(y) AS my, covar_pop(x1, y) / (var_pop(x1) + alpha / count(*)) AS slope FROM r, g, a, (SELECT unnest([0, 1]) AS h) WHERE fold <> f AND inr <> h GROUP BY f, alpha, h),
+    s AS (SELECT f, alpha, 1 - avg((my + slope * (x1 - mx) - y) ** 2) / var_pop(y) AS r2 FROM r JOIN i ON fold <> f AND inr = h GROUP BY f, alpha),
+    b AS (SELECT f, arg_max(alpha, r2) AS alpha FROM s GROUP BY f),
+    o AS (SELECT f, any_value(alpha) AS alpha, avg(x1) AS mx, avg(y) AS my, covar_pop(x1, y) / (var_pop(x1) + any_value(alpha) / count(*)) AS slope FROM r JOIN b ON fold <> f GROUP BY f)
+    SELECT id, fold::int AS fold, round(my + slope * (x1 - mx), 4) AS yhat FROM r JOIN o ON fold = f""")
+def m13_one(spark, sf_dir):
+    got, _ = evaluate.nested_cv(ready(spark, sf_dir, 2), "ridge", {"alpha": [0.1, 1000.0, 100000.0]}, ["x1"], "y", "id", 2, 3)
+    return _rounded(got.select("id", "fold", "yhat"), 4)
+
+
 @query("m13_repeated_nested_cv")
 def m13_repeated(spark, sf_dir):
     grid = {"alpha": [0.1, 10.0, 1000.0]}
@@ -152,6 +203,13 @@ def m14_one(spark, sf_dir):
     return _rounded(evaluate.cross_validate(ready(spark, sf_dir), RIDGE, ["x1"], "y", 3, "id").drop("y"), 4)
 
 
+@query("m14_ridge_two_features", f"""SELECT fold::int AS fold, id, round(my + ((c1 * v3 - c3 * c13) * (x1 - m1) + (c3 * v1 - c1 * c13) * (x3 - m3)) / (v1 * v3 - c13 * c13), 4) AS yhat FROM {READY} JOIN
+    (SELECT f, avg(x1) AS m1, avg(x3) AS m3, avg(y) AS my, var_pop(x1) + 1.0 / count(*) AS v1, var_pop(x3) + 1.0 / count(*) AS v3, covar_pop(x1, x3) AS c13, covar_pop(x1, y) AS c1, covar_pop(x3, y) AS c3
+     FROM {READY}, (SELECT unnest([0, 1, 2]) AS f) WHERE fold <> f GROUP BY f) ON f = fold""")
+def m14_two(spark, sf_dir):
+    return _rounded(evaluate.cross_validate(ready(spark, sf_dir), RIDGE, ["x1", "x3"], "y", 3, "id").select("fold", "id", "yhat"), 4)
+
+
 @query("m15_ridge_one_feature", f"""SELECT split, count(*) AS n, round(1 - avg((yhat - y) ** 2) / var_pop(y), 5) AS r2, round(avg(abs(yhat - y)), 5) AS mae, round(sqrt(avg((yhat - y) ** 2)), 5) AS rmse,
     round(100 * avg(abs((yhat - y) / y)), 5) AS mape FROM (SELECT split, y, my + slope * (x1 - mx) AS yhat FROM {READY}, (SELECT {LINE} FROM {READY} WHERE split = 'train')) GROUP BY split""")
 def m15_one(spark, sf_dir):
@@ -178,28 +236,87 @@ def m17(spark, sf_dir):
 
 @query("m18_boruta")
 def m18(spark, sf_dir):
+    """All rows' values of the features that are kept, with the decisions, summed up by feature."""
     f = ready(spark, sf_dir)
-    return f.select(F.explode(F.lit(select.boruta(f, "id", FEATURES, "y", rounds=2, trees=4))).alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    found = select.boruta(f, "id", FEATURES, "y", rounds=8, trees=10)
+    decided = spark.createDataFrame([(c, d, found.hits[c], found.rounds[c]) for c, d in found.decision.items()], "feature string, decision string, hits int, rounds int")
+    rows = select.selected_rows(f, "id", found.kept).groupBy("feature").agg(F.count("value").alias("n"), r(F.avg("value")).alias("mean"))
+    return decided.join(rows, "feature", "left")
+
+
+@query("m19_information", f"""WITH r AS (SELECT id, y / (SELECT stddev_pop(y) FROM {READY}) AS y, x1 / (SELECT stddev_pop(x1) FROM {READY}) AS x1, x3 / (SELECT stddev_pop(x3) FROM {READY}) AS x3 FROM {READY}),
+    l AS (SELECT id, y, 'x1' AS feature, x1 AS x FROM r UNION ALL SELECT id, y, 'x3', x3 FROM r),
+    n AS (SELECT a.feature AS feature, a.id AS id, any_value(a.x) AS x, any_value(a.y) AS y, list_sort(list(greatest(abs(a.x - b.x), abs(a.y - b.y))))[3] * (1 - 1e-10) AS reach FROM l a JOIN l b ON a.feature = b.feature AND a.id <> b.id GROUP BY a.feature, a.id),
+    c AS (SELECT n.feature AS feature, n.id AS id, count(*) FILTER (b.x >= n.x - reach AND b.x <= n.x + reach) AS nx, count(*) FILTER (b.y >= n.y - reach AND b.y <= n.y + reach) AS ny FROM n JOIN l b ON b.feature = n.feature GROUP BY n.feature, n.id),
+    h AS (SELECT k, sum(1.0::double / k) OVER (ORDER BY k) - 1.0::double / k - 0.5772156649015329 AS psi FROM (SELECT unnest(range(1, 100001)) AS k))
+    SELECT feature, round(greatest((SELECT psi FROM h WHERE k = (SELECT count(*) FROM r)) + (SELECT psi FROM h WHERE k = 3) - avg(p.psi) - avg(q.psi), 0), 5) AS information FROM c JOIN h p ON p.k = nx JOIN h q ON q.k = ny GROUP BY feature""")
+def m19_information(spark, sf_dir):
+    return _rounded(select.neighbour_information(ready(spark, sf_dir), ["x1", "x3"], "y"), 5)
 
 
 @query("m19_mrmr")
 def m19(spark, sf_dir):
+    """All rows' values of the chosen features, summed up by place of choice."""
     f = ready(spark, sf_dir)
-    return f.select(F.posexplode(F.lit(select.mrmr(f, FEATURES, "y", 3))).alias("place", "feature")).groupBy("place", "feature").agg(F.count(F.lit(1)).alias("n"))
+    found = select.mrmr_steps(f, FEATURES, "y", 3)
+    scores = spark.createDataFrame(found, "feature string, relevance double, score double")
+    rows = select.selected_rows(f, "id", [c for c, _, _ in found]).groupBy("place", "feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
+    return _rounded(rows.join(scores, "feature"), 5)
 
 
 @query("m20_importance")
 def m20(spark, sf_dir):
+    """Mean absolute Shapley values of a forest over all rows."""
     f = ready(spark, sf_dir)
-    got = select.importance_ranking(f, FEATURES, "y", 3, Spec("forest", {"numTrees": 5}))
-    return spark.createDataFrame([(i, c, round(v, 6)) for i, (c, v) in enumerate(got)], "place int, feature string, importance double")
+    model = shapley.model_trees(Spec("forest", {"numTrees": 5}).fit(f, FEATURES, "y").model, FEATURES, f)
+    return _rounded(shapley.shapley_ranking(model, f), 5)
+
+
+@query("m20_shapley_values")
+def m20_values(spark, sf_dir):
+    """Every row's Shapley values under boosted trees, and what they add up to."""
+    f = ready(spark, sf_dir)
+    model = shapley.model_trees(Spec("boosting", {"maxIter": 3}).fit(f.where("split = 'train'"), FEATURES, "y").model, FEATURES, f.where("split = 'train'"))
+    got = shapley.shapley_values(model, f)
+    return _rounded(got.select("id", "yhat", "mean", *(F.col("shapley")[k].alias(c) for k, c in enumerate(FEATURES)), (F.aggregate("shapley", F.col("mean"), lambda s, x: s + x) - F.col("yhat")).alias("rest")), 5)
+
+
+@query("m20_shapley_one_level", f"""WITH {STUMPS}, v AS (SELECT id, f, sum((CASE WHEN x <= c THEN low ELSE high END - mean) / 3) AS v FROM {LONG} JOIN b USING (f) GROUP BY id, f), i AS (SELECT f, avg(abs(v)) AS i FROM v GROUP BY f)
+    SELECT concat('x', f + 1) AS feature, round(coalesce(i, 0), 4) AS importance FROM (SELECT unnest([0, 1, 2, 3]) AS f) LEFT JOIN i USING (f)""")
+def m20_one(spark, sf_dir):
+    f = ready(spark, sf_dir)
+    model = Spec("random_trees", {"trees": 3, "depth": 1, "subset": None, "seed": 42}).fit(f, FEATURES, "y").model
+    return _rounded(shapley.shapley_ranking(model, f).drop("place"), 4)
+
+
+@query("m20_permutation_one_feature", f"""WITH p AS (SELECT y, x1, row_number() OVER (ORDER BY md5(concat('7:', id)), id) AS k, row_number() OVER (ORDER BY md5(concat('7:x1:', id)), id) AS l FROM {READY}), m AS (SELECT {LINE} FROM {READY}),
+    j AS (SELECT a.y AS y, my + slope * (a.x1 - mx) AS p, my + slope * (b.x1 - mx) AS q FROM p a JOIN p b ON a.k = b.l, m)
+    SELECT 'x1' AS feature, round(1 - avg((p - y) ** 2) / var_pop(y), 5) AS r2, round(1 - avg((q - y) ** 2) / var_pop(y), 5) AS permuted_r2 FROM j""")
+def m20_permutation_one(spark, sf_dir):
+    f = ready(spark, sf_dir)
+    return _rounded(shapley.permutation_importance(RIDGE.fit(f, ["x1"], "y"), f, "id", "y").select("feature", "r2", "permuted_r2"), 5)
+
+
+@query("m20_permutation")
+def m20_permutation(spark, sf_dir):
+    f = ready(spark, sf_dir)
+    return _rounded(shapley.permutation_importance(Spec("forest", {"numTrees": 5}).fit(f, FEATURES, "y"), f, "id", "y"), 5)
+
+
+@query("m20_top_k_curve")
+def m20_curve(spark, sf_dir):
+    """Validation of the k features with the largest Shapley values, for each k."""
+    f = ready(spark, sf_dir)
+    return _rounded(select.top_k_curve(f, FEATURES, "y", [1, 2, 3, 4], "id", 2, RIDGE, Spec("random_trees", {"trees": 5, "depth": 4})))
 
 
 @query("m21_selection_pipeline")
 def m21(spark, sf_dir):
+    """All rows' values of the features that the stages leave, and how many each stage left."""
     f = ready(spark, sf_dir)
-    _, log = select.selection_pipeline(f, "id", FEATURES, "y", 2, many=3)
-    return spark.createDataFrame([(i, *x) for i, x in enumerate(log)], "place int, stage string, before int, after int")
+    kept, log = select.selection_pipeline(f, "id", FEATURES, "y", 2, many=3, rounds=4)
+    left = ", ".join(f"{name} {before}-{after}" for name, before, after in log)
+    return _rounded(select.selected_rows(f, "id", kept).withColumn("stages", F.lit(left)))
 
 
 @query("m22_ridge_one_feature", f"""WITH p AS (SELECT *, my + slope * (x1 - mx) AS p FROM {READY}, (SELECT {LINE} FROM {READY} WHERE fold = 0)),
@@ -228,10 +345,31 @@ def m23(spark, sf_dir):
 @query("m24_conformal_quantiles")
 def m24(spark, sf_dir):
     f = ready(spark, sf_dir)
-    got = conformal.conformalized_quantiles(f.where("fold = 0"), f.where("fold = 1"), f.where("fold = 2"), FEATURES, "y")
+    got = conformal.conformalized_quantiles(f.where("fold = 0"), f.where("fold = 1"), f.where("fold = 2"), FEATURES, "y", stages=3, depth=2)
     return _rounded(got.select("id", "y", "yhat", "low", "high"))
 
 
+@query("m24_one_stage", f"""WITH r AS (SELECT id, x3 AS x, y FROM {READY}), s AS (SELECT quantile_cont(y, 0.8::double) AS s FROM r), g AS (SELECT id, x, y - s AS d, CASE WHEN y > s THEN 0.8::double ELSE -0.2::double END AS g FROM r, s),
+    e AS (SELECT DISTINCT unnest(quantile_cont(x, [0.25, 0.5, 0.75])) AS e FROM r),
+    c AS (SELECT e FROM (SELECT e, count(*) FILTER (x <= e) AS nl, sum(g) FILTER (x <= e) AS sl, count(*) AS n, sum(g) AS s FROM g, e GROUP BY e) WHERE nl >= 20 AND n - nl >= 20 ORDER BY sl * sl / nl + (s - sl) ** 2 / (n - nl) DESC, e LIMIT 1),
+    q AS (SELECT x <= e AS side, quantile_cont(d, 0.8::double) AS q FROM g, c GROUP BY side)
+    SELECT id, round(s + q, 4) AS yhat FROM g, c, s JOIN q ON side = (x <= e)""")
+def m24_one(spark, sf_dir):
+    f = ready(spark, sf_dir)
+    model = boosting.quantile_boosting(f, ["x3"], "y", [0.8], stages=1, rate=1.0, depth=1, bins=4)[0]
+    return model.predict(f).select("id", r(F.col("yhat"), 4).alias("yhat"))
+
+
+@query("m24_pinball_loss")
+def m24_loss(spark, sf_dir):
+    """Held-out pinball loss and coverage of boosted quantile models."""
+    f = ready(spark, sf_dir)
+    levels = [0.1, 0.5, 0.9]
+    models = boosting.quantile_boosting(f.where("split = 'train'"), FEATURES, "y", levels, stages=3, depth=2)
+    test = f.where("split = 'test'").withColumns({f"q{k}": m.column() for k, m in enumerate(models)})
+    return _rounded(test.agg(*(boosting.pinball_loss("y", f"q{k}", q).alias(f"loss{k}") for k, q in enumerate(levels)), F.avg(F.col("y").between(F.col("q0"), F.col("q2")).cast("int")).alias("covered")), 5)
+
+
 @query("m25_early_stopping")
 def m25(spark, sf_dir):
     f = ready(spark, sf_dir).withColumn("held", F.col("fold") == 2)

@@ -73,7 +73,61 @@ def test_selection(rows):
     assert select.mrmr(rows, X, "y", 2)[0] == "x1"
     assert select.importance_ranking(rows, X, "y", 1)[0][0] == "x1"
     kept, log = select.selection_pipeline(rows.withColumn("flat", F.lit(1.0)), "id", [*X, "flat"], "y", 1, many=2)
-    assert kept == ["x1"] and [s for s, _, _ in log] == ["variance", "boruta", "mrmr", "importance"][:len(log)] or "flat" not in kept
+    assert kept == ["x1"] and log[0] == ("variance", 4, 3) and [s for s, _, _ in log] in (["variance", "boruta", "importance"], ["variance", "boruta", "mrmr", "importance"])
+    got = select.selected_rows(rows, "id", ["x3", "x1"]).where("id = 7").orderBy("place").collect()
+    assert [r.feature for r in got] == ["x3", "x1"] and got[1].value == rows.where("id = 7").first().x1
+
+
+def test_boruta_rejects_noise_that_correlates(spark):
+    """Two noisy columns that go together: shadows of whole rows keep their bond, shadows of their own order do not."""
+    rng = np.random.default_rng(6)
+    n = 300
+    noise = rng.normal(size=n)
+    x = np.c_[rng.normal(size=n), rng.normal(size=n), noise, noise + rng.normal(size=n) * 0.1]
+    y = 5 * x[:, 0] - 4 * x[:, 1] + rng.normal(size=n)
+    df = spark.createDataFrame([(i, *map(float, x[i]), float(y[i])) for i in range(n)], "id long, a double, b double, u double, v double, y double").repartition(2).cache()
+    features = ["a", "b", "u", "v"]
+    mixed = select.with_shadows(df, "id", features, 1).orderBy("id").collect()
+    assert len(mixed) == n
+    for k, c in enumerate(features):
+        shadow = np.array([r[f"shadow_{c}"] for r in mixed])
+        assert np.allclose(np.sort(shadow), np.sort(x[:, k])) and abs(np.corrcoef(shadow, x[:, k])[0, 1]) < 0.2
+    apart = np.array([(r.shadow_u, r.shadow_v) for r in mixed])
+    assert abs(np.corrcoef(apart.T)[0, 1]) < 0.2 < 0.9 < np.corrcoef(x[:, 2], x[:, 3])[0, 1]
+    found = select.boruta(df, "id", features, "y", rounds=12, trees=10)
+    assert found.decision["a"] == found.decision["b"] == "confirmed" and {found.decision["u"], found.decision["v"]} == {"rejected"}
+    assert found.kept == ["a", "b"] and found.rounds["u"] <= 12 and found.hits["a"] == found.rounds["a"]
+
+
+def test_corrections_for_many_tests():
+    assert select.binomial_tail(0, 7) == 1 and select.binomial_tail(7, 7) == 2 ** -7
+    assert select.discoveries([0.01, 0.04, 0.03, 0.5], 0.05) == [True, False, False, False]
+    assert select.discoveries([0.01, 0.02, 0.03, 0.5], 0.05) == [True, True, True, False]
+
+
+def test_neighbour_information_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    n, k = 500, 3
+    x = np.c_[rng.normal(size=n), np.round(rng.normal(size=n), 1), rng.normal(size=n)]
+    y = np.sin(2 * x[:, 0]) + 0.3 * x[:, 1] + 0.1 * rng.normal(size=n)
+    df = spark.createDataFrame([(*map(float, x[i]), float(y[i])) for i in range(n)], "a double, b double, c double, y double").repartition(3)
+    got = {r.feature: r.information for r in select.neighbour_information(df, ["a", "b", "c"], "y", k).collect()}
+
+    def psi(m):
+        z = m + 8.0
+        return np.log(z) - 1 / (2 * z) - 1 / (12 * z ** 2) + 1 / (120 * z ** 4) - 1 / (252 * z ** 6) - sum(1 / (m + j) for j in range(8))
+
+    b = y / y.std()
+    for j, c in enumerate("abc"):
+        a = x[:, j] / x[:, j].std()
+        da, db = np.abs(a[:, None] - a), np.abs(b[:, None] - b)
+        reach = np.sort(np.maximum(da, db), axis=1)[:, k] * (1 - 1e-10)
+        want = psi(n) + psi(k) - np.mean(psi((da <= reach[:, None]).sum(axis=1))) - np.mean(psi((db <= reach[:, None]).sum(axis=1)))
+        assert abs(got[c] - max(want, 0)) < 1e-6
+    assert got["a"] > got["b"] > got["c"]
+    assert [c for c, _, _ in select.mrmr_steps(df, ["a", "b", "c"], "y", 2)] == ["a", "b"]
+    binned = {r.feature: r.information for r in select.binned_information(df, ["a", "b", "c"], "y").collect()}
+    assert binned["a"] > binned["b"] and binned["a"] > binned["c"]
 
 
 def test_preparation(spark, rows):

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,8 +144,6 @@ def test_quality(spark):
 
 
 def test_nearest(spark):
-    import numpy as np
-
     rng = np.random.default_rng(3)
     x = rng.normal(size=(80, 4))
     df = spark.createDataFrame([(i, x[i].tolist(), float(i)) for i in range(80)], "id long, v array<double>, y double")
@@ -166,8 +165,6 @@ def test_nearest(spark):
 
 
 def test_ranks_against_a_sort(spark):
-    import numpy as np
-
     rng = np.random.default_rng(4)
     rows = [(int(g), float(v) if v < 9 else None) for g, v in zip(rng.integers(0, 3, 400), rng.integers(0, 10, 400))]
     got = profiles.average_ranks(spark.createDataFrame(rows, "g int, v double"), "v", ["g"]).collect()
@@ -179,8 +176,6 @@ def test_ranks_against_a_sort(spark):
 
 @pytest.mark.parametrize("policy", ["median", "exclude"])
 def test_hot_keys_have_the_same_medians(spark, policy):
-    import numpy as np
-
     rng = np.random.default_rng(8)
     rows = [(f"hot{k % 2}", float(np.round(v, 1)), "st"[int(v * 10) % 2], 0, k) for k, v in enumerate(rng.normal(50, 20, 5001))]
     rows += [("only", 1.0, "s", 0, k) for k in range(1500)] + [(f"cold{k % 400}", float(k), "st"[k % 3 > 0], 0, k) for k in range(900)] + [(None, 1.0, "s", 0, 0)]
@@ -202,3 +197,79 @@ def test_profile_shows_first_rows(spark):
     df = spark.createDataFrame([(3, "7 K"), (1, "x"), (2, None)], "key int, value string")
     got = quality.profile_table(df, "value", first=2, order=["key"]).first()
     assert (got.n, got.parsed, list(got.first_rows)) == (3, 1, ['{"key":1,"value":"x"}', '{"key":2}'])
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "chebyshev"])
+@pytest.mark.parametrize("k", [1, 7])
+def test_nearest_visits_few_cells(spark, metric, k):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 3)) * 20
+    x = np.round(centres[rng.integers(0, 12, 1500)] + rng.normal(size=(1500, 3)), 1)
+    x[:40] = x[0]  # many at one place
+    q = np.r_[x[:30], rng.normal(size=(30, 3)) * 25]
+    df = spark.createDataFrame([(i, list(map(float, v)), float(i)) for i, v in enumerate(x)], "id long, v array<double>, y double")
+    asked = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(q)], "id long, v array<double>")
+    cells = joins.Cells.fit(df, k, "id", "v", "y", metric, block=100)
+    got = {}
+    for r in cells.nearest(asked, "v", "id").collect():
+        got.setdefault(r.query, []).append((r.distance, r.neighbour, r.rank))
+    norm = {"euclidean": lambda d: np.sqrt((d ** 2).sum(axis=1)), "manhattan": lambda d: np.abs(d).sum(axis=1), "chebyshev": lambda d: np.abs(d).max(axis=1)}[metric]
+    for i, v in enumerate(q):
+        d = np.round(norm(x - v), 9)
+        want = [(d[j], j, r + 1) for r, j in enumerate(np.lexsort((np.arange(1500), d))[:k])]
+        assert sorted(got[i], key=lambda t: t[2]) == want
+    compared = sum(int(cells.size[r.cell]) for r in cells.visits(asked, "v", "id").collect())
+    assert compared < 0.5 * 1500 * 60
+
+
+def test_nearest_of_few_rows(spark):
+    df = spark.createDataFrame([(1, [0.0], 5.0), (2, [1.0], None), (3, None, 1.0)], "id long, v array<double>, y double")
+    got = joins.nearest(df, df, 4, "id", "v", "y", "id").orderBy("query", "rank").collect()
+    assert [(r.query, r.neighbour, r.label) for r in got] == [(1, 1, 5.0), (1, 2, None), (2, 2, None), (2, 1, 5.0)]
+    assert joins.nearest(df.limit(0), df, 4, "id", "v", "y", "id").count() == 0
+    assert joins.nearest(df, df.limit(0), 4, "id", "v", "y", "id").count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_places_by_range(spark, parts):
+    from measura.operators import ranks
+
+    rng = np.random.default_rng(2)
+    rows = [(None if g == 2 else int(g), float(v), int(w)) for g, v, w in zip(rng.integers(0, 3, 500), rng.integers(0, 40, 500), rng.integers(1, 5, 500))]
+    df = spark.createDataFrame(rows, "g int, v double, w int").repartition(parts)
+    got = ranks.placed(df, ["v"], "at", ["g"]).collect()
+    for g in (None, 0, 1):
+        own = sorted((r.at, r.v) for r in got if r.g == g)
+        assert [a for a, _ in own] == list(range(len(own))) and [v for _, v in own] == sorted(v for h, v, _ in rows if h == g)
+    heavy = ranks.placed(df, ["v", "w"], "at", ["g"], "w").collect()
+    for g in (None, 0, 1):
+        own = sorted((r.at, r.w) for r in heavy if r.g == g)
+        assert [a for a, _ in own] == np.cumsum([0, *(w for _, w in own[:-1])]).tolist()
+    asked = spark.createDataFrame([(g, float(v), s) for g in (0, 1) for v in (-1, 3, 7, 99) for s in (True, False)], "g int, v double, s boolean")
+    for r in ranks.counts_upto(df.select("g", "v"), asked, ["g"], "v", "s", "n").collect():
+        assert r.n == sum(h == r.g and (v < r.v if r.s else v <= r.v) for h, v, _ in rows)
+
+
+def test_hot_keys_are_found(spark):
+    """A key with most rows: the default finds it, and its median is exact."""
+    rows = [("hot" if i % 3 else f"k{i % 50}", float(i * 7919 % 5000), "ab"[i % 2], i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "key string, value double, source string, o int")
+    assert [r.key for r in resolve.hot_keys(df).collect()] == ["hot"]
+    plain = {r.key: (r.value, r.source, r.o) for r in resolve.resolve_conflicts(df, ["o"], hot=None).collect()}
+    assert {r.key: (r.value, r.source, r.o) for r in resolve.resolve_conflicts(df, ["o"]).collect()} == plain
+    assert plain["hot"][0] == np.median([v for k, v, _, _ in rows if k == "hot"])
+
+
+def test_quantiles_read_their_input_once(spark):
+    from measura.operators.quantiles import quantiles
+
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            reads.add(len(b))
+            yield b
+
+    df = spark.range(1000).select(F.col("id").cast("double").alias("v")).repartition(2).mapInPandas(count, "v double")
+    assert quantiles(df, "v", [0.25, 0.5]).first()["__q"] == [249.75, 499.5]
+    assert reads.value == 1000

@@ -123,10 +123,10 @@ def matches(postings: DataFrame, lists: DataFrame, slop: int = 0, ranks: int = 3
     wanted = lists.select("w", F.posexplode(rest).alias("k", "x")).select("w", "k", F.col("x.t").alias("t"), F.col("x.o").alias("o"))
     numbers = lists.select("w", F.size(rest).alias("own"))
     left = postings.join(checked_broadcast(got.select("d", "h").distinct()), ["d", "h"], "left_semi")
-    met = _intersect(got, wanted, left, slop).groupBy(*PLACE).agg(F.count(F.lit(1)).alias("k"))
+    met = _intersect(got, wanted, left, slop).distinct().groupBy(*PLACE).agg(F.count(F.lit(1)).alias("k"))
     full = met.join(checked_broadcast(numbers), "w").where(F.col("k") == F.col("own")).select(*PLACE)
     none = got.join(checked_broadcast(numbers.where("own = 0")), "w", "left_semi").select(*PLACE)
-    return materialize(full.unionByName(none), "matches")
+    return materialize(full.unionByName(none).distinct(), "matches")  # rows given twice have the same places
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",

@@ -63,19 +63,20 @@ METRICS = {
 def prefixes(cells: DataFrame, letters: str) -> DataFrame:
     """(part, path, step, metrics): every ordered choice of filters, by recursion. ``path`` ends with the step's filter."""
     spark = cells.sparkSession
-    letter = spark.createDataFrame([(c, 1 << k) for k, c in enumerate(letters)], "letter string, bit int")
+    each = ", ".join(f"named_struct('letter', '{c}', 'bit', {1 << k})" for k, c in enumerate(letters))
+    unused = f"filter(array({each}), l -> (s.applied & l.bit) = 0)"
     counts = [f"aggregate(c.cells, 0L, (x, m) -> x + IF({where}, m.{what}, 0L))" for what, where in METRICS.values()]
     sql = f"""WITH RECURSIVE steps(part, path, step, applied, {", ".join(METRICS)}) AS (
         SELECT part, '', 0, 0, {", ".join("0L" for _ in METRICS)} FROM {{cells}}
         UNION ALL
         SELECT s.part, concat(s.path, l.letter), s.step + 1, s.applied | l.bit, {", ".join(counts)}
-        FROM steps s JOIN {{letter}} l ON (s.applied & l.bit) = 0 JOIN {{cells}} c ON c.part = s.part)
+        FROM steps s JOIN {{cells}} c ON c.part = s.part LATERAL VIEW explode({unused}) e AS l)
         SELECT part, path, step, {", ".join(METRICS)} FROM steps WHERE step > 0"""
     # The recursion ends with the letters; its row limit is meant for queries that may not end.
     limit, rows = "spark.sql.cteRecursionRowLimit", spark.conf.get("spark.sql.cteRecursionRowLimit", None)
     spark.conf.set(limit, "-1")
     try:
-        return materialize(spark.sql(sql, cells=cells, letter=letter), "audit-prefixes")
+        return materialize(spark.sql(sql, cells=cells), "audit-prefixes")
     finally:
         spark.conf.set(limit, rows) if rows else spark.conf.unset(limit)
 

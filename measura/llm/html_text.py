@@ -7,8 +7,8 @@ marked. Where a container named after its layout ("content-sidebar", a page-wide
 dense text, the text overrules the name; containers of reader comments, notices and adverts are never overruled.
 
 Pass one decides the others by link density, length and stop-word density: link-heavy blocks are boilerplate, longer blocks rich in
-stop words are text; inside <article> or <main> a block without many links is text whatever its words, and a longer one rich in stop
-words even if it is one link. Short blocks, and longer ones poor in stop words, stay open. Pass two gives an open block the label of
+stop words are text; inside <article> a block is text whatever its words and links (a list of references is all links); inside <main> a
+block without many links is text whatever its words, and a longer one rich in stop words even if it is one link. Short blocks, and longer ones poor in stop words, stay open. Pass two gives an open block the label of
 its nearest decided neighbours: the same on both sides settles it; if they differ, the nearer one does, and at equal distance text wins
 if the block has any stop word. A heading goes with what follows it.
 
@@ -32,8 +32,12 @@ from pyspark.sql import functions as F
 from .common import by_bytes
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|iframe|textarea|select|canvas|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--(?:-?>|.*?(?:-->|\Z))|<(?P<raw>script|style|noscript|template|iframe|textarea|select|canvas|title)(?=[\s/>])[^>]*>"
     r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?:(?P<attr>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[^<>]*+>)|<[!?][^>]*>|</[^>]*>", re.S | re.I)
+#: Where the content of an element ends that holds no markup.
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in "script style noscript template iframe textarea select canvas title".split()}
+#: Of these, browsers read the rest of the page as their content where the end tag is missing.
+TO_THE_END = frozenset("script style".split())
 ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Elements that start a block.
@@ -92,7 +96,7 @@ class Block:
     mark: Mark | None = None
     label: int | None = None  # 1 text, 0 boilerplate, None open
     at: int = 0
-
+    strict: bool = False  # inside <article>, not only <main>
     share: float | None = None
 
     @property
@@ -107,15 +111,32 @@ class Block:
         return len(self.text) > short and self.linked <= links * len(self.text) and self.stop >= dense
 
 
+def tokens(page: str) -> Iterator[tuple[re.Match, int, str | None]]:
+    """Tags and comments in order: the match, where what follows begins, and the content of elements that hold no markup.
+
+    Time is linear in the page: a missing end tag is looked for once."""
+    at, missing = 0, set()
+    while m := TOKEN.search(page, at):
+        at, raw, content = m.end(), (m["raw"] or "").lower(), None
+        if raw and raw not in missing:
+            if end := RAW_END[raw].search(page, at):
+                content, at = page[at:end.start()], end.end()
+            else:
+                missing.add(raw)
+        if raw in missing and raw in TO_THE_END:
+            at = len(page)
+        yield m, at, content
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order; ``outside`` by tags alone, ``mark`` by names."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, Mark | None]] = []  # tag, outside, article, the mark before it
+    stack: list[tuple[str, bool, bool, bool, Mark | None]] = []  # tag, outside, article or main, article, the mark before it
     opened: Counter = Counter()  # open elements by tag
-    outer = inner = 0  # open elements that are outside, and articles
+    outer = inner = strict_open = 0  # open elements that are outside, articles and <main>, and articles alone
     articles = 0
     mark: Mark | None = None
-    named: dict[tuple[str, str], tuple[bool, bool, bool]] = {}
+    named: dict[tuple[str, str, bool], tuple[bool, bool, bool]] = {}
     pieces: list[str] = []
     linked = link = 0
     muted = 0  # depth inside a marked <span>
@@ -125,29 +146,35 @@ def blocks(page: str) -> list[Block]:
         nonlocal pieces, linked, heading
         text = " ".join(html.unescape("".join(pieces)).split())
         if text:
-            out.append(Block(text, linked, outer > 0, inner > 0, heading, mark))
+            out.append(Block(text, linked, outer > 0, inner > 0, heading, mark, strict=strict_open > 0))
         pieces, linked, heading = [], 0, False
 
+    def add(data: str) -> None:
+        """Text; of link text, what is left when white space is one space."""
+        nonlocal linked
+        pieces.append(data)
+        if link:
+            linked += len(" ".join(html.unescape(data).split()))
+
     def names(tag: str, attributes: str) -> tuple[bool, bool, bool]:
-        if (tag, attributes) not in named:
-            named[tag, attributes] = _named(tag, attributes)
-        return named[tag, attributes]
+        whole = inner > 0
+        if (tag, attributes, whole) not in named:
+            named[tag, attributes, whole] = _named(tag, attributes, whole)
+        return named[tag, attributes, whole]
 
     def leave(tag: str) -> None:
-        nonlocal outer, inner, mark
+        nonlocal outer, inner, strict_open, mark
         last = ""
         while last != tag:
-            last, outside, article, mark = stack.pop()
+            last, outside, article, strict, mark = stack.pop()
             opened[last] -= 1
-            outer, inner = outer - outside, inner - article
+            outer, inner, strict_open = outer - outside, inner - article, strict_open - strict
 
     at = 0
-    for m in TOKEN.finditer(page):
+    for m, after, _ in tokens(page):
         if m.start() > at and not muted:
-            data = page[at:m.start()]
-            pieces.append(data)
-            linked += len(data) if link else 0
-        at = m.end()
+            add(page[at:m.start()])
+        at = after
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
@@ -177,6 +204,7 @@ def blocks(page: str) -> list[Block]:
                 muted += 1
         elif tag in NESTING or tag in LEAVES:
             marked, never, named_article = names(tag, m["attr"]) if m["attr"] else (False, False, False)
+            strict = tag == "article" or named_article and not marked
             article = tag in ("article", "main") or named_article and not marked
             if tag in ("body", "main") or tag == "article" and not articles:
                 marked = False
@@ -184,13 +212,13 @@ def blocks(page: str) -> list[Block]:
                 marked = True  # a form around the whole page is overruled by its text
             outside = tag in OUTSIDE or tag == "header" and not inner and not _titled(m["attr"])
             articles += tag == "article"
-            stack.append((tag, outside, article, mark))
+            stack.append((tag, outside, article, strict, mark))
             opened[tag] += 1
-            outer, inner = outer + outside, inner + article
+            outer, inner, strict_open = outer + outside, inner + article, strict_open + strict
             if marked:
                 mark = Mark(mark, never)
     if at < len(page) and not muted:
-        pieces.append(page[at:])
+        add(page[at:])
     close()
     return out
 
@@ -210,8 +238,10 @@ def _words(name: str) -> list[str]:
     return [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
 
 
-def _named(tag: str, attributes: str) -> tuple[bool, bool, bool]:
-    """What an element's attributes say: it is no part of the article; no text inside overrules that; it is an article by its role."""
+def _named(tag: str, attributes: str, inner: bool = False) -> tuple[bool, bool, bool]:
+    """What an element's attributes say: it is no part of the article; no text inside overrules that; it is an article by its role.
+
+    Headings and parts of an article (``inner``) often have ids made from titles: there an id marks only if it has no other words."""
     marked = never = article = False
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -229,7 +259,7 @@ def _named(tag: str, attributes: str) -> tuple[bool, bool, bool]:
                     continue
                 if found <= {"header", "head"} and (words & TITLED or tag in HEADINGS):
                     continue
-                if tag == "article" and words != found:  # whole names only
+                if words != found and (tag == "article" or tag in HEADINGS or key == "id" and inner):  # whole names only
                     continue
                 marked = True
                 never |= bool(found & NEVER)
@@ -290,7 +320,7 @@ def label_blocks(found: list[Block], short: int = 60, links: float = 0.35, dense
         if b.outside:
             b.label = 0
             continue
-        density = b.linked / len(b.text)
+        density = 0.0 if b.strict else b.linked / len(b.text)
         long = len(b.text) > short
         if density > links and not b.heading:
             b.label = 1 if b.article and long and b.stop >= dense else 0

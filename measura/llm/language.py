@@ -124,13 +124,13 @@ def train(labelled: list[tuple[str, str]], per_language: int = 48, ridge: float
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2,
-        most: int = 500, languages: int = 1_000, longest: int = 1 << 18) -> Speaker | None:
+        most: int = 500, languages: int = 1_000, longest: int = 1 << 18, most_bytes: int = 256 << 20) -> Speaker | None:
     """Train on at most ``most`` texts of each label, none above ``longest`` bytes where the label has shorter ones, picked by id hash outside
-    the held-out fold. More labels than ``languages`` are an error, as each has landmarks of its own in the model."""
+    the held-out fold. Labels get fewer texts, 20 at least, where theirs would come to more than an even part of ``most_bytes``. More labels than ``languages`` are an error, as each has landmarks of its own in the model."""
     known = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("y"))
     known = known.where("t is not null and y is not null and i is not null").where(fold_of("i", folds) != held_out)
     short = F.octet_length("t") <= longest
-    counts = known.groupBy("y").agg(F.count_if(short).alias("short"), F.count(F.lit(1)).alias("n")).orderBy("y").limit(languages + 1).collect()
+    counts = known.groupBy("y").agg(F.count_if(short).alias("short"), F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.when(short, F.octet_length("t"))), F.avg(F.octet_length("t"))).alias("size")).orderBy("y").limit(languages + 1).collect()
     if not counts:
         return None
     if len(counts) > languages:
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     known = known.where(short | F.col("y").isin(only_long) if only_long else short)
     share = F.lit(0.0)
     for r in counts:
-        share = F.when(F.col("y") == r.y, F.lit(min(1.0, most / (r.short or r.n)))).otherwise(share)
+        share = F.when(F.col("y") == r.y, F.lit(min(1.0, max(20, min(most, most_bytes / len(counts) / max(1, r.size))) / (r.short or r.n)))).otherwise(share)
     hit = F.pmod(F.xxhash64("i", F.lit(7)), F.lit(1 << 30)) < share * (1 << 30)
     rows = known.where(hit).select("y", "t").limit(most * len(counts) * 2).toArrow()
     return train(list(zip(rows["y"].to_pylist(), rows["t"].to_pylist())))

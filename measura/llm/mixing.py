@@ -1,8 +1,9 @@
 """Mixing documents to target weights by soft membership, with DataFrame functions alone.
 
-1. A labelled table gives each domain's most telling words. How often a domain's words appear in texts of each domain makes
-   a multinomial classifier over these word groups. As words of one text are not independent, its log scores are divided by a
-   temperature, the one of a grid with the least log loss on a held-out fifth of the labelled texts. That yields domain posteriors.
+1. A labelled table gives each domain's most telling words. A multinomial logistic regression (MLlib) reads the share of a text's hits
+   that each domain's words have, and the text's shape in steps: its length, shares of distinct words, capitals and marks, and words'
+   mean length. Its log scores are divided by a temperature, the one of a grid with the least log loss on a held-out fifth of the
+   labelled texts. That yields domain posteriors.
 2. Document rates r >= least (0 or 1) minimise sum_d (E_d(r) - T_d)^2 / (2 E_d(1)), E_d(r) = sum_i r_i p_id n_i with posterior p and n words,
    by projected gradient from r = 1 in the metric of n: r <- max(least, r - sum_d p_d c_d), c_d = (E_d(r) - T_d) / E_d(1). In this
    metric the curvature is at most 1, so a step of 1 is safe. A rate depends on a text through p alone, so words are summed by distinct
@@ -13,16 +14,19 @@ Targets are shares of the mixture. By default its size is the smallest at which
 more, so texts are repeated, not dropped; with ``total`` as a factor of the corpus, rates below 1, down to 0, drop texts.
 
 Defined cases: null text counts as empty: no words, posterior equal to the prior, rate by that. Domains without any words and
-targets of 0 are allowed (rates go to 0 for the latter). Without labelled rows there is one domain, and all rates are equal.
+targets of 0 are allowed (rates go to 0 for the latter). Labels that differ in case only are different domains. Of equally likely
+domains the first by name is ``domain``. Without labelled rows there is one domain, and all rates are equal.
 Rows without id get rates as well. Repeated rows get equal rates. An empty table gives no rows. Clashing column names are harmless: only id
 and text are read, and ``apply_rates`` returns the columns it was given.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
+import numpy as np
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,15 +37,25 @@ from .common import SPACE, discard, materialize, sample_share
 class Domains:
     names: list[str]
     words: list[list[str]]  # telling words of each domain
-    log_prior: list[float]
-    log_share: list[list[float]]  # [domain of the text][word group]
+    bias: list[float]  # of each domain's log score
+    by_share: list[list[float]]  # [domain][word group]
+    by_shape: list[list[list[float]]] | None = None  # [domain][shape][step]
     temperature: float = 1.0
     log_loss: float | None = None  # of held-out labelled texts, at this temperature
     log_loss_plain: float | None = None  # and at temperature 1
+    accuracy: float | None = None  # of held-out labelled texts
+
+
+#: Where the steps of each shape begin: number of words, and shares or means of what ``_shape`` counts.
+STEPS = {"words": [2, 10, 50, 200], "distinct": [0.2, 0.35, 0.5, 0.65, 0.8], "capitals": [0.01, 0.02, 0.05, 0.1, 0.3], "marks": [0.02, 0.04, 0.06, 0.1, 0.2], "letters": [3, 5, 6, 7, 9]}
+
+
+def _one(name: str = "all") -> Domains:
+    return Domains([name], [[]], [0.0], [[0.0]], [[[0.0] * (len(e) + 1) for e in STEPS.values()]])
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label",
-                most: int = 6_000, words: int = 80, domains: int = 256) -> Domains:
+                most: int = 6_000, words: int = 80, domains: int = 256, penalty: float = 1e-3) -> Domains:
     """Learn from at most ``most`` labelled texts. More labels than ``domains`` are an error: each is a column of the plan.
 
     labelled: id and label. The vocabulary counted is that of the bounded sample."""
@@ -50,62 +64,100 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", te
     if len(names) > domains:
         raise ValueError(f"more than {domains} domains")
     if not names:
-        return Domains(["all"], [[]], [0.0], [[0.0]])
+        return _one()
     taken = sample_share(known, "i", most / max(1, known.count()), most)
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(taken), "i")  # bounded by most
     held = F.pmod(F.xxhash64("i", F.lit(13)), F.lit(5)) == 0
-    every = materialize(texts.select("y", held.alias("held"), F.array_distinct(_words(F.col("t"))).alias("w")), "mix-sample")
+    every = materialize(_described(texts.select("y", held.alias("held"), "t"), "t").drop("t"), "mix-sample")
     texts = every.where("not held")
     sizes = {r.y: r.n for r in texts.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     names = [y for y in names if y in sizes]
-    if not names:
-        return Domains(["all"], [[]], [0.0], [[0.0]])
-    seen = texts.select("y", F.explode("w").alias("w")).where("w <> ''").groupBy("w").pivot("y", names).count().na.fill(0)
+    if len(names) < 2:
+        return _one(*names)
+    place = (F.array_position(F.lit(names), F.col("y")) - 1).cast("int").alias("k")
+    seen = texts.where(F.col("y").isin(names)).select(place, F.explode("__w").alias("w")).where("w <> ''").groupBy("w").pivot("k", list(range(len(names)))).count().na.fill(0)
     score = []
-    for y in names:  # log odds of appearing, weighed by how often
-        here = (F.col(f"`{y}`") + .5) / (sizes[y] + 1)
+    for k, y in enumerate(names):  # log odds of appearing, weighed by how often
+        here = (F.col(f"`{k}`") + .5) / (sizes[y] + 1)
         rest = sum(sizes.values()) - sizes[y]
-        there = (sum((F.col(f"`{z}`") for z in names if z != y), F.lit(0)) + .5) / (rest + 1)
-        score.append(F.struct((F.log(here / there) * F.sqrt(here)).alias("s"), F.lit(y).alias("y")))
-    ranked = seen.select("w", F.explode(F.array(*score)).alias("x")).select("w", "x.s", "x.y").where("s > 0")
-    top = ranked.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy(F.desc("s"), "w"))).where(F.col("k") <= words)
-    lists: dict[str, list[str]] = {y: [] for y in names}
-    for r in top.orderBy("y", "k").collect():
-        lists[r.y].append(r.w)
-    groups = [lists[y] for y in names]
-    counts = {r.y: [r[f"n{k}"] for k in range(len(names))] for r in texts.groupBy("y").agg(
-        *(F.sum(_hits(F.col("w"), g)).alias(f"n{k}") for k, g in enumerate(groups))).collect()}
-    share = [[math.log((c + 1) / (sum(counts[y]) + len(names))) for c in counts[y]] for y in names]
-    model = Domains(names, groups, [math.log(sizes[y] / sum(sizes.values())) for y in names], share)
-    tested = every.where(F.col("held") & F.col("y").isin(names)).select("y", *(_hits(F.col("w"), g).alias(f"__h{k}") for k, g in enumerate(groups)))
-    tested = tested.select("y", *(x.alias(f"__s{d}") for d, x in enumerate(_evidence(model)))).withColumn("t", F.explode(F.lit(TEMPERATURES)))
-    losses = tested.groupBy("t").agg(F.avg(_log_loss(model)).alias("loss")).orderBy("loss", "t").collect()
+        there = (sum((F.col(f"`{z}`") for z in range(len(names)) if z != k), F.lit(0)) + .5) / (rest + 1)
+        score.append(F.struct((F.log(here / there) * F.sqrt(here)).alias("s"), F.lit(k).alias("k")))
+    ranked = seen.select("w", F.explode(F.array(*score)).alias("x")).select("w", "x.s", "x.k").where("s > 0")
+    top = ranked.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("s"), "w"))).where(F.col("r") <= words)
+    groups: list[list[str]] = [[] for _ in names]
+    for r in top.orderBy("k", "r").collect():
+        groups[r.k].append(r.w)
+    rows = _measured(every.where(F.col("y").isin(names)), groups)
+    steps = [F.array(*((F.col(f"__s{s}") == x).cast("double") for x in range(len(e) + 1))) for s, e in enumerate(STEPS.values())]
+    shares = F.array(*(F.col(f"__h{k}") for k in range(len(groups))))
+    rows = materialize(rows.select("held", place.alias("label"), *(f"__h{k}" for k in range(len(groups))), *(f"__s{s}" for s in range(len(STEPS))), array_to_vector(F.concat(shares, *steps)).alias("v")), "mix-rows")
+    fitted = LogisticRegression(featuresCol="v", labelCol="label", family="multinomial", regParam=penalty, maxIter=100).fit(rows.where("not held").withColumn("label", F.col("label").cast("double")))
+    weights, starts = fitted.coefficientMatrix.toArray(), np.cumsum([len(groups), *(len(e) + 1 for e in STEPS.values())])
+    model = Domains(names, groups, fitted.interceptVector.toArray().tolist(), weights[:, :len(groups)].tolist(),
+                    [[w[a:b].tolist() for a, b in zip(starts, starts[1:])] for w in weights])
+    tested = rows.where("held").select("label", *(x.alias(f"__l{d}") for d, x in enumerate(_evidence(model)))).withColumn("t", F.explode(F.lit(TEMPERATURES)))
+    scores = F.array(*(F.col(f"__l{d}") for d in range(len(names))))
+    right = (F.array_position(scores, F.array_max(scores)) - 1 == F.col("label")).cast("int")
+    losses = tested.groupBy("t").agg(F.avg(_log_loss(len(names))).alias("loss"), F.avg(right).alias("right")).orderBy("loss", "t").collect()
     if losses:
-        model.temperature, model.log_loss = losses[0].t, losses[0].loss
+        model.temperature, model.log_loss, model.accuracy = losses[0].t, losses[0].loss, losses[0].right
         model.log_loss_plain = next(r.loss for r in losses if r.t == 1)
     discard(every)
+    discard(rows)
     return model
 
 
 #: Temperatures tried for the classifier's log scores.
-TEMPERATURES = [2.0 ** (k / 2) for k in range(17)]
+TEMPERATURES = [2.0 ** (k / 2) for k in range(-2, 15)]
 
 
-def _evidence(model: Domains) -> list[Column]:
-    """Log likelihoods of the domains from the columns __h of word group hits."""
-    return [sum((F.col(f"__h{k}") * F.lit(share[k]) for k in range(len(model.words))), F.lit(0.0)) for share in model.log_share]
+def _described(df: DataFrame, text_col: str) -> DataFrame:
+    """``df`` with __n, the number of words, __w, the distinct words in lower case, and __s0, __s1, ...: the step of each shape."""
+    text, kept = F.coalesce(F.col(text_col), F.lit("")), df.columns
+    df = df.withColumn("__a", F.split(F.lower(text), SPACE))
+    df = df.select(*kept, (F.size("__a") - F.size(F.filter("__a", lambda x: x == ""))).alias("__n"), F.array_distinct("__a").alias("__w"))
+    long = F.greatest(F.length(text), F.lit(1))
 
+    def share(pattern: str) -> Column:
+        return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))) / long
+
+    size = F.greatest(F.col("__n"), F.lit(1))
+    values = [F.col("__n"), F.size("__w") / size, share("[A-Z]+"), share("[!-/:-@\\[-`{-~]+"), F.length(text) / size]
+    return df.withColumns({f"__s{k}": _step(v, e) for k, (v, e) in enumerate(zip(values, STEPS.values()))})
 
-def _log_loss(model: Domains) -> Column:
-    """Of label y, from the columns __s of log likelihoods and the temperature t."""
-    scores = F.array(*(prior + F.col(f"__s{d}") / F.col("t") for d, prior in enumerate(model.log_prior)))
-    best = F.array_max(scores)
-    total = F.aggregate(scores, F.lit(0.0), lambda s, x: s + F.exp(x - best))
-    return best + F.log(total) - F.element_at(scores, F.array_position(F.lit(model.names), F.col("y")).cast("int"))
 
+def _step(value: Column, edges: list[float]) -> Column:
+    return sum((F.when(value >= e, 1).otherwise(0) for e in edges), F.lit(0))
 
-def _words(text: Column) -> Column:
-    return F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE)
+
+def _measured(df: DataFrame, groups: list[list[str]]) -> DataFrame:
+    """``df`` with __h0, __h1, ...: the share of the hits on all groups' words that each group has, in sixteenths, so that many texts have
+    one posterior."""
+    kept = df.columns
+    df = df.select("*", *(_hits(F.col("__w"), g).alias(f"__c{k}") for k, g in enumerate(groups)))
+    total = F.greatest(sum((F.col(f"__c{k}") for k in range(len(groups))), F.lit(0)), F.lit(1))
+    return df.select(*kept, *((F.round(16 * F.col(f"__c{k}") / total) / 16).alias(f"__h{k}") for k in range(len(groups))))
+
+
+def _evidence(model: Domains) -> list[Column]:
+    """Log scores of the domains from the columns __h and __s."""
+    out = []
+    for bias, by_share, by_shape in zip(model.bias, model.by_share, model.by_shape or [[]] * len(model.names)):
+        score = F.lit(bias)
+        for k in range(len(model.words)):
+            score = score + F.col(f"__h{k}") * F.lit(by_share[k])
+        for s, w in enumerate(by_shape):
+            score = score + F.element_at(F.lit(w), F.col(f"__s{s}") + 1)
+        out.append(score)
+    return out
+
+
+def _log_loss(n: int) -> Column:
+    """Of label number ``label``, from the columns __l of log scores and the temperature t."""
+    scores = F.array(*(F.col(f"__l{d}") / F.col("t") for d in range(n)))
+    best = F.array_max(scores)
+    total = F.aggregate(scores, F.lit(0.0), lambda s, x: s + F.exp(x - best))
+    return best + F.log(total) - F.element_at(scores, F.col("label") + 1)
 
 
 def _hits(distinct: Column, words: list[str]) -> Column:
@@ -115,11 +167,9 @@ def _hits(distinct: Column, words: list[str]) -> Column:
 def posteriors(docs: DataFrame, model: Domains, text_col: str = "text") -> DataFrame:
     """``docs`` with two more columns: __n, the number of words, and __p, the posterior of each domain."""
     kept = docs.columns
-    df = docs.withColumn("__w", _words(F.col(text_col)))
-    df = df.select(*kept, (F.size("__w") - F.size(F.filter("__w", lambda x: x == ""))).alias("__n"), F.array_distinct("__w").alias("__w"))
-    df = df.select(*kept, "__n", *(_hits(F.col("__w"), g).alias(f"__h{k}") for k, g in enumerate(model.words)))
+    df = _measured(_described(docs, text_col), model.words)
     names = [f"__l{d}" for d in range(len(model.names))]
-    df = df.select(*kept, "__n", *((prior + x / model.temperature).alias(n) for n, prior, x in zip(names, model.log_prior, _evidence(model))))
+    df = df.select(*kept, "__n", *((x / model.temperature).alias(n) for n, x in zip(names, _evidence(model))))
     best = F.greatest(*names) if len(names) > 1 else F.col(names[0])
     df = df.withColumn("__m", best)
     df = df.select(*kept, "__n", *(F.exp(F.col(x) - F.col("__m")).alias(x) for x in names))
@@ -147,11 +197,15 @@ class Mixture:
     targets: list[float]  # words
     reached: list[float]
     least: float
+    at_bound: bool = False  # whether rates at their least keep a target from being met
 
 
 def fit_rates(scored: DataFrame, model: Domains, targets: dict[str, float] | None = None, total: float | None = None,
               iterations: int = 300, tolerance: float = 2e-3) -> Mixture:
-    """scored: __n and __p of every document. targets: shares by domain; domains not named share what the named ones leave."""
+    """scored: __n and __p of every document. targets: shares by domain; domains not named share what the named ones leave.
+
+    The fit ends when each domain is off by ``tolerance`` of its own target at most; or, ``at_bound``, when nothing moves any more, as
+    what is left of the gradient points out of the allowed rates."""
     size = range(len(model.names))
     least = 1.0 if total is None else 0.0
     cells = materialize(scored.groupBy("__p").agg(F.sum("__n").alias("__n")).withColumn("__r", F.lit(1.0)), "mix-cells")
@@ -174,14 +228,15 @@ def fit_rates(scored: DataFrame, model: Domains, targets: dict[str, float] | Non
         size_all = total * corpus
     goal = [size_all * w for w in weight]
     steps: list[list[float]] = []
-    now, written = have, 0
+    now, written, at_bound = have, 0, False
     for _ in range(iterations + 1):
-        if max((abs(a - b) for a, b in zip(now, goal)), default=0) <= tolerance * max(size_all, 1):
+        if all(abs(a - b) <= max(tolerance * b, 0.5) for a, b in zip(now, goal)):
             break
         steps.append([(a - b) / h if h else 0.0 for a, b, h in zip(now, goal, have)])
         before, now = now, sums(steps[written:])
-        if max((abs(a - b) for a, b in zip(now, before)), default=0) <= tolerance / 20 * max(size_all, 1):
-            break  # what is left of the gradient points out of the allowed rates
+        if all(abs(a - b) <= max(tolerance / 50 * g, 0.01) for a, b, g in zip(now, before, goal)):
+            at_bound = True
+            break
         if len(steps) - written == 16:  # rates so far are written, so that no step repeats all those before it
             further = materialize(cells.withColumn("__r", rate(F.col("__p"), steps[written:], least, F.col("__r"))), "mix-cells")
             discard(cells)
@@ -189,7 +244,7 @@ def fit_rates(scored: DataFrame, model: Domains, targets: dict[str, float] | Non
     else:
         raise RuntimeError(f"rates still move after {iterations} steps: {now} for {goal}")
     discard(cells)
-    return Mixture(model, steps, goal, now, least)
+    return Mixture(model, steps, goal, now, least, at_bound)
 
 
 def copies(of_rate: Column, id_col: str, seed: int = 11) -> Column:
@@ -205,7 +260,8 @@ def mix(docs: DataFrame, model: Domains, targets: dict[str, float] | None = None
     fitted = fit_rates(scored, model, targets, **how)
     r = rate(F.col("__p"), fitted.steps, fitted.least)
     domain = F.element_at(F.lit(model.names), F.array_position("__p", F.array_max("__p")).cast("int"))
-    shares = [F.element_at("__p", d + 1).alias(f"p_{y}") for d, y in enumerate(model.names)]
+    lower = [y.lower() for y in model.names]  # columns may not differ in case only
+    shares = [F.element_at("__p", d + 1).alias(f"p_{y}" if lower.count(y.lower()) == 1 else f"p{d}_{y}") for d, y in enumerate(model.names)]
     out = scored.select(F.col("__i").alias(id_col), F.col("__n").cast("long").alias("n_words"), domain.alias("domain"), *shares, r.alias("rate"))
     return out.withColumn("copies", copies(F.col("rate"), id_col)), fitted
 

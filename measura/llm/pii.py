@@ -15,6 +15,7 @@ rows. Other columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
@@ -195,27 +196,47 @@ def _signs(text: str) -> list[Span]:
     return sorted(found)
 
 
+def _spoils(span: Span, base: list[Span], starts: list[int]) -> bool:
+    """Whether a span is a base span, or overlaps one without holding it whole. Base spans are sorted and apart, so only the first and the
+    last of those that it meets can reach out of it."""
+    first = bisect.bisect_right(starts, span[0]) - 1
+    if first < 0 or base[first][1] <= span[0]:
+        first += 1
+    last = bisect.bisect_left(starts, span[1]) - 1
+    if first > last:
+        return False
+    return base[first] == span or base[first][0] < span[0] or base[last][1] > span[1]
+
+
 def hidden(text: str, base: dict[str, list[Span]], reach: int = 120) -> dict[str, list[Span]]:
     """Spans that only the rewritten text shows."""
     out: dict[str, list[Span]] = {k: [] for k in KINDS}
     windows: list[list[int]] = []
-    for a, b in _signs(text):
+
+    def to_space(b: int) -> int:
+        while b < len(text) and not text[b].isspace():
+            b += 1
+        return b
+
+    for a, b in _signs(text):  # no window cuts an identifier; windows never overlap, so no character is looked at twice
         a, b = max(0, a - reach), min(len(text), b + reach)
-        if windows and a <= windows[-1][1]:
-            windows[-1][1] = max(b, windows[-1][1])
+        end = windows[-1][1] if windows else 0
+        if a > end or not windows:
+            while a > end and not text[a - 1].isspace():
+                a -= 1
+        if windows and a <= end:
+            if b > end:
+                windows[-1][1] = to_space(b)
         else:
-            windows.append([a, b])
+            windows.append([a, to_space(b)])
+    starts = {k: [a for a, _ in base[k]] for k in KINDS}
     for a, b in windows:
-        while a > 0 and not text[a - 1].isspace():  # no identifier is cut
-            a -= 1
-        while b < len(text) and not text[b].isspace():
-            b += 1
         new, first, last, made = rewrite(text, a, b)
         for kind, spans in find(new).items():
             for s, e in spans:
                 if any(made[s:e]):
                     span = (first[s], max(last[s:e]))
-                    if not any(x < span[1] and span[0] < y and not (span[0] <= x and y <= span[1]) for x, y in base[kind]) and span not in base[kind]:
+                    if not _spoils(span, base[kind], starts[kind]):
                         out[kind].append(span)
     return out
 

@@ -221,7 +221,7 @@ def train(sentences: list[tuple[int, list[str]]], decay: float = 0.8, span: int
     unlike = _without_near_copies(sentences)
     for label, tokens in unlike:
         (toxic if label else clean).update(tokens)
-    clean.update({x for y, t in sentences if not y for x in t if x not in clean})
+    clean.update(sorted({x for y, t in sentences if not y for x in t if x not in clean}))  # a set's order differs from run to run
     positives = [t for y, t in sentences if y]
     if not positives or len(positives) == len(sentences) or not clean:
         return None

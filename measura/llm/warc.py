@@ -25,13 +25,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_bytes
-from .html_text import blocks
+from .html_text import ATTRIBUTE, blocks, tokens
 
 RECORD = ("response_row long, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string,"
           " payload_digest string, block_digest string, source_headers string, content_length long, block string")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
-LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+LANG = re.compile(r"[\w-]+")
+
+
+def facts(page: str) -> tuple[str | None, str | None, list[str]]:
+    """Title, language and link targets, from one walk over the page's tags: time is linear in the page, closed tags or not."""
+    title, language, links = None, None, []
+    for m, _, content in tokens(page):
+        if title is None and content is not None and m["raw"].lower() == "title":
+            title = " ".join(html.unescape(content).split())
+        tag = (m["tag"] or "").lower()
+        if m["end"] or not m["attr"] or tag not in ("html", "a"):
+            continue
+        for a in ATTRIBUTE.finditer(m["attr"]):
+            value = a[2] or a[3] or a[4]
+            if tag == "a" and a[1].lower() == "href":
+                links.append(" ".join(html.unescape(value or "").split()))
+                break
+            if tag == "html" and a[1].lower() == "lang" and language is None and value and (word := LANG.match(value)):
+                language = word[0]
+    return title, language, links
 
 
 def digest(block: bytes) -> str:
@@ -71,11 +88,8 @@ def derive_one(record_id: str | None, target: str | None, date: str | None, head
         fields.append(("source-block-digest", digest((headers + "\r\n" + page).encode("utf-8", "replace"))))
     for k, line in enumerate(lines):
         fields.append(("source-http-status" if not k and line.startswith("HTTP/") else "source-http-header", line))
-    if m := TITLE.search(page):
-        fields.append(("title", " ".join(html.unescape(m[1]).split())))
-    if m := LANG.search(page):
-        fields.append(("language", m[1]))
-    fields += [("outlink", " ".join(html.unescape(m[1] or m[2] or m[3] or "").split())) for m in LINK.finditer(page)]
+    title, language, links = facts(page)
+    fields += [("title", title), ("language", language), *(("outlink", x) for x in links)]
     about = "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None)
     text = "\n".join(b.text for b in blocks(page))
     out = []

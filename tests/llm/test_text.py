@@ -615,3 +615,109 @@ def test_search_skips_most_postings():
         order = np.lexsort((ids, -every))[:10]
         assert sorted(docs.tolist()) == sorted(order[every[order] > 0].tolist()) and np.allclose(scores, every[docs], atol=1.01e-4)
     assert 0 < shard.read < 0.5 * shard.owned
+
+
+ARTICLE = "<article><h1>T</h1><p>This is the text of an article that is long enough and it was here for all of us to read.</p></article>"
+WHOLE = "T\nThis is the text of an article that is long enough and it was here for all of us to read."
+
+
+@pytest.mark.parametrize("before", ["<title-bar></title-bar>", "<select-menu></select-menu>", "<!-->", "<!--->", "<!-- a > b -->", "<template>", "<noscript>", "<canvas/>", "<script-x></script-x>", "<script>var a = '<p>';</script >", "<style></STYLE\n>"])
+def test_elements_that_only_begin_like_raw_ones(before):
+    assert html_text.main_text(before + ARTICLE) == WHOLE
+
+
+@pytest.mark.parametrize("before", ["<script>", "<style>", "<!-- never closed"])
+def test_what_takes_the_rest_of_the_page(before):
+    assert html_text.main_text(ARTICLE + before + ARTICLE) == WHOLE
+
+
+def test_ids_made_from_titles_are_no_marks():
+    page = ('<article><h2 id="related-work">Related work</h2><p>One.</p><h2 id="legal-status">Legal</h2><p>Two.</p><section id="social-impact"><p>Three.</p></section>'
+            '<div id="comments"><p>Gone.</p></div><div class="share-buttons">Gone.</div><h3 class="comment-header">Kept</h3></article>')
+    assert html_text.main_text(page) == "Related work\nOne.\nLegal\nTwo.\nThree.\nKept"
+
+
+def test_linked_lines_of_an_article_stay():
+    assert html_text.main_text('<article><p>Text.</p><ul><li><a href="#1">Smith 2001</a></li><li><a href="#2">Jones</a></li></ul><p><a href="x">One link</a></p></article>') == "Text.\nSmith 2001\nJones\nOne link"
+    menu = "".join(f'<li><a href="/{k}">Item {k}</a></li>' for k in range(5))
+    assert "Item" not in html_text.main_text(f"<main><ul>{menu}</ul><p>{'This is the text of a page and it is here for all. ' * 3}</p></main>")
+
+
+def test_indentation_inside_links_does_not_count():
+    text = "This is the text of a page and it is here for all. " * 3
+    got = html_text.main_text(f"<p>{text}<a href=x>{' ' * 200}a\n{' ' * 200}link</a></p>")
+    assert got == text + "a link"
+
+
+@pytest.mark.parametrize("unit", ["<title>", "<html ", "<a ", "<noscript>", "<a href='", '<a href="x', "<!--", "<p", "<title>x</title", "<select>"])
+def test_a_page_of_unclosed_tags_takes_linear_time(unit):
+    import time
+
+    page = unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    assert len(warc.derive_one("i", "t", "d", None, page, None)) == 2
+    assert time.process_time() - began < 5
+
+
+def test_facts_of_a_page():
+    page = ("<!-- <a href='no'> --><html class=x lang='de-AT'><head><title>One &amp;\n two</title><title>other</title></head><script>'<a href=\"no\">'</script>"
+            "<a name=x>no</a><A HREF=one>1</A><a class='b' href=\"two &amp; three\">2</a><a href>4</a>")
+    assert warc.facts(page) == ("One & two", "de-AT", ["one", "two & three", ""])
+    assert warc.facts("<title>never closed <a href=x>") == (None, None, ["x"])
+
+
+@pytest.mark.parametrize("unit", ["a@b.co x [at] y [dot] co ", "x[at]y[dot]co;", "four one five 5551234 ", "ａ@b.co ", "a@b.co,x(at)y.co,"])
+def test_mixed_plain_and_disguised_addresses_take_linear_time(unit):
+    import time
+
+    text = unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    pii.hidden(text, pii.find(text))
+    assert time.process_time() - began < 12
+
+
+def test_added_spans_never_cut_base_spans():
+    rng = random.Random(2)
+    for _ in range(2_000):
+        base = []
+        at = 0
+        while at < 60:
+            at += rng.randrange(1, 9)
+            end = at + rng.randrange(1, 7)
+            base.append((at, end))
+            at = end + rng.randrange(0, 3)
+        a = rng.randrange(0, 60)
+        span = (a, a + rng.randrange(1, 30))
+        plain = span in base or any(x < span[1] and span[0] < y and not (span[0] <= x and y <= span[1]) for x, y in base)
+        assert pii._spoils(span, base, [x for x, _ in base]) == plain
+
+
+def test_training_does_not_depend_on_hash_seeds():
+    """The same machine whatever order sets have."""
+    import os
+    import subprocess
+    import sys
+
+    code = ("import random; from measura.llm import toxicity as t; r = random.Random(1); w = [''.join(r.choices('abcdefgh', k=5)) for _ in range(3000)];"
+            "s = [(0, r.sample(w, 60)) for _ in range(80)] + [(1, r.sample(w, 30) + ['idiotzz' + str(k % 3)]) for k in range(30)];"
+            "m = t.train(s, most_negative=500, landmarks=32, rounds=2); print(round(float(abs(m.weights).sum()), 6), round(m.bias, 9))")
+    got = {subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONHASHSEED": str(seed), "OMP_NUM_THREADS": "1"}, capture_output=True, text=True, check=True,
+                          cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))).stdout for seed in (1, 2, 3)}
+    assert len(got) == 1
+
+
+def test_samples_are_the_smallest_hashes(spark):
+    from measura.llm.common import sample_share
+
+    df = spark.range(20_000).withColumnRenamed("id", "i").withColumn("y", F.lit(1))
+    want = {r.i for r in df.withColumn("h", F.pmod(F.xxhash64("i", F.lit(7)), F.lit(1 << 30))).orderBy("h", "i").limit(300).collect()}
+    for parts in (1, 7):
+        got = [r.i for r in sample_share(df.repartition(parts), "i", 300 / 20_000, 300).collect()]
+        assert len(got) == 300 and set(got) == want
+    assert sample_share(df, "i", 2.0, 40_000).count() == 20_000
+
+
+def test_search_bounds_its_shards(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        search.top_k(docs, docs, most=40_001)

@@ -204,8 +204,9 @@ def fit_rates(scored: DataFrame, model: Domains, targets: dict[str, float] | Non
               iterations: int = 300, tolerance: float = 2e-3) -> Mixture:
     """scored: __n and __p of every document. targets: shares by domain; domains not named share what the named ones leave.
 
-    The fit ends when each domain is off by ``tolerance`` of its own target at most; or, ``at_bound``, when nothing moves any more, as
-    what is left of the gradient points out of the allowed rates."""
+    The fit ends when each domain is off by ``tolerance`` of its own target at most; or, ``at_bound``, when a step moves no domain by a
+    tenth of that, as what is left of the gradient points out of the allowed rates: a domain that may not shrink, or whose texts are
+    partly another domain's, cannot meet every target. ``targets`` and ``reached`` tell how far off each domain is then."""
     size = range(len(model.names))
     least = 1.0 if total is None else 0.0
     cells = materialize(scored.groupBy("__p").agg(F.sum("__n").alias("__n")).withColumn("__r", F.lit(1.0)), "mix-cells")
@@ -234,7 +235,7 @@ def fit_rates(scored: DataFrame, model: Domains, targets: dict[str, float] | Non
             break
         steps.append([(a - b) / h if h else 0.0 for a, b, h in zip(now, goal, have)])
         before, now = now, sums(steps[written:])
-        if all(abs(a - b) <= max(tolerance / 50 * g, 0.01) for a, b, g in zip(now, before, goal)):
+        if all(abs(a - b) <= max(tolerance / 10 * g, 0.01) for a, b, g in zip(now, before, goal)):
             at_bound = True
             break
         if len(steps) - written == 16:  # rates so far are written, so that no step repeats all those before it
@@ -262,7 +263,9 @@ def mix(docs: DataFrame, model: Domains, targets: dict[str, float] | None = None
     domain = F.element_at(F.lit(model.names), F.array_position("__p", F.array_max("__p")).cast("int"))
     lower = [y.lower() for y in model.names]  # columns may not differ in case only
     shares = [F.element_at("__p", d + 1).alias(f"p_{y}" if lower.count(y.lower()) == 1 else f"p{d}_{y}") for d, y in enumerate(model.names)]
-    out = scored.select(F.col("__i").alias(id_col), F.col("__n").cast("long").alias("n_words"), domain.alias("domain"), *shares, r.alias("rate"))
+    # The likeliest domain's expected words in the mixture: wanted, and reached.
+    words = [F.element_at(F.lit([float(x) for x in v]), F.array_position("__p", F.array_max("__p")).cast("int")).alias(n) for n, v in (("target_words", fitted.targets), ("mixed_words", fitted.reached))]
+    out = scored.select(F.col("__i").alias(id_col), F.col("__n").cast("long").alias("n_words"), domain.alias("domain"), *shares, r.alias("rate"), *words)
     return out.withColumn("copies", copies(F.col("rate"), id_col)), fitted
 
 

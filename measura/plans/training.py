@@ -27,6 +27,14 @@ READY = f"(SELECT *, id % 3 AS fold, CASE WHEN id % 5 = 0 THEN 'test' ELSE 'trai
 LINE = "avg(x1) AS mx, avg(y) AS my, covar_pop(x1, y) / (var_pop(x1) + 1.0 / count(*)) AS slope"
 
 
+def two_features(a: str, b: str, y: str, rows: str, by: str = "") -> str:
+    """The closed form of a ridge (alpha 1) on two columns over a group of rows: means and slopes."""
+    head = f"{by}, " if by else ""
+    v, w, c, d, e = f"(var_pop({a}) + 1.0 / count(*))", f"(var_pop({b}) + 1.0 / count(*))", f"covar_pop({a}, {b})", f"covar_pop({a}, {y})", f"covar_pop({b}, {y})"
+    return f"""SELECT {head}avg({a}) AS ma, avg({b}) AS mb, avg({y}) AS my, ({d} * {w} - {e} * {c}) / ({v} * {w} - {c} * {c}) AS sa, ({e} * {v} - {d} * {c}) / ({v} * {w} - {c} * {c}) AS sb
+        FROM {rows}{f" GROUP BY {by}" if by else ""}"""
+
+
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(r(F.col(c), digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
 
@@ -106,6 +114,19 @@ def m07(spark, sf_dir):
     return _rounded(evaluate.weight_scan(f.where("id % 2 = 0"), {"bridge": f.where("id % 2 = 1").withColumn("y", F.col("y") + 5)}, [0.2, 0.8], FEATURES, "y", 2, "id"))
 
 
+@query("m07_one_feature", f"""WITH g AS (SELECT * FROM {READY}), a AS (SELECT unnest([0.2::double, 0.8]) AS w), k AS (SELECT unnest([0, 1]) AS f),
+    t AS (SELECT w, f, x1, y, 1.0::double AS u FROM g, a, k WHERE id % 2 = 0 AND fold <> f UNION ALL SELECT w, f, x1, y + 5, w FROM g, a, k WHERE id % 2 = 1),
+    m AS (SELECT w, f, sum(u * x1) / sum(u) AS mx, sum(u * y) / sum(u) AS my FROM t GROUP BY w, f),
+    s AS (SELECT w, f, any_value(mx) AS mx, any_value(my) AS my, sum(u * (x1 - mx) * (y - my)) / (sum(u * (x1 - mx) ** 2) + 1) AS slope FROM t JOIN m USING (w, f) GROUP BY w, f),
+    p AS (SELECT w, f, 1 - avg((my + slope * (x1 - mx) - y) ** 2) / var_pop(y) AS r2, avg(abs(my + slope * (x1 - mx) - y)) AS mae FROM g JOIN s ON fold = f WHERE id % 2 = 0 GROUP BY w, f),
+    q AS (SELECT w, avg(r2) AS r2_mean, avg(mae) AS mae_mean FROM p GROUP BY w)
+    SELECT CASE WHEN w < 0.5 THEN 'w=0.2' ELSE 'w=0.8' END AS model, round(r2_mean, 5) AS r2_mean, round(mae_mean, 5) AS mae_mean, r2_mean > 0 AND row_number() OVER (ORDER BY r2_mean DESC, w) = 1 AS best FROM q""")
+def m07_one(spark, sf_dir):
+    f = ready(spark, sf_dir)
+    got = evaluate.weight_scan(f.where("id % 2 = 0"), {"bridge": f.where("id % 2 = 1").withColumn("y", F.col("y") + 5)}, [0.2, 0.8], ["x1"], "y", 2, "id", scale=False)
+    return _rounded(got.select("model", "r2_mean", "mae_mean", "best"), 5)
+
+
 @query("m08_two_stage")
 def m08(spark, sf_dir):
     f = ready(spark, sf_dir)
@@ -135,6 +156,15 @@ def m10(spark, sf_dir):
     return _rounded(meta.predict(oof).select("id", "oof_ridge", "oof_tree", "yhat"))
 
 
+@query("m10_one_feature_each", f"""WITH r AS (SELECT id, x1, x3, y, id % 2 AS fold FROM {READY}), k AS (SELECT unnest([0, 1]) AS f),
+    l AS (SELECT f, avg(x1) AS m1, avg(x3) AS m3, avg(y) AS my, covar_pop(x1, y) / (var_pop(x1) + 1.0 / count(*)) AS s1, covar_pop(x3, y) / (var_pop(x3) + 1.0 / count(*)) AS s3 FROM r, k WHERE fold <> f GROUP BY f),
+    o AS (SELECT id, y, my + s1 * (x1 - m1) AS a, my + s3 * (x3 - m3) AS b FROM r JOIN l ON fold = f), j AS ({two_features("a", "b", "y", "o")})
+    SELECT id, round(a, 4) AS oof_a, round(b, 4) AS oof_b, round(my + sa * (a - ma) + sb * (b - mb), 4) AS yhat FROM o, j""")
+def m10_one(spark, sf_dir):
+    oof, meta = models.stack(ready(spark, sf_dir, 2), {"a": (RIDGE, ["x1"]), "b": (RIDGE, ["x3"])}, "y", 2)
+    return _rounded(meta.predict(oof).select("id", "oof_a", "oof_b", "yhat"), 4)
+
+
 @query("m11_expert_committee")
 def m11(spark, sf_dir):
     experts = {"size": (RIDGE, ["x1", "x2"]), "use": (Spec("tree", {"maxDepth": 3}), ["x3", "x4"])}
@@ -149,6 +179,27 @@ def m11_cv(spark, sf_dir):
     return _rounded(metrics.fold_summary(got, "y", "yhat"))
 
 
+@query("m11_linear_experts", f"""WITH r AS (SELECT id, x1, x3, y, id % 2 AS fold FROM {READY}), k AS (SELECT unnest([0, 1]) AS f),
+    l AS (SELECT f, avg(x1) AS m1, avg(y) AS my, covar_pop(x1, y) / (var_pop(x1) + 1.0 / count(*)) AS s1 FROM r, k WHERE fold <> f GROUP BY f),
+    n AS (SELECT id, y, my + s1 * (x1 - m1) AS a FROM r JOIN l ON fold = f),
+    j AS (SELECT avg(a) AS ma, avg(y) AS my, covar_pop(a, y) AS c, var_pop(a) AS v FROM n)
+    SELECT id, round(my + sign(c) * greatest(abs(c) - 10, 0) / (v + 10) * (a - ma), 4) AS yhat FROM n, j""")
+def m11_linear(spark, sf_dir):
+    """One expert and an elastic-net judge."""
+    oof, meta = models.stack(ready(spark, sf_dir, 2), {"a": (RIDGE, ["x1"])}, "y", 2, meta=Spec("elastic", {"alpha": 20.0, "mix": 0.5}))
+    return _rounded(meta.predict(oof).select("id", "yhat"), 4)
+
+
+@query("m12_linear_layers", f"""WITH r AS (SELECT id, x1, x3, y, split FROM {READY}), a AS (SELECT avg(x1) AS m, avg(y) AS my, covar_pop(x1, y) / (var_pop(x1) + 1.0 / count(*)) AS s FROM r WHERE split = 'train'),
+    p AS (SELECT r.*, my + s * (x1 - m) AS part0, y - (my + s * (x1 - m)) AS e0 FROM r, a), b AS (SELECT avg(x3) AS m, avg(e0) AS my, covar_pop(x3, e0) / (var_pop(x3) + 1.0 / count(*)) AS s FROM p WHERE split = 'train'),
+    q AS (SELECT p.*, my + s * (x3 - m) AS part1, e0 - (my + s * (x3 - m)) AS e1 FROM p, b), c AS ({two_features("x1", "x3", "e1", "q WHERE split = 'train'")})
+    SELECT id, round(part0, 4) AS part0, round(part1, 4) AS part1, round(my + sa * (x1 - ma) + sb * (x3 - mb), 4) AS part2, round(part0 + part1 + my + sa * (x1 - ma) + sb * (x3 - mb), 4) AS yhat FROM q, c WHERE split = 'test'""")
+def m12_linear(spark, sf_dir):
+    f = ready(spark, sf_dir)
+    got = models.hierarchical(f.where("split = 'train'"), f.where("split = 'test'"), [["x1"], ["x3"]], "y", RIDGE)
+    return _rounded(got.select("id", "part0", "part1", "part2", "yhat"), 4)
+
+
 @query("m12_hierarchical_cv")
 def m12_cv(spark, sf_dir):
     f = ready(spark, sf_dir, 2)
@@ -227,6 +278,24 @@ def m16(spark, sf_dir):
     return _rounded(evaluate.compare(ready(spark, sf_dir), [(n, RIDGE, c) for n, c in subsets.items()], "y", 2, "id"))
 
 
+@query("m16_two_entries", f"""WITH r AS (SELECT * FROM {READY}), k AS (SELECT unnest([0, 1]) AS f), l AS (SELECT 'x1' AS model, id, fold, x1 AS x, y FROM r UNION ALL SELECT 'x3', id, fold, x3, y FROM r),
+    s AS (SELECT model, f, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) / (var_pop(x) + 1.0 / count(*)) AS slope FROM l, k WHERE fold <> f GROUP BY model, f),
+    p AS (SELECT l.model AS model, f, 1 - avg((my + slope * (x - mx) - y) ** 2) / var_pop(y) AS r2 FROM l JOIN s ON l.model = s.model AND fold = f GROUP BY l.model, f), m AS (SELECT model, avg(r2) AS r2, stddev_pop(r2) AS d FROM p GROUP BY model)
+    SELECT model, round(r2, 6) AS r2_mean, round(d, 6) AS r2_std, round(r2 - (SELECT r2 FROM m WHERE model = 'x1'), 6) AS delta, (rank() OVER (ORDER BY r2 DESC))::int AS rank FROM m""")
+def m16_two(spark, sf_dir):
+    got = evaluate.compare(ready(spark, sf_dir), [("x1", RIDGE, ["x1"]), ("x3", RIDGE, ["x3"])], "y", 2, "id")
+    return _rounded(got.select("model", "r2_mean", "r2_std", "delta", "rank"))
+
+
+@query("m17_two_columns", """WITH e AS (SELECT vec_id, embedding[1]::double AS a, embedding[2]::double AS b FROM embeddings), c AS (SELECT var_samp(a) AS v, var_samp(b) AS w, covar_samp(a, b) AS c FROM e WHERE vec_id % 5 <> 0),
+    l AS (SELECT v, c, (v + w) / 2 + sqrt(((v - w) / 2) ** 2 + c * c) AS l FROM c), d AS (SELECT c / sqrt(c * c + (l - v) ** 2) AS x, (l - v) / sqrt(c * c + (l - v) ** 2) AS y FROM l)
+    SELECT vec_id, round(abs(x * a + y * b), 5) AS pc0, round(abs(x * b - y * a), 5) AS pc1 FROM e, d""")
+def m17_two(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(2)))
+    got = prep.Components.fit(e.where("vec_id % 5 <> 0"), ["e0", "e1"], 2).transform(e)
+    return _rounded(got.select("vec_id", F.abs("pc0").alias("pc0"), F.abs("pc1").alias("pc1")), 5)
+
+
 @query("m17_pca")
 def m17(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)))
@@ -342,6 +411,15 @@ def m23(spark, sf_dir):
     return _rounded(conformal.cross_conformal(f.where("split = 'train'"), f.where("split = 'test'"), RIDGE, FEATURES, "y", "id", 3))
 
 
+@query("m23_one_feature", f"""WITH t AS (SELECT * FROM {READY} WHERE split = 'train'), k AS (SELECT unnest([0, 1, 2]) AS f), s AS (SELECT f, {LINE} FROM t, k WHERE fold <> f GROUP BY f),
+    e AS (SELECT f, abs(y - (my + slope * (x1 - mx))) AS e FROM t JOIN s ON fold = f), p AS (SELECT id, y, f, my + slope * (x1 - mx) AS p FROM {READY}, s WHERE split = 'test'), m AS (SELECT id, avg(p) AS yhat FROM p GROUP BY id)
+    SELECT id, any_value(y) AS y, round(any_value(yhat), 4) AS yhat, round(quantile_cont(p - e, 0.1::double), 4) AS low, round(quantile_cont(p + e, 0.9::double), 4) AS high FROM p JOIN e USING (f) JOIN m USING (id) GROUP BY id""")
+def m23_one(spark, sf_dir):
+    f = ready(spark, sf_dir)
+    got = conformal.cross_conformal(f.where("split = 'train'"), f.where("split = 'test'"), RIDGE, ["x1"], "y", "id", 3)
+    return got.select("id", "y", *(r(F.col(c), 4).alias(c) for c in ("yhat", "low", "high")))
+
+
 @query("m24_conformal_quantiles")
 def m24(spark, sf_dir):
     f = ready(spark, sf_dir)

@@ -104,3 +104,34 @@ def test_registered_sql(spark):
         assert sorted(rel.columns) == sorted(df.columns)
         want = sorted(tuple(dict(zip(rel.columns, r))[k] for k in df.columns) for r in rel.fetchall())
         assert sorted(tuple(r) for r in df.collect()) == want
+
+
+ODD = [(1, "the thing and the other was here for all of us to read today", "en", "s", 3), (1, "the thing and the other was here for all of us to read today", "en", "s", 3), (None, "no id at all but words that nobody else has written down", None, None, None),
+       (2, None, "en", "s", None), (3, "", None, None, 0), (4, "the  thing and\tthe other was here for all of us to read today", "de", None, 3), (5, "w " * 30_000, "en", "s", 60_000), (6, "!!! ###", "en", "s", 7)]
+WIDE = "doc_id long, text string, lang string, source string, n_chars long, score double, __i string, c0 int, seq string"
+
+
+def odd_tables(spark, path, rows, labels):
+    spark.createDataFrame([(*r, 0.5, "i", 1, "s") for r in rows], WIDE).write.parquet(f"file://{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"file://{path}/labels.parquet")
+    return f"file://{path}"
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 1, 0), (2, None, None), (None, 1, 1), (5, 0, 0), (99, 1, 1)]])
+def test_stages_meet_odd_rows(spark, tmp_path, labels):
+    """Nulls in any column, empty and long texts, rows given twice, extra columns whose names clash, missing labels."""
+    at = odd_tables(spark, tmp_path, ODD, labels)
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    for k, (name, stage) in enumerate(cp.STAGES):
+        out = stage(spark, docs, at)
+        if name != "packing":
+            assert out.columns == docs.columns, name
+        out.write.parquet(f"file://{tmp_path}/out{k}")
+        docs = spark.read.parquet(f"file://{tmp_path}/out{k}")
+        if name == "exact_dedup":
+            assert sorted(r.doc_id if r.doc_id is not None else -1 for r in docs.collect()) == [-1, 1, 2, 5, 6]  # texts 3 and 4 are copies, row 1 came twice
+    assert {r.doc_id for r in docs.collect()} >= {1, 5, None}
+
+
+def test_the_pipeline_of_nothing(spark, tmp_path):
+    assert cp.run(spark, odd_tables(spark, tmp_path, [], [])).count() == 0

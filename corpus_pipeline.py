@@ -2,6 +2,11 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet and reads it again as the next
 stage's documents. All stages but the last return the columns of ``documents``.
+
+Defined cases, those of the operators: a null text counts as empty, so documents without text are one group of copies, of which one
+stays. Rows without an id take part, are never trained on, and sort last where the smallest id stays; of rows given twice one stays.
+Without labels nothing is toxic and all documents form one domain, each once. Other columns pass through whatever their names. Empty
+tables give no rows.
 """
 
 from __future__ import annotations

@@ -59,8 +59,14 @@ class PowerScaler:
             # a row for each column; the smaller power of equally likely ones
             best |= {r.c: r.p for r in tried.groupBy("c").agg(F.max_by("p", F.struct(likelihood, -p)).alias("p")).collect()}
             grids = {c: np.arange(best[c] - width, best[c] + width + 1e-9, width / 5) for c in columns}
-        ends = train.agg(*(f(yeo_johnson(F.col(c), F.lit(best[c]))).alias(f"{n}{k}") for k, c in enumerate(columns) for n, f in (("a", F.min), ("b", F.max)))).first()
-        return PowerScaler(best, {c: ends[f"a{k}"] or 0.0 for k, c in enumerate(columns)}, {c: ends[f"b{k}"] or 0.0 for k, c in enumerate(columns)})
+        return PowerScaler.at(train, best)
+
+    @staticmethod
+    def at(train: DataFrame, power: dict[str, float]) -> PowerScaler:
+        """Given powers; the ends come from the training rows, one aggregate."""
+        columns = list(power)
+        ends = train.agg(*(f(yeo_johnson(F.col(c), F.lit(power[c]))).alias(f"{n}{k}") for k, c in enumerate(columns) for n, f in (("a", F.min), ("b", F.max)))).first()
+        return PowerScaler(power, {c: ends[f"a{k}"] or 0.0 for k, c in enumerate(columns)}, {c: ends[f"b{k}"] or 0.0 for k, c in enumerate(columns)})
 
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumns({c: (yeo_johnson(F.col(c), F.lit(p)) - self.low[c]) / max(self.high[c] - self.low[c], 1e-10) for c, p in self.power.items()})

@@ -45,6 +45,14 @@ def m02(spark, sf_dir):
     return _rounded(prep.PowerScaler.fit(f.where("split = 'train'"), ["x1", "x2"]).transform(f).select("id", "x1", "x2"))
 
 
+@query("m02_given_powers", f"""WITH t AS (SELECT id, split, 2 * (sqrt(x1 + 1) - 1) AS a, ln(1 + x2) AS b, CASE WHEN x1 - 25 >= 0 THEN ((x1 - 24) ** 1.5 - 1) / 1.5 ELSE -2 * (sqrt(26 - x1) - 1) END AS c FROM {READY}),
+    e AS (SELECT min(a) AS a0, max(a) AS a1, min(b) AS b0, max(b) AS b1, min(c) AS c0, max(c) AS c1 FROM t WHERE split = 'train')
+    SELECT id, round((a - a0) / (a1 - a0), 6) AS x1, round((b - b0) / (b1 - b0), 6) AS x2, round((c - c0) / (c1 - c0), 6) AS x5 FROM t, e""")
+def m02_given(spark, sf_dir):
+    f = ready(spark, sf_dir).withColumn("x5", F.col("x1") - 25)
+    return _rounded(prep.PowerScaler.at(f.where("split = 'train'"), {"x1": 0.5, "x2": 0.0, "x5": 1.5}).transform(f).select("id", "x1", "x2", "x5"))
+
+
 @query("m04_ridge_one_feature", f"""SELECT id, round(my + c / (v + 5.0 / n) * (x1 - mx), 4) AS yhat FROM (SELECT id, x1 FROM {FT} WHERE y IS NOT NULL),
     (SELECT avg(x1) AS mx, avg(y) AS my, covar_pop(x1, y) AS c, var_pop(x1) AS v, count(*) AS n FROM {FT} WHERE y IS NOT NULL)""")
 def m04(spark, sf_dir):
@@ -79,6 +87,21 @@ def m05(spark, sf_dir):
     return _rounded(evaluate.compare(f, [("tree", Spec("tree"), FEATURES), ("forest", Spec("forest", {"numTrees": 5}), FEATURES), ("boosting", Spec("boosting", {"maxIter": 3}), FEATURES)], "y", 2, "id"))
 
 
+def stump(rows: str) -> str:
+    """The cut between neighbouring values of x1 that leaves the least squared error, and the means on both sides, in SQL."""
+    return f"""SELECT c, sl / nl AS low, (s - sl) / (n - nl) AS high FROM (SELECT c, count(*) FILTER (x1 <= c) AS nl, sum(y) FILTER (x1 <= c) AS sl, count(*) AS n, sum(y) AS s
+        FROM {rows}, (SELECT (v + lead(v) OVER (ORDER BY v)) / 2 AS c FROM (SELECT DISTINCT x1 AS v FROM {rows})) WHERE c IS NOT NULL GROUP BY c) ORDER BY sl * sl / nl + (s - sl) ** 2 / (n - nl) DESC, c LIMIT 1"""
+
+
+STUMP = {"maxDepth": 1, "maxBins": 64}
+
+
+@query("m05_one_split", f"""WITH r AS (SELECT id, x1, y FROM {READY}), b AS ({stump("r")}) SELECT id, round(CASE WHEN x1 <= c THEN low ELSE high END, 4) AS yhat FROM r, b""")
+def m05_one(spark, sf_dir):
+    f = ready(spark, sf_dir)
+    return Spec("tree", STUMP).fit(f, ["x1"], "y").predict(f).select("id", r(F.col("yhat"), 4).alias("yhat"))
+
+
 @query("m06_random_features")
 def m06(spark, sf_dir):
     return _rounded(evaluate.holdout(ready(spark, sf_dir), Spec("random_trees", {"trees": 5, "depth": 4}), FEATURES, "y"))
@@ -134,6 +157,14 @@ def m08(spark, sf_dir):
     return _rounded(got.select("id", "a", "b", "yhat"))
 
 
+@query("m08_one_split_each", f"""WITH v AS (SELECT x1, y FROM {READY} WHERE id % 2 = 1 AND split = 'train'), g AS (SELECT x1, y FROM {READY} WHERE id % 2 = 0 AND split = 'train'), a AS ({stump("v")}), b AS ({stump("g")})
+    SELECT id, round((3 * CASE WHEN x1 <= a.c THEN a.low ELSE a.high END + 5 * CASE WHEN x1 <= b.c THEN b.low ELSE b.high END) / 8, 4) AS yhat FROM {READY}, a, b WHERE split = 'test'""")
+def m08_one(spark, sf_dir):
+    f = ready(spark, sf_dir)
+    got = models.two_stage(f.where("id % 2 = 1 and split = 'train'"), f.where("id % 2 = 0 and split = 'train'"), f.where("split = 'test'"), ["x1"], "y", 3, 8, bootstrap=False, **STUMP)
+    return got.select("id", r(F.col("yhat"), 4).alias("yhat"))
+
+
 def _virtual(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     m = view(spark, sf_dir, MAT).withColumn("x", F.col("raw") / 1000)
     gold = m.select("k", "x", F.col("t").alias("y"), (F.col("k") % 3).cast("int").alias("fold"))
@@ -150,6 +181,18 @@ def m09(spark, sf_dir):
     return _rounded(metrics.fold_summary(got, "y", "yhat"))
 
 
+@query("m09_closed_form", f"""WITH g AS (SELECT k, raw / 1000 AS x, t AS y, k % 3 AS fold FROM ({duck(MAT)})),
+    v AS (SELECT a.fold AS fa, b.fold AS fb, w * a.x + (1 - w) * b.x AS x, round(1 / (w / a.y + (1 - w) / b.y), 2) AS y FROM g a JOIN g b ON a.k < b.k, (SELECT unnest([0.1::double, 0.3, 0.5, 0.7, 0.9]) AS w) WHERE a.y > 0 AND b.y > 0),
+    f AS (SELECT unnest([0, 1, 2]) AS f), t AS (SELECT 'baseline' AS model, f, x, y FROM g, f WHERE fold <> f UNION ALL SELECT 'virtual', f, x, y FROM g, f WHERE fold <> f UNION ALL SELECT 'virtual', f, x, y FROM v, f WHERE fa <> f AND fb <> f),
+    s AS (SELECT model, f, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) / (var_pop(x) + 1.0 / count(*)) AS slope FROM t GROUP BY model, f),
+    p AS (SELECT model, f, 1 - avg((my + slope * (x - mx) - y) ** 2) / var_pop(y) AS r2, avg(abs(my + slope * (x - mx) - y)) AS mae FROM g JOIN s ON fold = f GROUP BY model, f)
+    SELECT model, round(avg(r2), 6) AS r2_mean, round(avg(mae), 5) AS mae_mean FROM p GROUP BY model""")
+def m09_closed(spark, sf_dir):
+    gold, virtual = _virtual(spark, sf_dir)
+    got = metrics.fold_summary(evaluate.leak_free_cv(gold, virtual, RIDGE, ["x"], "y", 3, "k"), "y", "yhat")
+    return got.select("model", r(F.col("r2_mean")).alias("r2_mean"), r(F.col("mae_mean"), 5).alias("mae_mean"))
+
+
 @query("m10_stacking")
 def m10(spark, sf_dir):
     oof, meta = models.stack(ready(spark, sf_dir, 2), {"ridge": (RIDGE, FEATURES), "tree": (Spec("tree"), FEATURES)}, "y", 2)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sources.store import written
 from . import linear
-from .joins import without_test_parents
+from .joins import parent_folds
 from .metrics import fold_summary, leaderboard, regression_metrics
 from .models import LINEAR, Spec, hierarchical, stack, two_stage
 from .prep import Components, PowerScaler, impute, medians
@@ -196,28 +196,48 @@ def leak_free_cv(gold: DataFrame, virtual: DataFrame, spec: Spec, features: list
     """Cross-validation with virtual rows whose parents are not in the fold's test set, and without any.
 
     ``virtual`` rows train like gold ones; a further model ``weighted`` gives them ``weight`` (M07), and one ``two_stage`` grows the first
-    of its (first, total) ``trees`` on them (M08). With ``scale``, the power scaler is fitted on all rows that a model trains on."""
-    free = without_test_parents(virtual, gold.select(F.col(key).alias("key"), "fold"), k)
+    of its (first, total) ``trees`` on them (M08). With ``scale``, the power scaler is fitted on all rows that a model trains on.
+
+    ``virtual`` may bring its parents' folds as fold1 and fold2; else they are looked up. A linear model without ``scale`` is solved from the
+    sums by the two folds, one pass over the virtual rows for all folds and models; with it, from one pass for each fold."""
+    if not {"fold1", "fold2"} <= set(virtual.columns):
+        virtual = parent_folds(virtual, gold.select(F.col(key).alias("key"), "fold"))
+    linear_one = spec.kind in LINEAR
+    # No row belongs to fold -1: parents without a fold are in no test set.
+    columns = [*features, label]
+    rows = gold.where("fold is not null").select(F.lit(0).alias("virtual"), F.col("fold").alias("fold1"), F.col("fold").alias("fold2"), *columns)
+    rows = rows.unionByName(virtual.select(F.lit(1).alias("virtual"), *(F.coalesce(F.col(c), F.lit(-1)).alias(c) for c in ("fold1", "fold2")), *columns))
+    every = linear.sums(rows, features, label, ["virtual", "fold1", "fold2"]) if linear_one and not scale else {}
     parts = []
     for f in range(k):
-        own, test = gold.where(F.col("fold") != f).select(*features, label), gold.where(F.col("fold") == f)
-        more = free.where(F.col("fold") == f).select(*features, label)
-
-        def ready(train: DataFrame, *also: DataFrame) -> list[DataFrame]:
-            if not scale:
-                return list(also)
-            scaler = PowerScaler.fit(train, features)
-            return [scaler.transform(df) for df in also]
-
-        both = own.unionByName(more)
-        train, at = ready(own, own, test)
-        parts.append(_tested(spec.fit(train, features, label).predict(at), "baseline", f, key, label))
-        train, at = ready(both, both, test)
-        parts.append(_tested(spec.fit(train, features, label).predict(at), "virtual", f, key, label))
-        if weight is not None:
-            train, at = ready(both, own.withColumn("weight", F.lit(1.0)).unionByName(more.withColumn("weight", F.lit(float(weight)))), test)
-            parts.append(_tested(Spec(spec.kind, spec.params, "weight").fit(train, features, label).predict(at), "weighted", f, key, label))
+        own, test = gold.where(F.col("fold") != f).select(*columns), gold.where(F.col("fold") == f)
+        free = rows.where((F.col("fold1") != f) & (F.col("fold2") != f))
+        both, more = free.select("virtual", *columns), free.where("virtual = 1").select(*columns)
+
+        def tell(name: str, found: list[linear.Sums], at: DataFrame) -> None:
+            model = spec.solve(linear.total(found), len(features))
+            parts.append(_tested(at.na.drop(subset=features).withColumn("yhat", model.column(features)), name, f, key, label))
+
+        baseline, mixed = (PowerScaler.fit(df, features).transform if scale else (lambda df: df) for df in (own, both))
+        if linear_one:
+            if scale:
+                tell("baseline", list(linear.sums(baseline(own), features, label).values()), baseline(test))
+                found = linear.sums(mixed(both), features, label, ["virtual"])
+            else:
+                found = {}
+                for (v, a, b), s in every.items():
+                    if f not in (a, b):
+                        found[(v,)] = found[(v,)] + s if (v,) in found else s
+                tell("baseline", [s for g, s in found.items() if g == (0,)], test)
+            tell("virtual", list(found.values()), mixed(test))
+            if weight is not None:
+                tell("weighted", [s.times(weight) if g == (1,) else s for g, s in found.items()], mixed(test))
+        else:
+            parts.append(_tested(spec.fit(baseline(own), features, label).predict(baseline(test)), "baseline", f, key, label))
+            parts.append(_tested(spec.fit(mixed(both), features, label).predict(mixed(test)), "virtual", f, key, label))
+            if weight is not None:
+                weighed = mixed(both).withColumn("weight", F.when(F.col("virtual") == 1, float(weight)).otherwise(1.0))
+                parts.append(_tested(Spec(spec.kind, spec.params, "weight").fit(weighed, features, label).predict(mixed(test)), "weighted", f, key, label))
         if trees is not None:
-            first, then, at = ready(both, more, own, test)
-            parts.append(_tested(two_stage(first, then, at, features, label, *trees), "two_stage", f, key, label))
+            parts.append(_tested(two_stage(mixed(more), mixed(own), mixed(test), features, label, *trees), "two_stage", f, key, label))
     return reduce(DataFrame.unionByName, parts)

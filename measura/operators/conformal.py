@@ -6,16 +6,19 @@ import math
 from functools import reduce
 
 import numpy as np
-from pyspark.ml.feature import Bucketizer
+import pyarrow as pa
 from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import written
 from .boosting import quantile_boosting
+from .evaluate import fold_fits
 from .metrics import conformal_quantile
 from .models import VECTOR, Spec, assemble
+from .quantiles import meet
 from .quantiles import quantiles as quantiles_of
+from .ranks import placed
 
 
 def split_conformal(train: DataFrame, calibration: DataFrame, test: DataFrame, spec: Spec, features: list[str], label: str, coverage: float = 0.9) -> DataFrame:
@@ -26,74 +29,134 @@ def split_conformal(train: DataFrame, calibration: DataFrame, test: DataFrame, s
     return got.withColumns({"low": F.col("yhat") - F.col("q"), "high": F.col("yhat") + F.col("q")}).drop("q")
 
 
+#: Distinct residuals of one range, ranges of one fold, and test rows of one group that meets the same ranges.
+FEW, MOST_RANGES, CHUNK = 64, 100_000, 250_000
+
+
 def cross_conformal(df: DataFrame, test: DataFrame, spec: Spec, features: list[str], label: str, key: str, k: int, coverage: float = 0.9, levels: int = 1_000) -> DataFrame:
     """Bounds are quantiles of (a fold model's prediction -+ a residual of that fold) over all folds and residuals.
 
-    Exact. Each fold's residuals are counted by value and cut into about ``levels`` ranges, whose ends and counts (all that the driver
-    and the tasks hold) tell which few ranges can hold a test row's wanted ranks; it meets the residuals of those only."""
-    every, found, ranges = test, [], []
-    for f in range(k):
-        fitted = spec.fit(df.where(F.col("fold") != f), features, label)
-        r = fitted.predict(df.where(F.col("fold") == f)).select(F.abs(F.col(label) - F.col("yhat")).alias("r")).where("r is not null")
-        cuts = r.agg(F.percentile_approx("r", F.lit([i / levels for i in range(1, levels)] or [0.5]), 10 * levels).alias("c")).first().c
-        if cuts:
-            counts = r.groupBy("r").agg(F.count(F.lit(1)).alias("n"))
-            counts = Bucketizer(splits=[-np.inf, *sorted(set(cuts)), np.inf], inputCol="r", outputCol="range").transform(counts).withColumn("fold", F.lit(f))
-            ranges += counts.groupBy("fold", "range").agg(F.min("r").alias("low"), F.max("r").alias("high"), F.sum("n").alias("n")).collect()
-            found.append(counts)
+    Exact. Each fold's residuals are counted by value, placed in order and cut into ``levels`` ranges or more, of ``FEW`` values each. The
+    ranges' ends and counts (all that the driver and all tasks hold, up to ``MOST_RANGES`` for each fold) tell which few ranges can hold a
+    test row's wanted places. Rows that want the same ranges meet these ranges' residuals once, ``CHUNK`` rows at a time at most."""
+    fits = fold_fits(df, spec, features, label, k)
+    residuals = [fitted.predict(df.where(F.col("fold") == f)).select(F.lit(f).alias("fold"), F.abs(F.col(label) - F.col("yhat")).alias("r")) for f, fitted in enumerate(fits)]
+    counts = written(reduce(DataFrame.unionByName, residuals).where("r is not null").groupBy("fold", "r").agg(F.count(F.lit(1)).alias("n")), "residuals")
+    widths = [1] * k
+    for x in counts.groupBy("fold").agg(F.count(F.lit(1)).alias("m")).collect():
+        widths[x.fold] = max(1, min(x.m // levels, FEW), -(-x.m // MOST_RANGES))
+    at_range = F.floor(F.col("__place") / F.element_at(F.lit(widths), F.col("fold") + 1)).alias("range")
+    parts = placed(counts, ["r"], "__place", ["fold"]).groupBy("fold", at_range).agg(F.array_sort(F.collect_list(F.struct("r", "n"))).alias("__x"))  # a range's few values
+    parts = written(parts.select("fold", "range", F.col("__x.r").alias("r"), F.col("__x.n").alias("n")), "ranges")
+    total = F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")
+    ends = parts.select("fold", "range", F.element_at("r", 1).alias("low"), F.element_at("r", -1).alias("high"), total).toArrow().sort_by([("fold", "ascending"), ("range", "ascending")])
+    every = test
+    for f, fitted in enumerate(fits):
         every = fitted.predict(every).withColumnRenamed("yhat", f"__y{f}")
     yhat = [F.col(f"__y{f}") for f in range(k)]
     # Rows of one key and label have the same bounds and come once.
     every = every.groupBy(key, F.col(label).alias("y")).agg(F.array(*(F.first(c) for c in yhat)).alias("__p"), F.avg(sum(yhat) / k).alias("yhat"))
-    if not ranges:
-        return every.select(key, "y", "yhat", *(F.lit(None).cast("double").alias(c) for c in ("low", "high")))
-    n = sum(x.n for x in ranges)
+    none = [F.lit(None).cast("double").alias(c) for c in ("low", "high")]
+    if not len(ends):
+        return every.select(key, "y", "yhat", *none)
+    n = int(np.asarray(ends["n"]).sum())
     at = [(n - 1) * (1 - coverage), (n - 1) * coverage]
-    near = every.withColumn("__c", F.explode_outer(_near(ranges, at)("__p"))).select("*", "__c.*").drop("__c")
-    x = F.element_at("__p", F.col("fold") + 1) + F.when(F.col("side") == 0, -F.col("r")).otherwise(F.col("r"))
-    long = near.join(reduce(DataFrame.unionByName, found), ["fold", "range"], "left").withColumn("x", x)
-    place = F.col("below") + F.sum("n").over(Window.partitionBy(key, "y", "side").orderBy("x"))  # values up to x, equal ones included
-    got = long.withColumn("__n", place).groupBy(key, "y").agg(F.max("yhat").alias("yhat"), *(
-        F.min(F.when((F.col("side") == side) & (F.col("__n") > rank), F.col("x"))).alias(f"__{side}{end}")
-        for side, p in enumerate(at) for end, rank in enumerate((math.floor(p), math.ceil(p)))))
-    bounds = [F.col(f"__{side}0") + (p - math.floor(p)) * (F.col(f"__{side}1") - F.col(f"__{side}0")) for side, p in enumerate(at)]
-    return got.select(key, "y", "yhat", bounds[0].alias("low"), bounds[1].alias("high"))
-
-
-NEAR = "array<struct<side: int, below: long, fold: int, range: double>>"
-
-
-def _near(ranges: list, at: list[float]):
-    """A function over batches of test rows: from the fold predictions, by side (0 low, 1 high) the ranges that can hold the places
-    ``at``, and how many values lie below all of them."""
-    fold, part, n = (np.array([x[c] for x in ranges]) for c in ("fold", "range", "n"))
-    ends = np.array([[x.low, x.high] for x in ranges])
-
-    def chosen(values: np.ndarray, place: int) -> np.ndarray:
-        """For each row the value at a place, where each of its values comes as often as its range has residuals."""
-        order = np.argsort(values, axis=1)
-        return values[np.arange(len(values)), order[np.arange(len(values)), (np.cumsum(n[order], axis=1) < place + 1).sum(axis=1)]]
-
-    @F.pandas_udf(NEAR)
+    near = written(every.withColumn("__c", _near(ends, k, n, at)("__p")), "near")
+    chunks = max(1, -(-near.count() // CHUNK))
+    near = near.withColumn("__salt", F.pmod(F.xxhash64(key, "y"), F.lit(chunks)))
+    long = near.select(key, "y", "__p", "__salt", F.explode("__c").alias("__c"))
+    # A cell is (side, how many lie below, and for each fold the first and the last range).
+    folds = F.explode(F.array(*(F.struct(F.lit(f).alias("fold"), F.element_at("__c", 3 + 2 * f).alias("a"), F.element_at("__c", 4 + 2 * f).alias("b")) for f in range(k))))
+    asked = long.select("__c", "__salt").distinct().select(F.col("__c").alias("__d"), F.col("__salt").alias("__t"), folds.alias("__f")).where("__f.a <= __f.b")
+    asked = asked.select("__d", "__t", F.col("__f.fold").alias("fold"), F.explode(F.sequence("__f.a", "__f.b")).alias("range")).join(parts, ["fold", "range"])
+    types = dict(every.dtypes)
+    met = long.groupBy("__c", "__salt").cogroup(asked.groupBy("__d", "__t")).applyInArrow(_met(key, k, n, at), f"`{key}` {types[key]}, y {types['y']}, side int, bound double")
+    # NULLs in keys and labels are values of a group like any other.
+    sides = met.groupBy(key, "y").agg(*(F.max(F.when(F.col("side") == side, F.col("bound"))).alias(c) for side, c in enumerate(("low", "high"))))
+    got = meet(near.where(F.size("__c") > 0).select(key, "y", "yhat"), sides, [key, "y"])
+    return got.unionByName(near.where(F.size("__c") == 0).select(key, "y", "yhat", *none))
+
+
+def _places(n: int, at: list[float]) -> list[tuple[int, int]]:
+    """The places below and above the wanted ones by side. On the low side values are turned round, so there they count from the top."""
+    return [(n - 1 - math.ceil(at[0]), n - 1 - math.floor(at[0])), (math.floor(at[1]), math.ceil(at[1]))]
+
+
+def _value_at(values: list[np.ndarray], before: list[np.ndarray], height: np.ndarray, place: int) -> np.ndarray:
+    """For each row the value at a place in the order of all folds' values, each fold's raised by the row's ``height`` there.
+
+    ``values`` are sorted and ``before[f][i]`` tells how many lie before the i-th: a binary search in each fold for its first value that
+    has more than ``place`` up to it."""
+    best = np.full(len(height), np.inf)
+    for f, own in enumerate(values):
+        low, high = np.zeros(len(height), int), np.full(len(height), len(own))
+        while (open_ := low < high).any():
+            middle = np.minimum((low + high) // 2, len(own) - 1)
+            x, count = own[middle] + height[:, f], before[f][middle + 1]
+            for g, other in enumerate(values):
+                if g != f:
+                    count = count + before[g][np.searchsorted(other, x - height[:, g], side="right")]
+            high = np.where(open_ & (count > place), middle, high)
+            low = np.where(open_ & (count <= place), middle + 1, low)
+        if len(own):
+            best = np.where(low < len(own), np.minimum(best, own[np.minimum(low, len(own) - 1)] + height[:, f]), best)
+    return best
+
+
+def _near(ends: pa.Table, k: int, n: int, at: list[float]):
+    """A function over batches of test rows: from the fold predictions, the row's cell on both sides, low and high; none where a
+    prediction is missing."""
+    fold, low, high, count = (np.asarray(ends[c]) for c in ("fold", "low", "high", "n"))
+    lows, highs = [low[fold == f] for f in range(k)], [high[fold == f] for f in range(k)]
+    before = [np.concatenate([[0], np.cumsum(count[fold == f])]) for f in range(k)]
+    places = _places(n, at)
+
+    @F.pandas_udf("array<array<long>>")
     def near(predicted):
         import pandas as pd
 
-        known = [k for k, p in enumerate(predicted) if p is not None and not any(x is None or x != x for x in p)]
-        out: list[list[dict]] = [[] for _ in range(len(predicted))]
-        for a in range(0, len(known), 256):
-            rows = known[a:a + 256]
-            base = np.stack([np.asarray(predicted.iloc[k], float) for k in rows])[:, fold]
-            for side, place in enumerate(at):
-                x = np.sort(base[:, :, None] + (ends if side else -ends), axis=2)
-                least, most = chosen(x[:, :, 0], math.floor(place))[:, None], chosen(x[:, :, 1], math.ceil(place))[:, None]
-                below = ((x[:, :, 1] < least) * n).sum(axis=1)
-                for r, i in zip(*np.nonzero((x[:, :, 1] >= least) & (x[:, :, 0] <= most))):
-                    out[rows[r]].append({"side": side, "below": int(below[r]), "fold": int(fold[i]), "range": float(part[i])})
+        known = [i for i, p in enumerate(predicted) if p is not None and not any(x is None or x != x for x in p)]
+        out: list[list] = [[] for _ in range(len(predicted))]
+        if known:
+            base = np.stack([np.asarray(predicted.iloc[i], float) for i in known])
+            for side, (first, last) in enumerate(places):
+                height = base if side else -base
+                least, most = _value_at(lows, before, height, first), _value_at(highs, before, height, last)
+                cell = [np.full(len(base), side), np.zeros(len(base), int)]
+                for f in range(k):
+                    a = np.searchsorted(highs[f], least - height[:, f], side="left")
+                    cell[1] = cell[1] + before[f][a]
+                    cell += [a, np.maximum(np.searchsorted(lows[f], most - height[:, f], side="right") - 1, a - 1)]
+                for i, c in zip(known, np.stack(cell, axis=1).tolist()):
+                    out[i].append(c)
         return pd.Series(out, dtype=object)
 
     return near
 
 
+def _met(key: str, k: int, n: int, at: list[float]):
+    """The bounds of test rows of one cell from the residuals of its ranges."""
+    places = _places(n, at)
+
+    def met(group: tuple, rows: pa.Table, residuals: pa.Table) -> pa.Table:
+        side, below = (int(x) for x in group[0].as_py()[:2])
+        fold, order = np.asarray(residuals["fold"]), np.asarray(residuals["range"])
+        r, count = residuals["r"].to_pylist(), residuals["n"].to_pylist()
+        values, before = [], []
+        for f in range(k):
+            mine = np.flatnonzero(fold == f)
+            mine = mine[np.argsort(order[mine])]
+            values.append(np.concatenate([np.zeros(0), *(r[i] for i in mine)]))
+            before.append(np.cumsum(np.concatenate([[0], *(count[i] for i in mine)]).astype(np.int64)))
+        base = np.asarray(rows["__p"].combine_chunks().flatten(), float).reshape(-1, k)
+        first, last = (_value_at(values, before, base if side else -base, place - below) for place in places[side])
+        part = at[side] - math.floor(at[side])
+        bound = first + part * (last - first) if side else -last + part * (last - first)
+        return pa.table({key: rows[key], "y": rows["y"], "side": pa.array(np.full(len(base), side, np.int32)), "bound": pa.array(bound)})
+
+    return met
+
+
 def quantile_tree(train: DataFrame, features: list[str], label: str, quantiles: list[float], depth: int = 4, least: int = 20):
     """A regression tree whose leaves hold label quantiles (MLlib has no quantile loss). Returns a function that adds q0, q1, ... to rows."""
     rows = assemble(train, features)

@@ -16,7 +16,7 @@ from ..sources.store import written
 from . import linear
 from .joins import parent_folds
 from .metrics import fold_summary, leaderboard, regression_metrics
-from .models import LINEAR, Spec, hierarchical, stack, two_stage
+from .models import LINEAR, Fitted, Spec, hierarchical, stack, two_stage
 from .prep import Components, PowerScaler, impute, medians
 from .splits import k_folds
 
@@ -50,6 +50,14 @@ def cross_validate(df: DataFrame, spec: Spec, features: list[str], label: str, k
     return reduce(DataFrame.unionByName, parts)
 
 
+def fold_fits(df: DataFrame, spec: Spec, features: list[str], label: str, k: int, fold: str = "fold") -> list[Fitted]:
+    """The model of each fold, fitted on the rows of the others; all linear ones from one pass."""
+    if spec.kind in LINEAR and features:
+        found = linear.sums(df, features, label, [fold], spec.weight)
+        return [Fitted(spec.solve(_others(found, f), len(features)), features) for f in range(k)]
+    return [spec.fit(df.where(F.col(fold) != f), features, label) for f in range(k)]
+
+
 def _others(found: dict[tuple, linear.Sums], fold: int) -> linear.Sums | None:
     """The sums of all folds but one."""
     return linear.total([s for g, s in found.items() if g[0] != fold])

@@ -175,26 +175,44 @@ def weighted_cv(gold: DataFrame, others: list[tuple[DataFrame, float]], spec: Sp
     """Gold rows in folds with weight 1, other sources always in training with their weight; tested on gold only.
 
     The power scaler is fitted on all rows that the fold trains on. Sources of weight 0 are left out."""
-    parts = []
+    return _weighted(gold, [df for df, _ in others], [(name, [w for _, w in others])], spec, features, label, k, key, scale)
+
+
+def _weighted(gold: DataFrame, others: list[DataFrame], scans: list[tuple[str, list[float]]], spec: Spec, features: list[str], label: str, k: int, key: str, scale: bool) -> DataFrame:
+    """``weighted_cv`` for several (name, weights). A fold's scaler does not read the weights, so one fits all scans with the same sources; and
+    the sums by source give all linear models of a fold from one pass."""
+    parts: list[list[DataFrame]] = [[] for _ in scans]
     for f in range(k):
-        train, test = gold.where(F.col("fold") != f).select(*features, label).withColumn("weight", F.lit(1.0)), gold.where(F.col("fold") == f)
-        for df, w in others:
-            if w > 0:
-                train = train.unionByName(df.select(*features, label).withColumn("weight", F.lit(float(w))))
-        if scale:
-            scaler = PowerScaler.fit(train, features)
-            train, test = scaler.transform(train), scaler.transform(test)
-        parts.append(_tested(Spec(spec.kind, spec.params, "weight", spec.validation).fit(train, features, label).predict(test), name, f, key, label))
-    return reduce(DataFrame.unionByName, parts)
+        own, held = gold.where(F.col("fold") != f).select(*features, label), gold.where(F.col("fold") == f)
+        made: dict[tuple, tuple] = {}
+        for (name, weights), out in zip(scans, parts):
+            used = tuple(i for i, w in enumerate(weights) if w > 0)
+            if used not in made:
+                train, test = own.withColumn("__source", F.lit(-1)), held
+                for i in used:
+                    train = train.unionByName(others[i].select(*features, label).withColumn("__source", F.lit(i)))
+                if scale:
+                    scaler = PowerScaler.fit(train, features)
+                    train, test = scaler.transform(train), scaler.transform(test)
+                made[used] = train, test, linear.sums(train, features, label, ["__source"]) if spec.kind in LINEAR and features else None
+            train, test, found = made[used]
+            of = {-1: 1.0} | {i: float(weights[i]) for i in used}
+            if found is not None:
+                fitted = Fitted(spec.solve(linear.total([s.times(of[g[0]]) for g, s in found.items()]), len(features)), features)
+            else:
+                weight = reduce(lambda c, i: F.when(F.col("__source") == i, of[i]).otherwise(c), used, F.lit(1.0))
+                fitted = Spec(spec.kind, spec.params, "weight", spec.validation).fit(train.withColumn("weight", weight).drop("__source"), features, label)
+            out.append(_tested(fitted.predict(test), name, f, key, label))
+    return reduce(DataFrame.unionByName, [part for out in parts for part in out])
 
 
 def weight_scan(gold: DataFrame, others: dict[str, DataFrame], weights: list[float], features: list[str], label: str, k: int, key: str, kind: str = "ridge", scale: bool = True) -> DataFrame:
     """The summary of ``weighted_cv`` for each weight (M07). ``best`` marks the highest mean r2 above 0, the earlier weight of equal ones."""
-    got = [weighted_cv(gold, [(df, w) for df in others.values()], Spec(kind), features, label, k, key, scale, f"w={w}") for w in weights]
+    got = _weighted(gold, list(others.values()), [(f"w={w}", [w] * len(others)) for w in weights], Spec(kind), features, label, k, key, scale)
     place = F.lit(None).cast("int")
     for i, w in enumerate(weights):
         place = F.when(F.col("model") == f"w={w}", i).otherwise(place)
-    table = fold_summary(reduce(DataFrame.unionByName, got), "y", "yhat").withColumn("__i", place)
+    table = fold_summary(got, "y", "yhat").withColumn("__i", place)
     top = table.where("r2_mean > 0").agg(F.max_by("__i", F.struct("r2_mean", -F.col("__i"))).alias("__b"))  # one row
     return table.join(F.broadcast(top)).withColumn("best", F.col("__i").eqNullSafe(F.col("__b"))).drop("__i", "__b")
 

@@ -157,6 +157,8 @@ def committee_cv(df: DataFrame, experts: dict[str, tuple[Spec, list[str]]], labe
             fitted = Components.fit(train, columns, n)
             train, test = fitted.transform(train, prefix), fitted.transform(test, prefix)
             made |= {f"{prefix}{i}" for i in range(len(fitted.explained))}
+        if components:
+            train = written(train, "components")  # medians, scaler and training rows read them
         # Fewer rows than components leave fewer columns.
         own = {e: (spec, [c for c in columns if c in made or c in df.columns]) for e, (spec, columns) in experts.items()}
         used = sorted({c for _, columns in own.values() for c in columns} | set(raw or []))

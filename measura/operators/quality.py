@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import written
 from .quantiles import join_quantiles, meet, quantiles_of_counts
 from .quantiles import value_counts as value_counts_of
 
 
 def describe(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """count, min, max, mean, median and population deviation."""
-    by, v = by or [], F.col(value)
-    # Values are counted by value first, so neither a group's median nor its distinct values meet in one task.
-    counts = value_counts_of(df, value, by)
-    distinct = counts.groupBy(*by).agg(F.count("__v").alias("distinct"))
-    g = df.groupBy(*by).agg(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("deviation"))
-    g = join_quantiles(g, quantiles_of_counts(counts, [0.5], by), by).withColumn("median", F.col("__q")[0]).drop("__q")
-    if not by:
-        return g.join(F.broadcast(distinct))
-    return meet(g, distinct, by, "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
+    by = by or []
+    # Values are counted by value first, so neither a group's median nor its distinct values meet in one task; all else follows from the counts.
+    # NULLs are counted too: a group without values has a row.
+    counts = value_counts_of(df, value, by, nulls=True)
+    v, n, known = F.col("__v"), F.col("__n"), F.col("__v").isNotNull()
+    total, kind = F.sum(F.when(known, n)), df.schema[value].dataType
+    g = written(counts.groupBy(*by).agg(F.coalesce(total, F.lit(0)).alias("n"), F.min(v).cast(kind).alias("low"), F.max(v).cast(kind).alias("high"), (F.sum(v * n) / total).alias("mean"), F.count(v).alias("distinct")), "described")
+    # The squares are of differences from the mean: a row for each group meets the counts.
+    off = v - F.col("__mean")
+    spread = meet(counts.where(known), g.select(*by, F.col("mean").alias("__mean")), by).groupBy(*by).agg(F.sqrt(F.sum(n * off * off) / F.sum(n)).alias("deviation"))
+    g = join_quantiles(g, quantiles_of_counts(counts.where(known), [0.5], by), by).withColumn("median", F.col("__q")[0]).drop("__q")
+    return (meet(g, spread, by, "left") if by else g.join(F.broadcast(spread))).select(*by, "n", "low", "high", "mean", "deviation", "median", "distinct")
 
 
 def source_profile(df: DataFrame, valid: Column, size: Column, key: str = "key", value: str = "value", source: str = "source",

@@ -82,6 +82,11 @@ def _places(n: int, at: list[float]) -> list[tuple[int, int]]:
     return [(n - 1 - math.ceil(at[0]), n - 1 - math.floor(at[0])), (math.floor(at[1]), math.ceil(at[1]))]
 
 
+def _slack(x: np.ndarray, height: np.ndarray) -> np.ndarray:
+    """What adding a height and taking it off again may change: a range of one value must not miss itself."""
+    return 4 * np.spacing(np.abs(x) + np.abs(height))
+
+
 def _value_at(values: list[np.ndarray], before: list[np.ndarray], height: np.ndarray, place: int) -> np.ndarray:
     """For each row the value at a place in the order of all folds' values, each fold's raised by the row's ``height`` there.
 
@@ -95,7 +100,7 @@ def _value_at(values: list[np.ndarray], before: list[np.ndarray], height: np.nda
             x, count = own[middle] + height[:, f], before[f][middle + 1]
             for g, other in enumerate(values):
                 if g != f:
-                    count = count + before[g][np.searchsorted(other, x - height[:, g], side="right")]
+                    count = count + before[g][np.searchsorted(other, x - height[:, g] + _slack(x, height[:, g]), side="right")]
             high = np.where(open_ & (count > place), middle, high)
             low = np.where(open_ & (count <= place), middle + 1, low)
         if len(own):
@@ -124,9 +129,9 @@ def _near(ends: pa.Table, k: int, n: int, at: list[float]):
                 least, most = _value_at(lows, before, height, first), _value_at(highs, before, height, last)
                 cell = [np.full(len(base), side), np.zeros(len(base), int)]
                 for f in range(k):
-                    a = np.searchsorted(highs[f], least - height[:, f], side="left")
+                    a = np.searchsorted(highs[f], least - height[:, f] - 4 * _slack(least, height[:, f]), side="left")
                     cell[1] = cell[1] + before[f][a]
-                    cell += [a, np.maximum(np.searchsorted(lows[f], most - height[:, f], side="right") - 1, a - 1)]
+                    cell += [a, np.maximum(np.searchsorted(lows[f], most - height[:, f] + 4 * _slack(most, height[:, f]), side="right") - 1, a - 1)]
                 for i, c in zip(known, np.stack(cell, axis=1).tolist()):
                     out[i].append(c)
         return pd.Series(out, dtype=object)

@@ -90,7 +90,8 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", te
     rows = _measured(every.where(F.col("y").isin(names)), groups)
     steps = [F.array(*((F.col(f"__s{s}") == x).cast("double") for x in range(len(e) + 1))) for s, e in enumerate(STEPS.values())]
     shares = F.array(*(F.col(f"__h{k}") for k in range(len(groups))))
-    rows = materialize(rows.select("held", place.alias("label"), *(f"__h{k}" for k in range(len(groups))), *(f"__s{s}" for s in range(len(STEPS))), array_to_vector(F.concat(shares, *steps)).alias("v")), "mix-rows")
+    # Four parts at most: the regression sums so few without a shuffle in each of its steps.
+    rows = materialize(rows.select("held", place.alias("label"), *(f"__h{k}" for k in range(len(groups))), *(f"__s{s}" for s in range(len(STEPS))), array_to_vector(F.concat(shares, *steps)).alias("v")).coalesce(4), "mix-rows")
     fitted = LogisticRegression(featuresCol="v", labelCol="label", family="multinomial", regParam=penalty, maxIter=100).fit(rows.where("not held").withColumn("label", F.col("label").cast("double")))
     weights, starts = fitted.coefficientMatrix.toArray(), np.cumsum([len(groups), *(len(e) + 1 for e in STEPS.values())])
     model = Domains(names, groups, fitted.interceptVector.toArray().tolist(), weights[:, :len(groups)].tolist(),
@@ -212,8 +213,9 @@ def fit_rates(scored: DataFrame, model: Domains, targets: dict[str, float] | Non
     cells = materialize(scored.groupBy("__p").agg(F.sum("__n").alias("__n")).withColumn("__r", F.lit(1.0)), "mix-cells")
 
     def sums(steps: list[list[float]]) -> list[float]:
-        r = rate(F.col("__p"), steps, least, F.col("__r"))
-        row = cells.agg(*(F.sum(r * F.col("__n") * F.element_at("__p", d + 1)).alias(f"s{d}") for d in size)).first()
+        # The rate is a column of its own: inside each domain's sum the plan would hold all steps that many times.
+        rated = cells.withColumn("__r", rate(F.col("__p"), steps, least, F.col("__r")))
+        row = rated.agg(*(F.sum(F.col("__r") * F.col("__n") * F.element_at("__p", d + 1)).alias(f"s{d}") for d in size)).first()
         return [float(x or 0) for x in row]
 
     have = sums([])

@@ -16,6 +16,7 @@ from ..sources.store import written
 from . import linear
 from .joins import parent_folds
 from .metrics import fold_summary, leaderboard, regression_metrics
+from .mixtures import Mixtures, bagged_trees, moved
 from .models import LINEAR, Fitted, Spec, hierarchical, stack, two_stage
 from .prep import Components, PowerScaler, impute, medians
 from .splits import k_folds
@@ -269,3 +270,51 @@ def leak_free_cv(gold: DataFrame, virtual: DataFrame, spec: Spec, features: list
         if trees is not None:
             parts.append(_tested(two_stage(mixed(more), mixed(own), mixed(test), features, label, *trees), "two_stage", f, key, label))
     return reduce(DataFrame.unionByName, parts)
+
+
+def leak_free_mixtures(gold: DataFrame, weights: list[float], spec: Spec, feature: str, label: str, k: int, key: str, weight: float | None = None,
+                       trees: tuple[int, int] | None = None, scale: bool = False, seed: int = 1) -> DataFrame:
+    """``leak_free_cv`` of a linear model on one feature, where the virtual rows are the mixtures of all pairs of gold rows at ``weights``: their
+    features mix in proportion, their labels harmonically (J05). The mixtures are summed as they are made, and have no rows.
+
+    Sums give the linear models and the power scalers; trees on mixtures are grown from sums by bin of the feature and bagged by bin."""
+    if spec.kind not in LINEAR or (trees is not None and not scale):
+        raise ValueError("a linear model, and trees with scale only")
+    made, parts = Mixtures(gold, key, feature, label, weights, k), []
+    if scale:
+        cells = made.by_cell()
+        scalers = cells.scalers(gold, feature)
+        virtual = cells.scaled(scalers, feature)
+    else:
+        every = linear.sums(gold, [feature], label, ["fold"])
+        shift = next(iter(every.values())).shift if every else [0.0, 0.0]
+        virtual = made.sums(shift)
+    for f in range(k):
+        own, test = gold.where(F.col("fold") != f).select(feature, label), gold.where(F.col("fold") == f)
+
+        def tell(name: str, found: list[linear.Sums], at: DataFrame) -> None:
+            model = spec.solve(linear.total(found), 1)
+            parts.append(_tested(at.na.drop(subset=[feature]).withColumn("yhat", model.column([feature])), name, f, key, label))
+
+        def summed(df: DataFrame) -> list[linear.Sums]:
+            return list(linear.sums(df, [feature], label).values())
+
+        if scale:
+            alone, mixed = PowerScaler.fit(own, [feature]), scalers[f]
+            tell("baseline", summed(alone.transform(own)), alone.transform(test))
+            real, at = summed(mixed.transform(own)), mixed.transform(test)
+        else:
+            real, at = [s for g, s in every.items() if g[0] != f], test
+            tell("baseline", real, test)
+        more = [moved(virtual[f], real[0].shift) if real else virtual[f]] if virtual[f] is not None else []
+        tell("virtual", real + more, at)
+        if weight is not None:
+            tell("weighted", real + [s.times(weight) for s in more], at)
+        if trees is not None:
+            first, total = trees
+            cuts, bins = cells.bins(f)
+            a = bagged_trees(bins, cuts, feature, first, seed + f)
+            b = Spec("forest", {"numTrees": total - first}).fit(mixed.transform(own), [feature], label, "b")
+            both = b.predict(mixed.transform(a.predict(test, "a")))
+            parts.append(_tested(both.withColumn("yhat", (first * F.col("a") + (total - first) * F.col("b")) / total), "two_stage", f, key, label))
+    return reduce(DataFrame.unionByName, parts)
